@@ -1,11 +1,20 @@
 """Queries of this subpackage and the SQL that says the same, where SQL can."""
 
-from spendloom.llm import op2_repetition, op6_token_counts, op9_urls, op10_packing
+from spendloom.llm import (
+    op1_decontamination,
+    op2_repetition,
+    op5_pseudonyms,
+    op6_token_counts,
+    op9_urls,
+    op10_packing,
+)
 
 
 def queries() -> dict:
     functions = (
+        op1_decontamination.op1_decontamination,
         op2_repetition.op2_repetition,
+        op5_pseudonyms.op5_pseudonyms,
         op6_token_counts.op6_token_counts,
         op9_urls.op9_urls,
         op10_packing.op10_packing,
@@ -14,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": op9_urls.ORACLE_SQL}
+    return {"op1_decontamination": op1_decontamination.ORACLE_SQL, "op9_urls": op9_urls.ORACLE_SQL}

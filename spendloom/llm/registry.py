@@ -5,6 +5,7 @@ from spendloom.llm import (
     op2_repetition,
     op5_pseudonyms,
     op6_token_counts,
+    op7_suffix_dedup,
     op8_jaccard_join,
     op9_urls,
     op10_packing,
@@ -17,6 +18,7 @@ def queries() -> dict:
         op2_repetition.op2_repetition,
         op5_pseudonyms.op5_pseudonyms,
         op6_token_counts.op6_token_counts,
+        op7_suffix_dedup.op7_suffix_dedup,
         op8_jaccard_join.op8_jaccard_join,
         op9_urls.op9_urls,
         op10_packing.op10_packing,

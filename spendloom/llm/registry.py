@@ -3,6 +3,7 @@
 from spendloom.llm import (
     op1_decontamination,
     op2_repetition,
+    op3_language,
     op5_pseudonyms,
     op6_token_counts,
     op7_suffix_dedup,
@@ -16,6 +17,7 @@ def queries() -> dict:
     functions = (
         op1_decontamination.op1_decontamination,
         op2_repetition.op2_repetition,
+        op3_language.op3_language,
         op5_pseudonyms.op5_pseudonyms,
         op6_token_counts.op6_token_counts,
         op7_suffix_dedup.op7_suffix_dedup,

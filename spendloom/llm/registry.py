@@ -4,6 +4,7 @@ from spendloom.llm import (
     op1_decontamination,
     op2_repetition,
     op3_language,
+    op4_licenses,
     op5_pseudonyms,
     op6_token_counts,
     op7_suffix_dedup,
@@ -18,6 +19,7 @@ def queries() -> dict:
         op1_decontamination.op1_decontamination,
         op2_repetition.op2_repetition,
         op3_language.op3_language,
+        op4_licenses.op4_licenses,
         op5_pseudonyms.op5_pseudonyms,
         op6_token_counts.op6_token_counts,
         op7_suffix_dedup.op7_suffix_dedup,

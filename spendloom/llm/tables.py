@@ -23,11 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def _write(df: DataFrame, name: str) -> str:
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """As written(), for tables that nothing reads once an operator's result is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = _write(df, name)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

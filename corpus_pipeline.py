@@ -1,13 +1,80 @@
-"""The corpus pipeline (stages follow as their operators do)."""
+"""The corpus pipeline: language, near duplicates, benchmark passages, personal data, packing.
 
+Every stage takes all documents its predecessor kept. All but the last return the columns
+of documents; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendloom.llm import (
+    op1_decontamination,
+    op3_language,
+    op5_pseudonyms,
+    op8_jaccard_join,
+    op10_packing,
+    tables,
+)
+
+#: A text whose likeliest language holds less than this share of it is rejected.
+LEAST_SCORE = 0.5
 
-STAGES: list = []
+#: Learned labels, sketches and keyed pseudonyms are not for SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts with one main language; null texts and texts without letters go."""
+    tables.release(spark)
+    model = op3_language.fit_on_kept(docs)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = op3_language.predict(docs, model, keep=["text", *rest])
+    return found.where((F.col("lang_pred") != op3_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each component of similar documents."""
+    tables.release(spark)
+    found = op8_jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that are contaminated by the benchmark."""
+    tables.release(spark)
+    found = op1_decontamination.contamination(docs, tables.read(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by keyed pseudonyms of the same format."""
+    tables.release(spark)
+    return op5_pseudonyms.pseudonymise(docs, op5_pseudonyms.session_key(spark))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences."""
+    tables.release(spark)
+    return op10_packing.pack(docs, public_tokenizers.path(op10_packing.VOCABULARY))
+
+
+STAGES = [
+    ("language", language),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("pseudonyms", pseudonymised),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; each one's result is written and read back before the next."""
+    docs = tables.read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = tables.written(docs, f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -9,8 +9,9 @@ size over all documents, so text that many documents share is offered last.
 
 Sets that meet are compared by parity bit sketches, whose Hamming distance never exceeds
 the symmetric difference, and what passes is verified on the shingles themselves. First each
-set is verified against one leader; then only sets in different components are compared,
-so copies are never expanded into all their pairs, and no link between components is lost.
+set is verified against a few leaders, then sets that met and are still in different
+components against each other, so copies are never expanded into all their pairs, and no
+link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ COUNTER_BITS = 20
 COUNTER_ROWS = 32
 FILTER_BITS = 23
 SMALL_BAND = 5
+#: Rounds in which every set is compared with one leader per key before the exact one.
+TURNS = 2
+#: Sets of one key that are compared in one piece.
+PART = 4_096
 
 _U = np.uint64
 
@@ -83,8 +88,8 @@ def offered(shingles: np.ndarray, counters: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity bits of shingle counts, about four to eight bits a shingle; halves fold by XOR."""
-    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    """Parity bits of shingle counts, about eight to sixteen bits a shingle; halves fold by XOR."""
+    bits = max(64, 1 << (8 * len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -262,32 +267,97 @@ def _linked(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return texts.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def _crossing(meetings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that met under a key and are in different components."""
-    at = meetings.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+def _labelled(meetings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Meetings with the component of each node; a node without links is one of its own."""
+    return meetings.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _to_leaders(meetings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs of every node with one node of another component under each of its keys.
+
+    Which one leads is the same order for all keys and another one each turn, so a node
+    meets few leaders however many keys it has.
+    """
+    at = _labelled(meetings, labels)
+    lead = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("lead"))
+    pairs = at.join(lead, "key").where("component <> lead.component").select("node", F.col("lead.node").alias("leader"))
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def _near_within(n: list[int], sketches: list[bytes], components: list[int], percent: int, across: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """Places of pairs of different components whose sizes and sketches fit.
+
+    across: which of two parts each belongs to; then only pairs over both parts count.
+    """
+    size, part = np.array(n), np.array(components)
+    by_length: dict[int, list[int]] = {}
+    for i, x in enumerate(sketches):
+        by_length.setdefault(len(x), []).append(i)
+    stacks = {k: np.frombuffer(b"".join(sketches[i] for i in v), _U).reshape(len(v), -1) for k, v in by_length.items()}
+    for short in by_length:
+        for long in by_length:
+            if long < short:
+                continue
+            folded = stacks[long].reshape(len(by_length[long]), long // short, -1)
+            folded = np.bitwise_xor.reduce(folded, axis=1)
+            others = np.array(by_length[long])
+            for row, i in zip(stacks[short], by_length[short], strict=True):
+                good = (part[others] != part[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))
+                if long == short:
+                    good &= others > i
+                if across is not None:
+                    good &= across[others] != across[i]
+                at = np.flatnonzero(good)
+                if len(at):
+                    apart = np.bitwise_count(folded[at] ^ row).sum(axis=1, dtype=np.int64)
+                    for j in others[at[apart * (100 + percent) <= (size[others[at]] + size[i]) * (100 - percent)]].tolist():
+                        yield i, j
+
+
+def _crossing(meetings: DataFrame, labels: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """Pairs that met under a key, are in different components and are near by their sketches.
+
+    A key of many nodes is dealt out as pairs of parts of about PART nodes.
+    """
+    at = _labelled(meetings, labels)
+    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    rows = at.join(mixed.select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+    rows = rows.join(active.select("node", "n", "sketch"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
+        held: list[tuple] = []
         for batch in (*batches, None):
-            rows = held if batch is None else np.r_[held, np.stack([c.to_numpy() for c in batch.columns], axis=1)]
-            if not len(rows):
-                continue
-            cut = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-            done = cut[-1] if batch is not None else len(rows)
-            held = rows[done:]
-            for lo, hi in zip(cut, np.r_[cut[1:], len(rows)], strict=True):
-                if hi > done:
-                    break
-                for i in range(lo, hi):
-                    other = rows[i + 1 : hi][rows[i + 1 : hi, 2] != rows[i, 2], 1]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, rows[i, 1])), pa.array(np.maximum(other, rows[i, 1]))], ["a", "b"])
-
-    rows = at.join(mixed, "key").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "component")
+            rows = held + ([*zip(*(c.to_pylist() for c in batch.columns), strict=True)] if batch is not None else [])
+            lo, found = 0, []
+            for hi in range(1, len(rows) + 1):
+                if hi == len(rows) and batch is not None or hi < len(rows) and rows[hi][:3] == rows[lo][:3]:
+                    continue
+                if hi - lo > 1:
+                    _, i, j, own, node, component, n, sketches = zip(*rows[lo:hi], strict=True)
+                    if min(component) != max(component):
+                        found += [(node[x], node[y]) for x, y in _near_within(n, sketches, component, percent, None if i[0] == j[0] else np.array(own))]
+                lo = hi
+            held = rows[lo:]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found]), pa.array([max(x) for x in found])], ["a", "b"])
+
+    rows = rows.select("key", "i", "j", "own", "node", "component", "n", "sketch")
     return rows.mapInArrow(cross, "a long, b long").distinct()
 
 
+def _lifted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links, which only join those there are."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    upper = components(lifted)
+    moved = labels.join(upper.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    new = upper.join(labels.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("top", "component").alias("component")).union(new.select("node", "component"))
+
+
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80) -> DataFrame:
     """Per document: n_shingles and component_id, the smallest id reachable by links.
 
@@ -308,19 +378,17 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     active = tables.stage(_active(docs, stands).dropDuplicates(["node"]), "active")
 
     votes = met.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
+    # One leader each: the one met under most keys.
     first = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
     links = tables.stage(_linked(first.select(F.col("leader").alias("a"), F.col("node").alias("b")), active, percent), "links")
-    labels = components(links)
-    more = tables.stage(_linked(_crossing(met, labels), active, percent), "links")
-    # Components of components: later links only join those that the first ones made.
-    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    upper = components(lifted)
-    top = labels.join(upper.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("root"))
-    alone = upper.join(labels.select("node"), "node", "left_anti").select("node", F.col("component").alias("root"))
+    labels = tables.stage(components(links), "labels")
+    for turn in range(TURNS + 1):
+        pairs = _to_leaders(met, labels, turn) if turn < TURNS else _crossing(met, labels, active, percent)
+        more = tables.stage(_linked(pairs, active, percent), "links")
+        labels = tables.stage(_lifted(labels, more), "labels")
 
     # Null ids group together like any other value; an empty set is linked with nothing.
-    rooted = each.join(top.union(alone), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = each.join(labels.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     result = rooted.where("n > 0").join(smallest, "root").select("id", "n", F.col("least").alias("component_id"))
     result = result.union(rooted.where("n = 0").select("id", "n", "id"))

@@ -96,7 +96,8 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     out.append((x["h"], x["around"], x["near"], x["far"], x["n"], text[at - x["far"] : at][::-1], text[at : at + length - x["near"]]))
             yield _rows(out)
 
-    return docs.join(wanted, ["id", "version"]).select("text", "places").mapInArrow(run, _SURROUNDINGS)
+    same = docs["id"].eqNullSafe(wanted["id"]) & (docs["version"] == wanted["version"])
+    return docs.join(wanted, same).select("text", "places").mapInArrow(run, _SURROUNDINGS)
 
 
 _SURROUNDINGS = "key long, around long, near int, far int, n long, left binary, right binary"
@@ -242,7 +243,8 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             columns.append(pa.array([[{"lo": a, "hi": b} for a, b in w] for w in where], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))))
             yield pa.RecordBatch.from_arrays(columns, [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    joined = docs.join(per, ["id", "version"], "left").select("id", "text", "spans")
+    same = docs["id"].eqNullSafe(per["id"]) & docs["version"].eqNullSafe(per["version"])
+    joined = docs.join(per, same, "left").select(docs["id"], "text", "spans")
     return joined.mapInArrow(cut, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo: long, hi: long>>")
 
 

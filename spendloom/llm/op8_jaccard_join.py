@@ -363,8 +363,9 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     percent is at least 80, which the offered share of blocks rests on. Null, empty and
     wordless texts have no shingles and are linked with nothing. Rows that repeat are each
-    returned; two with equal text are linked as any copies. Extra columns are not read, and
-    an empty table gives an empty result.
+    returned; two with equal text are linked as any copies. A row without an id links no
+    others: its component is that of the rows with its very set, or null. Extra columns are
+    not read, and an empty table gives an empty result.
     """
     if percent < 80:
         raise ValueError("the offered blocks prove links of similarity 0.8 or more only")

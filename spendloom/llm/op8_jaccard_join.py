@@ -37,6 +37,10 @@ SMALL_BAND = 5
 TURNS = 2
 #: Sets of one key that are compared in one piece.
 PART = 4_096
+#: Smallest keys of a set that tell under which one of them a pair is given.
+FIRST_KEYS = 8
+#: Sketches are this many times shorter where they are compared key by key.
+BRIEF = 4
 
 _U = np.uint64
 
@@ -94,6 +98,12 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def brief(long: bytes) -> bytes:
+    """The sketch folded BRIEF times by XOR, of 64 bits at least; its distances stay lower bounds."""
+    words = np.frombuffer(long, _U)
+    return np.bitwise_xor.reduce(words.reshape(min(BRIEF, len(words)), -1), axis=0).tobytes()
+
+
 def differing(a: bytes, b: bytes) -> int:
     """Hamming distance of two sketches, the longer one folded: at most the symmetric difference."""
     a, b = (np.frombuffer(x, _U) for x in sorted((a, b), key=len))
@@ -195,7 +205,7 @@ def _meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
 
 
 def _active(docs: DataFrame, active: DataFrame) -> DataFrame:
-    """(node, n, sketch, text) of the documents (id, node) that met another set.
+    """(node, n, sketch, brief, text) of the documents (id, node) that met another set.
 
     A bitmap of fixed size drops most others before the join moves any text.
     """
@@ -220,12 +230,12 @@ def _active(docs: DataFrame, active: DataFrame) -> DataFrame:
             sets = [*shingle_sets(batch.column(1))]
             # Rows may repeat an id with another text: the node says which text is meant.
             good = [i for i, (s, node) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if set_hash(s)[0] == node]
-            new = [pa.array([len(sets[i]) for i in good], pa.int64()), pa.array([sketch(sets[i]) for i in good], pa.binary())]
+            sketches = [sketch(sets[i]) for i in good]
+            new = [pa.array([len(sets[i]) for i in good], pa.int64()), pa.array(sketches, pa.binary()), pa.array([brief(x) for x in sketches], pa.binary())]
             kept = batch.take(pa.array(good, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), *new, kept.column(1)], ["node", "n", "sketch", "text"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), *new, kept.column(1)], ["node", "n", "sketch", "brief", "text"])
 
-    drawn = texts.select("node", "text").mapInArrow(draw, "node long, n long, sketch binary, text string")
-    return drawn
+    return texts.select("node", "text").mapInArrow(draw, "node long, n long, sketch binary, brief binary, text string")
 
 
 def _linked(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
@@ -317,15 +327,19 @@ def _near_within(n: list[int], sketches: list[bytes], components: list[int], per
 def _crossing(meetings: DataFrame, labels: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     """Pairs that met under a key, are in different components and are near by their sketches.
 
-    A key of many nodes is dealt out as pairs of parts of about PART nodes.
+    A key of many nodes is dealt out as pairs of parts of about PART nodes. Every row has its
+    node's smallest keys: a pair is left to the smallest key that both show, so one that
+    shares many keys is given about once.
     """
     at = _labelled(meetings, labels)
     mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     rows = at.join(mixed.select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "key")
+    smallest = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    rows = rows.join(active.select("node", "n", "sketch"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    rows = rows.join(active.select("node", "n", "brief").join(smallest, "node"), "node")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -336,15 +350,16 @@ def _crossing(meetings: DataFrame, labels: DataFrame, active: DataFrame, percent
                 if hi == len(rows) and batch is not None or hi < len(rows) and rows[hi][:3] == rows[lo][:3]:
                     continue
                 if hi - lo > 1:
-                    _, i, j, own, node, component, n, sketches = zip(*rows[lo:hi], strict=True)
+                    key, i, j, own, node, component, n, sketches, keys = zip(*rows[lo:hi], strict=True)
                     if min(component) != max(component):
-                        found += [(node[x], node[y]) for x, y in _near_within(n, sketches, component, percent, None if i[0] == j[0] else np.array(own))]
+                        near = _near_within(n, sketches, component, percent, None if i[0] == j[0] else np.array(own))
+                        found += [(node[x], node[y]) for x, y in near if min({*keys[x]} & {*keys[y]}, default=key[0]) >= key[0]]
                 lo = hi
             held = rows[lo:]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found]), pa.array([max(x) for x in found])], ["a", "b"])
 
-    rows = rows.select("key", "i", "j", "own", "node", "component", "n", "sketch")
+    rows = rows.select("key", "i", "j", "own", "node", "component", "n", "brief", "keys")
     return rows.mapInArrow(cross, "a long, b long").distinct()
 
 

@@ -1,9 +1,295 @@
-"""All registered queries and their oracle SQL."""
+"""All registered queries of the spend engine and the SQL that says the same."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendloom.functions import columns as C
+from spendloom.functions import dates
+from spendloom.operators import clean, headers, matching, normalise, panels, profile, running, typed, views
+from spendloom.plans import spend as S
+from spendloom.plans.messy import MESSY, RATE_SQL, messy, rates
+from spendloom.plans.spend import BASE, dbl, pct, table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _on_spend(*dims: str):
+    return lambda f: lambda spark, sf: f(S.spend(spark, sf, *dims))
+
+
+# Views -------------------------------------------------------------------------------------
+_MONTHS = BASE + ", mo AS (SELECT year(invoice_date)::INT AS year, month(invoice_date)::INT AS month, sum(total_spend) AS spend FROM b GROUP BY ALL)"
+_TIME = {
+    "monthly": f"SELECT year, month, {dbl('spend')} AS total_spend FROM mo",
+    "yearly": f"SELECT year, {dbl('sum(spend)')} AS total_spend FROM mo GROUP BY year",
+    "last12": f"SELECT year, month, {dbl('spend')} AS total_spend FROM mo WHERE year * 12 + month > (SELECT max(year * 12 + month) FROM mo) - 12",
+}
+for _grain, _sql in _TIME.items():
+    _add(f"spend_over_time_{_grain}", _on_spend()(lambda b, g=_grain: views.spend_over_time(b, "invoice_date", "total_spend", g)), _MONTHS + _sql)
+
+_RANKED = """, per AS (SELECT supplier, sum(total_spend) AS spend FROM b GROUP BY supplier),
+r AS (SELECT *, row_number() OVER (ORDER BY spend DESC, supplier) AS rank, sum(spend) OVER (ORDER BY spend DESC, supplier ROWS UNBOUNDED PRECEDING) AS cum, sum(spend) OVER () AS total FROM per)
+"""
+_add("supplier_ranking", _on_spend("supplier")(lambda b: views.supplier_ranking(b, "supplier", "total_spend")), BASE + _RANKED + f"SELECT rank, supplier, {dbl('spend')} AS total_spend, {pct('spend', 'total')} AS pct_of_total FROM r")
+_CUT = "WHERE rank <= (SELECT min(rank) FROM r WHERE cum::DOUBLE >= total::DOUBLE * ({} / 100.0::DOUBLE))"
+_add("pareto_80", _on_spend("supplier")(lambda b: views.pareto(b, "supplier", "total_spend")), BASE + _RANKED + f"SELECT rank, supplier, {dbl('spend')} AS total_spend, {pct('cum', 'total', 4)} AS cumulative_pct FROM r {_CUT.format(80)}")
+_add(
+    "pareto_thresholds", _on_spend("supplier", "part")(lambda b: panels.pareto_thresholds(b, "supplier", "total_spend", "description")),
+    BASE + f""", pair AS (SELECT supplier, description, sum(total_spend) AS spend, count(*) AS n FROM b WHERE total_spend > 0 GROUP BY ALL),
+per AS (SELECT supplier, sum(spend) AS spend, sum(n) AS n, count(*) AS pairs FROM pair GROUP BY supplier),
+r AS (SELECT *, sum(spend) OVER (ORDER BY spend DESC, supplier ROWS UNBOUNDED PRECEDING) AS cum, sum(spend) OVER () AS total FROM per)
+SELECT p::INT AS percent, count(*) AS suppliers, {dbl('sum(spend)')} AS total_spend, sum(n)::BIGINT AS transactions, sum(pairs)::BIGINT AS pairs
+FROM r, (VALUES (80), (85), (90), (95)) t(p) WHERE cum::DOUBLE - spend::DOUBLE < total::DOUBLE * (p / 100.0::DOUBLE) GROUP BY p""",
+)
+for _name, _key, _dim, _amount in (("currency_spend", "currency", "supplier", "local_spend"), ("country_spend", "vendor_country", "supplier", "total_spend"), ("region_spend", "region", "supplier", "total_spend"), ("l1_spend", "l1", "part", "total_spend")):
+    _add(
+        _name, _on_spend(_dim)(lambda b, k=_key, a=_amount: views.share_by(b, k, a)),
+        BASE + f"SELECT {_key} AS key, {dbl(f'sum({_amount})')} AS total_spend, {pct(f'sum({_amount})', f'sum(sum({_amount})) OVER ()')} AS pct_of_total FROM b GROUP BY {_key}",
+    )
+for _name, _a, _b in (("mekko_l1_l2", "l1", "l2"), ("mekko_l2_l3", "l2", "l3")):
+    _add(
+        _name, _on_spend("part")(lambda b, x=_a, y=_b: views.mekko(b, x, y, "total_spend")),
+        BASE + f""", p AS (SELECT {_a} AS "column", {_b} AS segment, sum(total_spend) AS spend FROM b GROUP BY ALL), w AS (SELECT *, sum(spend) OVER (PARTITION BY "column") AS c, sum(spend) OVER () AS t FROM p)
+SELECT "column", segment, {dbl('spend')} AS total_spend, {pct('c', 't')} AS width_pct, {pct('spend', 'c')} AS segment_pct FROM w""",
+    )
+_add(
+    "category_drilldown", _on_spend("part")(lambda b: views.drilldown(b, ["l1", "l2", "l3"], "total_spend")),
+    BASE + f""", t AS (SELECT l1, l2, l3, sum(total_spend) AS spend, (3 - grouping(l1) - grouping(l2) - grouping(l3))::INT AS depth FROM b GROUP BY ROLLUP (l1, l2, l3)),
+p AS (SELECT *, sum(spend) OVER (PARTITION BY depth, CASE WHEN depth > 1 THEN l1 END, CASE WHEN depth > 2 THEN l2 END) AS parent, (SELECT spend FROM t WHERE depth = 0) AS total FROM t)
+SELECT l1, l2, l3, depth, {dbl('spend')} AS total_spend, {pct('spend', 'parent')} AS pct_of_parent, {pct('spend', 'total')} AS pct_of_total FROM p""",
+)
+
+# Panels ------------------------------------------------------------------------------------
+_BALANCE = "customer"
+_SIGNED = "SELECT {k} {pos} AS positive, {neg} AS negative, {net} AS net, count(*) AS rows FROM customer {g}"
+_PARTS = {"pos": dbl("sum(CASE WHEN c_acctbal > 0 THEN c_acctbal::DECIMAL(18,2) END)"), "neg": dbl("sum(CASE WHEN c_acctbal < 0 THEN c_acctbal::DECIMAL(18,2) END)"), "net": dbl("sum(c_acctbal::DECIMAL(18,2))")}
+_balance = lambda spark, sf: table(spark, sf, _BALANCE).withColumn("balance", S.money("c_acctbal"))
+_add("spend_bifurcation", lambda spark, sf: panels.bifurcation(_balance(spark, sf), "balance"), _SIGNED.format(k="", g="", **_PARTS))
+_add("spend_bifurcation_by_unit", lambda spark, sf: panels.bifurcation(_balance(spark, sf), "balance", "c_mktsegment"), _SIGNED.format(k="c_mktsegment AS key,", g="GROUP BY c_mktsegment", **_PARTS))
+_add("date_period", _on_spend()(lambda b: panels.date_period(b, "invoice_date")), BASE + "SELECT min(invoice_date)::DATE AS first_date, max(invoice_date)::DATE AS last_date, count(DISTINCT year(invoice_date) * 12 + month(invoice_date)) AS months FROM b")
+_add(
+    "ltm_spend", _on_spend()(lambda b: panels.ltm(b, "invoice_date", "total_spend")),
+    _MONTHS + f", x AS (SELECT max(year * 12 + month) AS hi FROM mo) SELECT {dbl('sum(spend)')} AS ltm_spend, max(hi) - 12 AS from_month, max(hi) - 1 AS to_month FROM mo, x WHERE year * 12 + month BETWEEN hi - 12 AND hi - 1",
+)
+_add(
+    "fy_yoy", _on_spend()(lambda b: panels.fiscal_years(b, "invoice_date", "total_spend")),
+    _MONTHS + f""", y AS (SELECT year AS fy, sum(spend) AS s, count(*) AS months FROM mo GROUP BY year)
+SELECT a.fy, a.months, {dbl('a.s')} AS total_spend, round((a.s::DOUBLE - p.s::DOUBLE) / nullif(p.s::DOUBLE, 0) * 100, 2) AS yoy_pct FROM y a LEFT JOIN y p ON p.fy + 1 = a.fy""",
+)
+_add("latest_full_year", _on_spend()(lambda b: panels.latest_full_year(b, "invoice_date", "total_spend")), _MONTHS + f"SELECT year, {dbl('sum(spend)')} AS total_spend FROM mo GROUP BY year HAVING count(*) = 12 ORDER BY year DESC LIMIT 1")
+_add("top80_vendor_cohort", _on_spend("supplier")(lambda b: panels.cohort(b, "supplier", "total_spend").select("supplier", "rank", F.round(F.col("spend").cast("double"), 2).alias("total_spend"))), BASE + _RANKED + f"SELECT supplier, rank, {dbl('spend')} AS total_spend FROM r {_CUT.format(80)}")
+_add(
+    "supplier_breakdown", _on_spend("supplier")(lambda b: panels.supplier_breakdown(b, "supplier", "total_spend")),
+    BASE + _RANKED + f"""SELECT count(*) AS suppliers, (SELECT count(*) FROM r {_CUT.format(80)}) AS reach_80, 0::BIGINT AS case_variants, {pct('sum(CASE WHEN rank <= 10 THEN spend END)', 'sum(spend)')} AS top10_pct FROM r""",
+)
+_add(
+    "duplicate_name_variants", lambda spark, sf: panels.name_variants(table(spark, sf, "supplier").withColumn("name", F.when(F.col("s_suppkey") % 3 == 0, F.upper(F.concat(F.lit("vendor "), (F.col("s_suppkey") % 4).cast("string")))).otherwise(F.concat(F.lit("Vendor "), (F.col("s_suppkey") % 4).cast("string")))), "name"),
+    """WITH n AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN upper('vendor ' || (s_suppkey % 4)) ELSE 'Vendor ' || (s_suppkey % 4) END AS name FROM supplier)
+SELECT lower(trim(name)) AS key, count(DISTINCT name) AS spellings, count(*) AS rows FROM n GROUP BY 1 HAVING count(DISTINCT name) > 1""",
+)
+_MONTH_SUMS = ", ".join(f"{dbl(f'sum(CASE WHEN month = {m} THEN spend END)')} AS m{m:02d}" for m in range(1, 13))
+_add("date_spend_pivot", _on_spend()(lambda b: panels.date_pivot(b, "invoice_date", "total_spend")), _MONTHS + f"SELECT year, {_MONTH_SUMS} FROM mo GROUP BY year")
+_CODE_SUMS = ", ".join(f"{dbl(f'sum(CASE WHEN currency = {chr(39)}{c}{chr(39)} THEN local_spend END)')} AS {c.lower()}" for c in S.CURRENCIES)
+_add("currency_crosstab", _on_spend("supplier")(lambda b: panels.currency_crosstab(b, "invoice_date", "local_spend", "currency", S.CURRENCIES)), BASE + f"SELECT year(invoice_date)::INT AS year, month(invoice_date)::INT AS month, {_CODE_SUMS} FROM b GROUP BY ALL")
+_TOP = """, p AS (SELECT {k} AS key, sum({a}) AS s, count(*) AS n FROM b {w} GROUP BY ALL), q AS (SELECT CASE WHEN row_number() OVER (ORDER BY s DESC, key) <= {n} THEN key ELSE 'Others' END AS key, s, n FROM p)
+SELECT key, sum(n)::BIGINT AS rows, {t} AS total_spend FROM q GROUP BY key"""
+_add("top_countries_and_others", _on_spend("supplier")(lambda b: panels.top_and_others(b, "vendor_country", "total_spend", 5)), BASE + _TOP.format(k="vendor_country", a="total_spend", w="", n=5, t=dbl("sum(s)")))
+_add("non_procurable_by_currency", _on_spend("supplier", "part")(lambda b: panels.non_procurable(b, "description", "total_spend", "currency", ["gear", "bolt", "widget"], 2)), BASE + _TOP.format(k="currency", a="total_spend", w="WHERE regexp_matches(lower(description), 'gear|bolt|widget')", n=2, t=dbl("sum(s)")))
+_add(
+    "payment_terms_panel", _on_spend("orders")(lambda b: panels.terms_panel(b, "term", "total_spend")),
+    BASE + f"SELECT term, count(*) AS rows, {dbl('sum(total_spend)')} AS total_spend, {pct('sum(total_spend)', 'sum(sum(total_spend)) OVER ()')} AS spend_pct, {pct('count(*)', 'sum(count(*)) OVER ()')} AS rows_pct FROM b GROUP BY term",
+)
+_add("keyword_spend_search", _on_spend("supplier", "part")(lambda b: panels.keyword_spend(b, ["description", "supplier", "vendor_country"], "Widget", "total_spend")), BASE + f"SELECT count(*) AS rows, {dbl('sum(total_spend)')} AS total_spend FROM b WHERE instr(lower(description), 'widget') > 0 OR instr(lower(supplier), 'widget') > 0 OR instr(lower(vendor_country), 'widget') > 0")
+_WORDS = "CASE WHEN v = '' THEN 0 ELSE len(regexp_split_to_array(v, '\\s+')) END"
+_add(
+    "description_stats", lambda spark, sf: panels.description_stats(table(spark, sf, "part"), "p_name"),
+    f"""WITH p AS (SELECT trim(p_name) AS v FROM part WHERE trim(p_name) <> '')
+SELECT count(*) AS rows, count(DISTINCT v) AS unique_values, count(*) FILTER (WHERE {_WORDS} = 1) AS one_word, count(*) FILTER (WHERE {_WORDS} > 1) AS multi_word, count(*) FILTER (WHERE lower(v) IN ('na', 'n/a', 'none', 'null', 'nan', '-', 'unknown', 'tbd', 'misc', 'other', 'general', '.', '0')) AS proxies,
+  count(*) FILTER (WHERE regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')) AS alphanumeric, round(sum(length(v)) / greatest(count(*), 1), 2) AS avg_chars FROM p""",
+)
+_add("top_descriptions", _on_spend("part")(lambda b: panels.top_descriptions(b, "description", "total_spend")), BASE + f"SELECT description, count(*) AS rows, {dbl('sum(total_spend)')} AS total_spend FROM b GROUP BY description ORDER BY rows DESC, description LIMIT 100")
+_add(
+    "categorization_effort", _on_spend("supplier", "part")(lambda b: panels.categorization_effort(b, "supplier", "description")),
+    BASE + """, p AS (SELECT supplier, description AS v, count(*) AS n FROM b GROUP BY ALL)
+SELECT sum(n)::BIGINT AS rows, count(*) AS pairs, round(sum(length(v) * n) / sum(n), 2) AS avg_chars, round(sum(len(regexp_split_to_array(v, '\\s+')) * n) / sum(n), 2) AS avg_words,
+  round(sum(length(v)) / 4 * 2.5 / 1e6 + count(*) * 20 * 10.0 / 1e6, 4) AS cost_usd, CASE WHEN sum(n) > 400000 THEN 'large' ELSE 'small' END AS method FROM p""",
+)
+_add("sample_descriptions", _on_spend("part")(lambda b: panels.sample_descriptions(b, "description", 20)))
+_add("diverse_date_samples", lambda spark, sf: panels.diverse_samples(messy(spark, sf), "date_text"), MESSY + """, s AS (SELECT DISTINCT regexp_replace(regexp_replace(trim(date_text), '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g') AS shape, trim(date_text) AS value FROM m)
+SELECT shape, value FROM s QUALIFY row_number() OVER (PARTITION BY shape ORDER BY value) <= 2""")
+
+# Profiles ----------------------------------------------------------------------------------
+_PROFILED = ["c_name", "c_mktsegment", "c_acctbal", "blanky"]
+_holes = lambda spark, sf: table(spark, sf, "customer").withColumn("blanky", F.when(F.col("c_custkey") % 5 == 0, "").when(F.col("c_custkey") % 5 == 1, " N/A ").when(F.col("c_custkey") % 5 == 2, F.lit(None)).otherwise(F.col("c_mktsegment")))
+_HOLES = """WITH h AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN ' N/A ' WHEN c_custkey % 5 = 2 THEN NULL ELSE c_mktsegment END AS blanky FROM customer)
+"""
+_STAT = "SELECT '{c}' AS \"column\", count(*) AS total_rows, count(*) FILTER (WHERE coalesce(trim({c}::VARCHAR), '') <> '') AS filled, " + pct("count(*) FILTER (WHERE coalesce(trim({c}::VARCHAR), '') <> '')", "count(*)") + " AS fill_pct, count(DISTINCT nullif(trim({c}::VARCHAR), '')) AS distinct_values FROM h"
+_add("column_stats", lambda spark, sf: profile.column_stats(_holes(spark, sf), _PROFILED), _HOLES + " UNION ALL ".join(_STAT.format(c=c) for c in _PROFILED))
+_REAL = "coalesce(trim({c}::VARCHAR), '') <> '' AND lower(trim({c}::VARCHAR)) NOT IN ('na', '#na', 'n/a', '#n/a', 'none', 'null', 'nan', '-', 'unknown', 'not applicable', 'tbd', 'misc', 'miscellaneous', 'other', 'general', 'unclassified', '.')"
+_FILL = "SELECT '{c}' AS \"column\", count(*) FILTER (WHERE " + _REAL + ") AS filled, " + pct("count(*) FILTER (WHERE " + _REAL + ")", "count(*)") + " AS fill_pct, " + pct("coalesce(sum(c_acctbal::DECIMAL(18,2)) FILTER (WHERE " + _REAL + "), 0)", "sum(c_acctbal::DECIMAL(18,2))") + " AS spend_pct FROM h"
+_add("fill_rate_spend_coverage", lambda spark, sf: profile.fill_rates(_holes(spark, sf), ["c_name", "blanky"], S.money("c_acctbal")), _HOLES + " UNION ALL ".join(_FILL.format(c=c) for c in ("c_name", "blanky")))
+_add("null_proxy_profile", lambda spark, sf: profile.null_proxies(_holes(spark, sf), ["blanky"]), _HOLES + f"SELECT 'blanky' AS \"column\", count(*) AS total_rows, count(*) FILTER (WHERE lower(trim(blanky)) = 'n/a') AS proxies, count(*) FILTER (WHERE coalesce(trim(blanky), '') = '') AS blank, {pct(chr(32).join(['count(*) FILTER (WHERE lower(trim(blanky)) =', chr(39) + 'n/a' + chr(39) + ')']), 'count(*)')} AS proxy_pct FROM h")
+_add(
+    "deep_column_stats", lambda spark, sf: profile.deep_stats(_holes(spark, sf), ["blanky"]).select("column", "total_rows", "blank", "distinct_values", "numeric", "min_len", "max_len", "with_digit", "with_special", "fill_pct", "unique_pct", "numeric_pct", "avg_len"),
+    _HOLES + f""", v AS (SELECT nullif(trim(blanky), '') AS v FROM h)
+SELECT 'blanky' AS "column", count(*) AS total_rows, count(*) - count(v) AS blank, count(DISTINCT v) AS distinct_values, 0::BIGINT AS numeric, min(length(v))::INT AS min_len, max(length(v))::INT AS max_len,
+  count(*) FILTER (WHERE regexp_matches(v, '[0-9]')) AS with_digit, count(*) FILTER (WHERE regexp_matches(v, '[^A-Za-z0-9 ]')) AS with_special, {pct('count(v)', 'count(*)')} AS fill_pct,
+  {pct('count(DISTINCT v)', 'count(v)')} AS unique_pct, 0.0::DOUBLE AS numeric_pct, round(sum(length(v)) / greatest(count(v), 1), 2) AS avg_len FROM v""",
+)
+_add("topk_values", lambda spark, sf: profile.top_values(table(spark, sf, "orders"), ["o_orderpriority", "o_orderstatus"], 3), " UNION ALL ".join(f"(SELECT '{c}' AS \"column\", {c} AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS rank FROM orders GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 3)" for c in ("o_orderpriority", "o_orderstatus")))
+_add("numeric_median_upper", lambda spark, sf: profile.upper_median(table(spark, sf, "orders"), "o_totalprice"), "WITH r AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders WHERE o_totalprice IS NOT NULL) SELECT x AS median_value, n FROM r WHERE i = n // 2")
+_add("duplicate_row_estimate", lambda spark, sf: profile.duplicate_estimate(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority", "o_orderdate"]), "SELECT count(*) AS total_rows, count(*) - count(DISTINCT (o_orderstatus, o_orderpriority, o_orderdate)) AS duplicates FROM orders")
+for _how, _agg in (("sum", "sum(local_spend)"), ("avg", "avg(local_spend::DOUBLE)"), ("distinct", "count(DISTINCT supplier)"), ("count", "count(*)")):
+    _measure = {"sum": F.col, "avg": lambda c: F.col(c).cast("double"), "distinct": lambda _: F.col("supplier"), "count": lambda _: None}[_how]
+    _add(f"slice_{_how}", lambda spark, sf, h=_how, m=_measure: profile.slice_by(S.spend(spark, sf, "supplier"), "vendor_country", m("local_spend"), h), BASE + f"SELECT vendor_country AS dimension, round(({_agg})::DOUBLE, 2) AS value FROM b GROUP BY 1 ORDER BY value DESC, dimension LIMIT 15")
+
+# Cleaning ----------------------------------------------------------------------------------
+_add("drop_blank_rows", lambda spark, sf: clean.drop_blank_rows(_holes(spark, sf), ["blanky"]).select("c_custkey", "blanky"), _HOLES + "SELECT c_custkey, blanky FROM h WHERE coalesce(trim(blanky), '') <> ''")
+_add("clean_case_trim", lambda spark, sf: clean.case_trim(_holes(spark, sf).select("c_custkey", "c_name", "blanky"), ["c_name", "blanky"]), _HOLES + "SELECT c_custkey, nullif(upper(trim(c_name)), '') AS c_name, nullif(upper(trim(blanky)), '') AS blanky FROM h")
+_add("dedup_keep_first", lambda spark, sf: clean.dedup_keep_first(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey", "o_orderstatus"], "o_orderkey"), "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1")
+_add("dedup_preview", lambda spark, sf: clean.dedup_preview(table(spark, sf, "orders"), ["o_custkey", "o_orderstatus"]), "SELECT count(*) AS total_rows, count(DISTINCT (o_custkey, o_orderstatus)) AS unique_rows, count(*) - count(DISTINCT (o_custkey, o_orderstatus)) AS duplicate_rows FROM orders")
+_add("standardize_pad", lambda spark, sf: table(spark, sf, "customer").select("c_custkey", C.pad("c_custkey", 3).alias("padded")), "SELECT c_custkey, right('000' || c_custkey, 3) AS padded FROM customer")
+_add("standardize_strip", lambda spark, sf: messy(spark, sf).select("id", C.strip_zeros("key_text").alias("stripped")), MESSY + "SELECT id, CASE WHEN regexp_matches(key_text, '^[0-9]+$') THEN coalesce(nullif(ltrim(key_text, '0'), ''), '0') ELSE key_text END AS stripped FROM m")
+_add("concat_columns", lambda spark, sf: clean.concat_columns(_holes(spark, sf).select("c_custkey", "c_mktsegment", "blanky"), ["c_mktsegment", "blanky"]), _HOLES + "SELECT c_custkey, c_mktsegment, blanky, coalesce(c_mktsegment, '') || coalesce(blanky, '') AS Concat_c_mktsegment_blanky FROM h")
+_add(
+    "column_format_analysis", lambda spark, sf: clean.column_format(messy(spark, sf), ["key_text"]),
+    MESSY + f"""SELECT 'key_text' AS "column", count(*) AS total, {pct("count(*) FILTER (WHERE regexp_matches(key_text, '^0[0-9]+$'))", 'count(*)')} AS leading_zero_pct, {pct("count(*) FILTER (WHERE regexp_matches(key_text, '^[0-9]+$'))", 'count(*)')} AS numeric_pct,
+  min(length(key_text))::INT AS min_len, max(length(key_text))::INT AS max_len, (SELECT length(key_text)::INT AS l FROM m GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode_len, 'none' AS advice FROM m""",
+)
+_add("delete_rows", lambda spark, sf: clean.delete_rows(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), table(spark, sf, "orders").where("o_orderstatus = 'F'"), "o_orderkey"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+
+
+def _restored(spark: SparkSession, sf: str) -> DataFrame:
+    rest, gone = clean.remove_columns(table(spark, sf, "customer"), ["c_mktsegment"], "c_custkey")
+    return clean.restore_columns(rest, gone, "c_custkey").select("c_custkey", "c_name", "c_mktsegment")
+
+
+_add("restore_columns", _restored, "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+_add("best_rows_preview", lambda spark, sf: clean.best_rows(_holes(spark, sf).select("c_custkey", "c_name", "blanky"), 10, "c_custkey"), _HOLES + "SELECT c_custkey, c_name, blanky, (1 + (coalesce(trim(blanky), '') <> '')::INT)::INT AS filled FROM (SELECT * FROM h ORDER BY c_custkey LIMIT 1000) ORDER BY filled DESC, c_custkey LIMIT 10")
+
+# Joins, sets, merge ------------------------------------------------------------------------
+_MERGE = [("o_custkey", "c_custkey")]
+_half = lambda spark, sf: table(spark, sf, "customer").where("c_custkey % 2 = 0")
+_add(
+    "simulate_join", lambda spark, sf: matching.simulate(table(spark, sf, "orders"), _half(spark, sf), _MERGE),
+    f"""WITH a AS (SELECT o_custkey AS k, count(*) AS a FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, count(*) AS b FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), f AS (SELECT * FROM a FULL JOIN c USING (k)),
+s AS (SELECT sum(a)::BIGINT AS base_rows, coalesce(sum(a) FILTER (WHERE b IS NOT NULL), 0)::BIGINT AS matched_rows, coalesce(sum(a * b), 0)::BIGINT AS joined_rows, coalesce(sum(a) FILTER (WHERE b IS NULL), 0)::BIGINT AS unmatched_base,
+  count(*) FILTER (WHERE a IS NULL) AS unmatched_source_keys, count(*) FILTER (WHERE b > 1) AS duplicate_source_keys FROM f)
+SELECT *, {pct('matched_rows', 'base_rows')} AS match_pct, round(joined_rows / greatest(matched_rows, 1), 4) AS explosion FROM s""",
+)
+_add(
+    "merge_left_dedup", lambda spark, sf: matching.merge(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), _half(spark, sf).union(_half(spark, sf)), _MERGE, ["c_name", "c_mktsegment"], "c_custkey"),
+    "SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey",
+)
+_add("merge_validation_anti_base", lambda spark, sf: matching.unmatched(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], _half(spark, sf), ["c_custkey"]), "SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 2 = 0 AND c_custkey = o_custkey)")
+_add("merge_validation_anti_source", lambda spark, sf: matching.unmatched(_half(spark, sf).select("c_custkey"), ["c_custkey"], table(spark, sf, "orders"), ["o_custkey"]), "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_add("semi_match_rate", lambda spark, sf: matching.match_rate(table(spark, sf, "orders"), ["o_custkey"], _half(spark, sf), ["c_custkey"]), f"WITH m AS (SELECT o_custkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AS hit FROM orders) SELECT count(*) AS rows, count(*) FILTER (WHERE hit) AS matched, count(DISTINCT CASE WHEN hit THEN o_custkey END) AS matched_keys, {pct('count(*) FILTER (WHERE hit)', 'count(*)')} AS match_pct FROM m")
+_add("dim_uniqueness", lambda spark, sf: matching.uniqueness(table(spark, sf, "orders"), ["o_custkey", "o_orderstatus"]), "SELECT count(*) AS rows, count(DISTINCT (o_custkey, o_orderstatus)) AS distinct_keys FROM orders")
+
+
+def _finalized(spark: SparkSession, sf: str) -> DataFrame:
+    base = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    step = lambda cols: matching.merge(base, table(spark, sf, "customer"), _MERGE, cols, "c_custkey")
+    return matching.finalize(base, [step(["c_name"]), step(["c_mktsegment"])], "o_orderkey")
+
+
+_add("finalize_chain", _finalized, "SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+_add("unmatched_except", lambda spark, sf: table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").select("o_custkey")), "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+_add(
+    "value_overlap_intersect", lambda spark, sf: profile.overlap(messy(spark, sf), "key_text", table(spark, sf, "customer"), "c_custkey"),
+    MESSY + f""", a AS (SELECT DISTINCT try_cast(key_text AS DOUBLE) AS k FROM m), c AS (SELECT DISTINCT c_custkey::DOUBLE AS k FROM customer), n AS (SELECT (SELECT count(*) FROM a) AS left_distinct, (SELECT count(*) FROM c) AS right_distinct, (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM c)) AS shared)
+SELECT *, {pct('shared', 'left_distinct')} AS of_left_pct, {pct('shared', 'least(left_distinct, right_distinct)')} AS of_smaller_pct FROM n""",
+)
+_add("key_normalization", lambda spark, sf: messy(spark, sf).groupBy(C.match_key("key_text").alias("k")).agg(F.count("*").alias("rows")).groupBy("rows").agg(F.count("*").alias("keys")), MESSY + "SELECT rows, count(*) AS keys FROM (SELECT try_cast(key_text AS DOUBLE) AS k, count(*) AS rows FROM m GROUP BY 1) GROUP BY rows")
+
+
+def _appended(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {"customers": table(spark, sf, "customer"), "suppliers": table(spark, sf, "supplier")}
+    return matching.append(tables, {"customers": {"c_name": "NAME", "c_mktsegment": "SEGMENT"}, "suppliers": {"s_name": "NAME"}}, ["NAME", "SEGMENT"])
+
+
+_UNION = "SELECT c_name AS NAME, c_mktsegment AS SEGMENT, 'customers' AS _source_table FROM customer UNION ALL SELECT s_name, NULL, 'suppliers' FROM supplier"
+_add("append_union_mapped", _appended, _UNION)
+_add("append_integrity", lambda spark, sf: _appended(spark, sf).groupBy("_source_table").agg(F.count("*").alias("rows"), F.count("SEGMENT").alias("with_segment")), f"SELECT _source_table, count(*) AS rows, count(SEGMENT) AS with_segment FROM ({_UNION}) GROUP BY 1")
+_add("outer_union_by_name", lambda spark, sf: table(spark, sf, "nation").select("n_name").unionByName(table(spark, sf, "region").select("r_name"), allowMissingColumns=True), "SELECT n_name, NULL::VARCHAR AS r_name FROM nation UNION ALL SELECT NULL, r_name FROM region")
+_add("find_join_keys", lambda spark, sf: matching.find_keys(table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), table(spark, sf, "region").select("r_regionkey")), """WITH f AS (SELECT DISTINCT 'n_nationkey' AS fact_column, n_nationkey AS v FROM nation UNION SELECT DISTINCT 'n_regionkey', n_regionkey FROM nation)
+SELECT fact_column, 'r_regionkey' AS dim_column, count(r_regionkey) AS shared, round(count(r_regionkey)::DOUBLE / count(*)::DOUBLE * 100, 2) AS overlap_pct FROM f LEFT JOIN region ON v = r_regionkey GROUP BY 1 HAVING overlap_pct >= 30""")
+
+# Dates and normalisers ---------------------------------------------------------------------
+_FORM = "CASE id % 7 WHEN 0 THEN 'YYYY-MM-DD' WHEN 1 THEN 'DD/MM/YYYY' WHEN 2 THEN 'DD.MM.YYYY' WHEN 3 THEN 'YYYYMMDD' WHEN 4 THEN 'DD-Mon-YYYY' ELSE 'other' END"
+_add("date_format_detection", lambda spark, sf: normalise.format_mix(messy(spark, sf), "date_text", "file"), MESSY + f"SELECT file, {_FORM} AS format, count(*) AS rows FROM m GROUP BY ALL")
+_add(
+    "dmy_mdy_vote", lambda spark, sf: normalise.dmy_votes(messy(spark, sf), "date_text", "file"),
+    MESSY + """, v AS (SELECT file, CASE WHEN id % 7 = 0 THEN 1 WHEN id % 7 IN (1, 2) THEN (day(d) > 12)::INT WHEN id % 7 = 4 THEN (day(d) > 12)::INT + 1 ELSE 0 END AS a FROM m)
+SELECT file, sum(a)::BIGINT AS dmy, 0::BIGINT AS mdy, 'DMY' AS date_order FROM v GROUP BY file""",
+)
+_add("date_parse_multi_gate", lambda spark, sf: normalise.dates_by_file(messy(spark, sf), "date_text", "file", "parsed").select("id", "parsed"), MESSY + "SELECT id, CASE WHEN id % 7 <> 6 THEN d END AS parsed FROM m")
+_add("excel_serial_dates", lambda spark, sf: messy(spark, sf).where("id % 7 = 5").select("id", dates.parse("date_text").alias("parsed")), MESSY + "SELECT id, DATE '1899-12-30' + date_text::INT AS parsed FROM m WHERE id % 7 = 5")
+_add("year_month_extract", lambda spark, sf: messy(spark, sf).select(dates.parse("date_text").alias("p")).groupBy(F.year("p").alias("year"), F.month("p").alias("month")).agg(F.count("*").alias("rows")), MESSY + "SELECT CASE WHEN id % 7 <> 6 THEN year(d) END::INT AS year, CASE WHEN id % 7 <> 6 THEN month(d) END::INT AS month, count(*) AS rows FROM m GROUP BY ALL")
+_add("supplier_suffix_clean", lambda spark, sf: messy(spark, sf).groupBy("supplier", C.supplier_name("supplier").alias("cleaned")).agg(F.count("*").alias("rows")), MESSY + """, n(raw, cleaned) AS (VALUES ('Acme Tools Inc.', 'Acme Tools'), ('Globex Corporation', 'Globex'), ('Initech  Holdings, LLC', 'Initech'), ('umbrella.com', 'umbrella'), ('Stark Industries Group Ltd', 'Stark Industries'), ('Wayne Co.', 'Wayne'), ('Hooli', 'Hooli'))
+SELECT supplier, cleaned, count(*) AS rows FROM m JOIN n ON raw = supplier GROUP BY ALL""")
+_COUNTRY = "n(raw, c) AS (VALUES ('us', 'United States'), ('U.S.A.', 'United States'), ('DEU', 'Germany'), ('Germany', 'Germany'), ('gb', 'United Kingdom'), ('jp', 'Japan'))"
+_add("country_iso_lookup", lambda spark, sf: normalise.countries(messy(spark, sf).withColumnRenamed("country", "raw"), "raw").groupBy("raw", "country", "normalized_via").agg(F.count("*").alias("rows")), MESSY + f", {_COUNTRY} SELECT country AS raw, c AS country, CASE WHEN c IS NULL THEN '' ELSE 'ISO Lookup' END AS normalized_via, count(*) AS rows FROM m LEFT JOIN n ON raw = country GROUP BY ALL")
+_add("region_from_country", lambda spark, sf: normalise.regions(normalise.countries(messy(spark, sf).withColumnRenamed("country", "raw"), "raw"), "country").groupBy("region_norm").agg(F.count("*").alias("rows")), MESSY + f", {_COUNTRY} SELECT CASE c WHEN 'United States' THEN 'NA' WHEN 'Japan' THEN 'APAC' WHEN 'Germany' THEN 'EMEA' WHEN 'United Kingdom' THEN 'EMEA' END AS region_norm, count(*) AS rows FROM m LEFT JOIN n ON raw = country GROUP BY ALL")
+_add("plant_cleanup", lambda spark, sf: messy(spark, sf).groupBy("plant", C.plant_name("plant").alias("cleaned")).agg(F.count("*").alias("rows")), MESSY + """, n(raw, cleaned) AS (VALUES ('Plant A-001', 'Plant A'), ('Site  B (old)', 'Site B'), ('Lyon_1234', 'Lyon'), ('Main Works', 'Main Works'), ('Depot C (x)-567', 'Depot C'))
+SELECT plant, cleaned, count(*) AS rows FROM m JOIN n ON raw = plant GROUP BY ALL""")
+_add("payment_term_parse", lambda spark, sf: normalise.payment_terms(messy(spark, sf), "term").groupBy("term", "term_days", "term_discount", "term_doubt").agg(F.count("*").alias("rows")), MESSY + """, n(raw, days, discount) AS (VALUES ('Net 30', '30', ''), ('N45', '45', ''), ('60 days', '60', ''), ('COD', '0', ''), ('2%10 Net 30', '30', '2% discount if paid within 10 days'), ('CIA', '0', 'Cash in advance'), ('due on receipt', '0', ''), ('90', '90', ''))
+SELECT term, days AS term_days, coalesce(discount, '') AS term_discount, days IS NULL AND term <> '' AS term_doubt, count(*) AS rows FROM m LEFT JOIN n ON raw = term GROUP BY ALL""")
+_add("fuzzy_supplier_dedup", lambda spark, sf: normalise.supplier_clusters(messy(spark, sf), "supplier"))
+
+_AMOUNTS = "a(raw, x) AS (VALUES ('1,234.50', 1234.5), ('$99', 99), ('(250.00)', -250), ('1e3', 1000), ('-7', -7), ('00042', 42))"
+_FX = MESSY + f", {_AMOUNTS}, r AS ({RATE_SQL}), l AS (SELECT currency, max_by(rate, year * 12 + month) AS latest FROM r GROUP BY 1), y AS (SELECT currency, avg(rate) AS mean FROM r WHERE year = 1998 GROUP BY 1), x AS (SELECT id, d, a.x::DOUBLE AS x, nullif(upper(trim(ccy)), '') AS c FROM m LEFT JOIN a ON raw = amount)"
+_STATUS = "CASE WHEN x IS NULL THEN 'spend_invalid' WHEN c IS NULL THEN 'currency_missing' WHEN rate IS NULL THEN 'unsupported_currency' WHEN fell THEN 'fallback' ELSE 'converted' END"
+_MONTHLY = ", j AS (SELECT x.*, CASE WHEN c = 'USD' THEN 1.0 ELSE coalesce(r.rate, latest) END::DOUBLE AS rate, coalesce(c <> 'USD' AND r.rate IS NULL AND latest IS NOT NULL, false) AS fell FROM x LEFT JOIN r ON r.currency = c AND r.year = year(d) AND r.month = month(d) LEFT JOIN l ON l.currency = c)"
+_YEAR = ", j AS (SELECT x.*, CASE WHEN c = 'USD' THEN 1.0 ELSE mean END::DOUBLE AS rate, false AS fell FROM x LEFT JOIN y ON y.currency = c)"
+_LATEST = ", j AS (SELECT x.*, CASE WHEN c = 'USD' THEN 1.0 ELSE latest END::DOUBLE AS rate, false AS fell FROM x LEFT JOIN l ON l.currency = c)"
+
+
+def _converted(mode: str, target: str = "USD"):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        out = normalise.convert(messy(spark, sf), "amount", "ccy", "d", rates(spark), mode, 1998, target)
+        return out.select("id", "status", F.round("converted", 4).alias("converted"))
+
+    return query
+
+
+for _name, _mode, _sql in (("fx_convert_monthly", "monthly", _MONTHLY), ("fx_convert_scope_year", "scope_year", _YEAR), ("fx_convert_latest", "latest", _LATEST)):
+    _add(_name, _converted(_mode), _FX + _sql + f" SELECT id, {_STATUS} AS status, CASE WHEN {_STATUS} IN ('converted', 'fallback') THEN round(x / rate, 4) END AS converted FROM j")
+_add("fx_cross_rate", _converted("latest", "EUR"), _FX + _LATEST + f", k AS (SELECT id, x, c, CASE WHEN c = 'EUR' THEN 1.0 ELSE rate / (SELECT latest FROM l WHERE currency = 'EUR') END AS rate, fell FROM j) SELECT id, {_STATUS} AS status, CASE WHEN {_STATUS} = 'converted' THEN round(x / rate, 4) END AS converted FROM k")
+_add("fx_status_counts", lambda spark, sf: _converted("monthly")(spark, sf).groupBy("status").agg(F.count("*").alias("rows")), _FX + _MONTHLY + f" SELECT {_STATUS} AS status, count(*) AS rows FROM j GROUP BY 1")
+_add("unsupported_currencies", lambda spark, sf: messy(spark, sf).where(C.non_blank("ccy")).groupBy(F.upper(F.trim("ccy")).alias("currency")).agg(F.count("*").alias("rows")).join(rates(spark).select("currency").distinct(), "currency", "left_anti").where("currency <> 'USD'"), _FX + " SELECT c AS currency, count(*) AS rows FROM x WHERE c IS NOT NULL AND c <> 'USD' AND c NOT IN (SELECT currency FROM l) GROUP BY 1")
+
+# Typed table -------------------------------------------------------------------------------
+_MAPPING = {"amount": "total_spend", "date_text": "invoice_date", "supplier": "supplier"}
+_add("typed_cast_report", lambda spark, sf: typed.report(messy(spark, sf), _MAPPING), MESSY + f""", s AS (SELECT 'total_spend' AS field, count(*) FILTER (WHERE trim(amount) <> '') AS given, count(*) FILTER (WHERE amount IN ('1,234.50', '$99', '1e3', '-7', '12 000', '00042')) AS valid FROM m
+UNION ALL SELECT 'invoice_date', count(*), count(*) FILTER (WHERE id % 7 <> 6) FROM m UNION ALL SELECT 'supplier', count(*), count(*) FROM m)
+SELECT field, given, valid, given - valid AS failed, {pct('valid', 'given')} AS valid_pct FROM s""")
+_add("typed_cast_failures", lambda spark, sf: typed.failures(messy(spark, sf), _MAPPING), MESSY + """, f AS (SELECT 'total_spend' AS "column", amount AS value, count(*) AS count FROM m WHERE amount IN ('(250.00)', 'abc', '2024-01-15') GROUP BY ALL UNION ALL SELECT 'invoice_date', 'n/a', count(*) FROM m WHERE id % 7 = 6)
+SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value)::INT AS rank FROM f""")
+_add("null_audit", lambda spark, sf: typed.null_rows(typed.build(messy(spark, sf), _MAPPING)).groupBy("supplier").agg(F.count("*").alias("rows")), MESSY + "SELECT supplier, count(*) AS rows FROM m WHERE id % 7 = 6 OR amount NOT IN ('1,234.50', '$99', '1e3', '-7', '12 000', '00042') GROUP BY 1")
+_add("running_balance", lambda spark, sf: running.running(_balance(spark, sf).where("balance > 0").select("c_custkey", "balance"), "balance", "c_custkey").select("c_custkey", "rank", F.col("cumulative").cast("double").alias("cumulative")), "SELECT c_custkey, row_number() OVER w AS rank, (sum(c_acctbal::DECIMAL(18,2)) OVER (w ROWS UNBOUNDED PRECEDING))::DOUBLE AS cumulative FROM customer WHERE c_acctbal > 0 WINDOW w AS (ORDER BY c_acctbal DESC, c_custkey)")
+
+# Schema-level operators: a few strings on the driver -----------------------------------------
+_HEADERS = ["Invoice Date", "VendorName", "inv amt", "WAERS", "Unnamed: 3", "Lieferant", "Plnt", "Payment Trms", "zzz"]
+_add("header_match_tiers", lambda spark, sf: spark.createDataFrame([(m.header, m.field, m.tier, m.score) for m in headers.match_all(_HEADERS)], "header string, field string, tier string, score double"))
+_add("feasibility_registry", lambda spark, sf: spark.createDataFrame(views.feasibility(views.VIEW_FIELDS, {"invoice_date", "total_spend", "supplier", "l1"}), "view string, available boolean, missing array<string>"))
+_add("header_jaccard", lambda spark, sf: spark.createDataFrame(matching.header_pairs(["Supplier Name", "Amount", "po_number"], ["supplier_name", "Amounts", "Plant"]), "base string, source string, score double"))

@@ -24,9 +24,10 @@ def read_csv(spark: SparkSession, path: str, header: bool = False, multiline: bo
     from, then the row in it. multiline reads a file in one task; without it large files split.
     """
     read = spark.read.option("header", header).option("inferSchema", False).option("multiLine", multiline).option("encoding", "UTF-8")
-    df = read.option("emptyValue", "").option("nullValue", "\u0000").option("mode", "PERMISSIVE").csv(path)
+    df = read.option("emptyValue", "").option("mode", "PERMISSIVE").csv(path)
+    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return df.select("*", F.col("_metadata.file_name").alias("FILE_NAME"), place.alias("_place"))
+    return df.select(*cells, F.col("_metadata.file_name").alias("FILE_NAME"), place.alias("_place"))
 
 
 def numbered(df: DataFrame, place: str = "_place") -> DataFrame:

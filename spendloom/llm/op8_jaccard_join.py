@@ -32,6 +32,8 @@ SHINGLE = 5
 COUNTER_BITS = 20
 COUNTER_ROWS = 32
 FILTER_BITS = 23
+#: Bits of one row of bitmap_construct_agg.
+BITMAP_BITS = 1 << 15
 SMALL_BAND = 5
 #: Rounds in which every set is compared with one leader per key before the exact one.
 TURNS = 2
@@ -210,10 +212,11 @@ def _active(docs: DataFrame, active: DataFrame) -> DataFrame:
     A bitmap of fixed size drops most others before the join moves any text.
     """
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int")
-    parts = active.select(slot.alias("slot")).distinct().groupBy((F.col("slot") / 4096).cast("int").alias("part"))
+    parts = active.select(slot.alias("slot")).distinct().groupBy((F.col("slot") / BITMAP_BITS).cast("int").alias("part"))
     bitmap = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for part, bits in parts.agg(F.bitmap_construct_agg((F.col("slot") % 4096).cast("long")).alias("bits")).toLocalIterator():
-        bitmap[part * 512 : (part + 1) * 512] = np.frombuffer(bits, np.uint8)[:512]
+    # One row of 4 kB for each of the 2^FILTER_BITS / BITMAP_BITS parts, whatever the corpus.
+    for part, bits in parts.agg(F.bitmap_construct_agg((F.col("slot") % BITMAP_BITS).cast("long")).alias("bits")).collect():
+        bitmap[part * BITMAP_BITS // 8 : (part + 1) * BITMAP_BITS // 8] = np.frombuffer(bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

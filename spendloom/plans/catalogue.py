@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
 from spendloom.functions import dates
-from spendloom.operators import clean, headers, matching, normalise, panels, profile, running, typed, views
+from spendloom.operators import assess, clean, headers, matching, normalise, panels, profile, running, typed, views
 from spendloom.plans import spend as S
 from spendloom.plans.messy import MESSY, RATE_SQL, messy, rates
 from spendloom.plans.spend import BASE, dbl, pct, table
@@ -288,6 +288,52 @@ SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value)::
 _add("null_audit", lambda spark, sf: typed.null_rows(typed.build(messy(spark, sf), _MAPPING)).groupBy("supplier").agg(F.count("*").alias("rows")), MESSY + "SELECT supplier, count(*) AS rows FROM m WHERE id % 7 = 6 OR amount NOT IN ('1,234.50', '$99', '1e3', '-7', '12 000', '00042') GROUP BY 1")
 _add("running_balance", lambda spark, sf: running.running(_balance(spark, sf).where("balance > 0").select("c_custkey", "balance"), "balance", "c_custkey").select("c_custkey", "rank", F.col("cumulative").cast("double").alias("cumulative")), "SELECT c_custkey, row_number() OVER w AS rank, (sum(c_acctbal::DECIMAL(18,2)) OVER (w ROWS UNBOUNDED PRECEDING))::DOUBLE AS cumulative FROM customer WHERE c_acctbal > 0 WINDOW w AS (ORDER BY c_acctbal DESC, c_custkey)")
 
+# Assessments --------------------------------------------------------------------------------
+_FILLED = "count(*) FILTER (WHERE {0} IS NOT NULL AND trim({0}) <> '')"
+_add(
+    "populated_columns", lambda spark, sf: assess.populated(messy(spark, sf), ["amount", "supplier"]),
+    MESSY + ", s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {_FILLED.format(c)} AS populated, count(*) AS total FROM m" for c in ("amount", "supplier"))
+    + ') SELECT "column", populated, total, round(populated * 100.0::DOUBLE / total, 1) AS pct_populated, populated * 100.0::DOUBLE / total < 60 AS warn FROM s',
+)
+_add(
+    "spend_metrics", lambda spark, sf: assess.spend_metrics(messy(spark, sf), "amount"),
+    MESSY + """, n AS (SELECT amount, regexp_replace(trim(amount), '[, ]', '', 'g') AS v FROM m),
+c AS (SELECT coalesce(trim(amount), '') <> '' AS given, CASE WHEN regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN v::DOUBLE END AS x FROM n)
+SELECT count(*) AS rows, round(sum(coalesce(x, 0)), 0) AS total_spend, count(*) FILTER (WHERE given AND x IS NOT NULL) AS numeric, count(*) FILTER (WHERE given AND x IS NULL) AS non_numeric FROM c""",
+)
+_add(
+    "currency_quality", _on_spend("supplier")(lambda b: assess.currency_quality(b, "currency", "local_spend", "total_spend", 2)),
+    BASE + f""", per AS (SELECT currency, count(*) AS n, sum(local_spend) AS l, sum(total_spend) AS r FROM b GROUP BY currency),
+k AS (SELECT *, row_number() OVER (ORDER BY r DESC, n DESC, currency) AS place, sum(n) OVER () AS whole FROM per)
+SELECT CASE WHEN place <= 2 THEN currency ELSE 'Others' END AS code, sum(n)::BIGINT AS rows, {pct('sum(n)', 'any_value(whole)')} AS rows_pct, round(sum(l)::DOUBLE, 0) AS local_spend, round(sum(r)::DOUBLE, 0) AS reporting_spend FROM k GROUP BY 1""",
+)
+_add(
+    "alphanumeric_spend", _on_spend("supplier", "part")(lambda b: assess.alphanumeric_spend(b, "description", "total_spend", "currency")),
+    BASE + f"SELECT currency, count(*) AS rows, {dbl('sum(total_spend)')} AS total_spend FROM b WHERE regexp_matches(description, '[A-Za-z0-9]') GROUP BY currency",
+)
+_add(
+    "spend_over_time_metrics", _on_spend()(lambda b: assess.time_metrics(b, "invoice_date", "total_spend")),
+    _MONTHS + f""", p AS (SELECT (year * 100 + month)::INT AS month, spend FROM mo)
+SELECT {dbl('sum(spend)')} AS total_spend, (min(month) // 100)::INT AS first_year, (max(month) // 100)::INT AS last_year, round(sum(spend)::DOUBLE / count(*), 2) AS avg_month,
+first(month ORDER BY spend DESC, month) AS highest_month, {dbl('max(spend)')} AS highest_spend, first(month ORDER BY spend, month) AS lowest_month, {dbl('min(spend)')} AS lowest_spend FROM p""",
+)
+
+
+def _overlap(spark: SparkSession, sf: str) -> DataFrame:
+    columns = {"customer": ("c_custkey", "c_nationkey"), "orders": ("o_custkey", "o_orderstatus"), "supplier": ("s_suppkey", "s_nationkey")}
+    named = {t: table(spark, sf, t).select(F.col(k).alias("Key"), F.col(x).alias("status" if t == "orders" else "nation")) for t, (k, x) in columns.items()}
+    return assess.table_overlap(named)
+
+
+_add(
+    "table_overlap", _overlap,
+    """WITH v AS (SELECT DISTINCT 'customer' AS t, 'key' AS c, c_custkey AS v FROM customer UNION ALL SELECT DISTINCT 'customer', 'nation', c_nationkey FROM customer
+UNION ALL SELECT DISTINCT 'orders', 'key', o_custkey FROM orders UNION ALL SELECT DISTINCT 'supplier', 'key', s_suppkey FROM supplier UNION ALL SELECT DISTINCT 'supplier', 'nation', s_nationkey FROM supplier),
+n AS (SELECT t, c, count(*) AS n FROM v GROUP BY ALL), x AS (SELECT a.t AS a, b.t AS b, a.c, count(*) AS shared FROM v a JOIN v b ON a.c = b.c AND a.v = b.v AND a.t < b.t GROUP BY ALL)
+SELECT p.t AS a, q.t AS b, count(*)::INT AS shared_headers, round(count(*) / 2::DOUBLE, 4) AS header_overlap, round(avg(coalesce(shared, 0)::DOUBLE / least(p.n, q.n)), 4) AS value_overlap
+FROM n p JOIN n q ON p.c = q.c AND p.t < q.t LEFT JOIN x ON x.a = p.t AND x.b = q.t AND x.c = p.c GROUP BY ALL""",
+)
+
 # Schema-level operators: a few strings on the driver -----------------------------------------
 _HEADERS = ["Invoice Date", "VendorName", "inv amt", "WAERS", "Unnamed: 3", "Lieferant", "Plnt", "Payment Trms", "zzz"]
 _add("header_match_tiers", lambda spark, sf: spark.createDataFrame([(m.header, m.field, m.tier, m.score) for m in headers.match_all(_HEADERS)], "header string, field string, tier string, score double"))

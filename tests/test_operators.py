@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
 from spendloom.functions import dates
-from spendloom.operators import clean, headers, matching, normalise, panels, profile, running, typed, views
+from spendloom.operators import assess, clean, headers, matching, normalise, panels, profile, running, typed, views
 from spendloom.operators.session import Session
 from spendloom.sources import files
 from spendloom.streaming import spend as stream
@@ -206,3 +206,24 @@ def test_entry_without_llm(monkeypatch):
     import __spark_entry__ as entry
 
     assert {"pareto_80", "supplier_ranking"} <= {*entry.queries()} and {*entry.oracle_sql()} <= {*entry.queries()}
+
+
+def test_populated_of_blank_cells_and_empty_tables(spark):
+    df = spark.createDataFrame([("a", None), (" ", "x"), (None, "y"), ("b", "z"), ("c", "")], "p string, q string")
+    assert {tuple(r) for r in assess.populated(df, ["p", "q"]).collect()} == {("p", 3, 5, 60.0, False), ("q", 3, 5, 60.0, False)}
+    assert {tuple(r) for r in assess.populated(df.limit(0), ["p"]).collect()} == {("p", 0, 0, 0.0, True)}
+
+
+def test_currency_quality_counts_blank_codes_in_the_whole_only(spark):
+    df = spark.createDataFrame([(" usd", 1.0, 9.0), ("USD", 1.0, 1.0), ("EUR", 2.0, 5.0), ("GBP", 3.0, None), ("", 7.0, 7.0), (None, 7.0, 7.0)], "c string, l double, r double")
+    got = {tuple(r) for r in assess.currency_quality(df, "c", "l", "r", 2).collect()}
+    assert got == {("USD", 2, 33.33, 2.0, 10.0), ("EUR", 1, 16.67, 2.0, 5.0), ("Others", 1, 16.67, 3.0, None)}
+
+
+def test_overlap_of_tables(spark):
+    a = spark.createDataFrame([("007", "x"), ("8", None), ("8", "y")], "Id string, name string")
+    b = spark.createDataFrame([(7.0, 1), (9.0, 2)], "` id` double, other int")
+    none = spark.createDataFrame([("q",)], "lone string")
+    assert [tuple(r) for r in assess.table_overlap({"a": a, "b": b, "none": none}).collect()] == [("a", "b", 1, 0.5, 0.5)]
+    assert assess.table_overlap({"a": a, "none": none}).count() == 0
+    assert assess.schema_consistency([["A", "b"], ["a "], ["c"]]) == pytest.approx(1 / 6) and assess.schema_consistency([["a"]]) == 1.0

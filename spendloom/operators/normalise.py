@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
 from spendloom.functions import constants as K
 from spendloom.functions import dates
+from spendloom.operators import nearnames
 
 
 def dmy_votes(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -61,33 +60,14 @@ def regions(df: DataFrame, country: str, region: str | None = None) -> DataFrame
     return joined.withColumn("region_norm", F.coalesce(own, "_r")).drop("_c", "_r")
 
 
-def _clusters(names: list[str], threshold: float) -> dict[str, str]:
-    canonical: list[str] = []
-    of = {}
-    for name in sorted(names, key=lambda x: (x.lower(), x)):
-        near = next((c for c in canonical if difflib.SequenceMatcher(None, name.lower(), c.lower()).ratio() > threshold), None)
-        if near is None:
-            canonical.append(name)
-        of[name] = near or name
-    return of
-
-
 def supplier_clusters(df: DataFrame, column: str, threshold: float = 0.9) -> DataFrame:
-    """(supplier, cleaned, canonical): cleaned names, near-equal ones of one block under their first.
+    """(supplier, cleaned, canonical): distinct names, cleaned ones under the first near one.
 
-    Distinct names only, blocked by their first four letters, so a block is a few names and
-    greedy clustering stays local to it.
+    Cleaned names are taken in the order of their lower case; each joins the first canonical
+    name whose ratio is over the threshold, wherever they differ, or becomes canonical itself.
     """
-    import pandas as pd
-
     named = df.where(C.non_blank(column)).select(F.trim(C.text(column)).alias("supplier")).distinct().withColumn("cleaned", C.supplier_name("supplier"))
-    named = named.withColumn("block", F.lower(F.substring("cleaned", 1, 4)))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = _clusters(sorted(set(pdf["cleaned"])), threshold)
-        return pdf.assign(canonical=pdf["cleaned"].map(of))[["supplier", "cleaned", "canonical"]]
-
-    return named.groupBy("block").applyInPandas(cluster, "supplier string, cleaned string, canonical string")
+    return named.join(nearnames.canonical(named, "cleaned", threshold), "cleaned").select("supplier", "cleaned", "canonical")
 
 
 def payment_terms(df: DataFrame, column: str) -> DataFrame:

@@ -11,7 +11,7 @@ from spendloom.functions import columns as C
 from spendloom.functions import dates
 from spendloom.operators import assess, clean, headers, matching, normalise, panels, profile, running, typed, views
 from spendloom.plans import spend as S
-from spendloom.plans.messy import MESSY, RATE_SQL, messy, rates
+from spendloom.plans.messy import MESSY, RATE_SQL, messy, rates, typed_names
 from spendloom.plans.spend import BASE, dbl, pct, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,7 +254,7 @@ _add("plant_cleanup", lambda spark, sf: messy(spark, sf).groupBy("plant", C.plan
 SELECT plant, cleaned, count(*) AS rows FROM m JOIN n ON raw = plant GROUP BY ALL""")
 _add("payment_term_parse", lambda spark, sf: normalise.payment_terms(messy(spark, sf), "term").groupBy("term", "term_days", "term_discount", "term_doubt").agg(F.count("*").alias("rows")), MESSY + """, n(raw, days, discount) AS (VALUES ('Net 30', '30', ''), ('N45', '45', ''), ('60 days', '60', ''), ('COD', '0', ''), ('2%10 Net 30', '30', '2% discount if paid within 10 days'), ('CIA', '0', 'Cash in advance'), ('due on receipt', '0', ''), ('90', '90', ''))
 SELECT term, days AS term_days, coalesce(discount, '') AS term_discount, days IS NULL AND term <> '' AS term_doubt, count(*) AS rows FROM m LEFT JOIN n ON raw = term GROUP BY ALL""")
-_add("fuzzy_supplier_dedup", lambda spark, sf: normalise.supplier_clusters(messy(spark, sf), "supplier"))
+_add("fuzzy_supplier_dedup", lambda spark, sf: normalise.supplier_clusters(typed_names(spark, sf), "supplier"))
 
 _AMOUNTS = "a(raw, x) AS (VALUES ('1,234.50', 1234.5), ('$99', 99), ('(250.00)', -250), ('1e3', 1000), ('-7', -7), ('00042', 42))"
 _FX = MESSY + f", {_AMOUNTS}, r AS ({RATE_SQL}), l AS (SELECT currency, max_by(rate, year * 12 + month) AS latest FROM r GROUP BY 1), y AS (SELECT currency, avg(rate) AS mean FROM r WHERE year = 1998 GROUP BY 1), x AS (SELECT id, d, a.x::DOUBLE AS x, nullif(upper(trim(ccy)), '') AS c FROM m LEFT JOIN a ON raw = amount)"

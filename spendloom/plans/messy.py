@@ -33,6 +33,16 @@ def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of messy() and of all suppliers, with a typing error each at a place that the key tells: supplier."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))
+    at = (F.col("k") % 7 + 1).cast("int")
+    cut = lambda a, b: F.substr("name", F.lit(a) if isinstance(a, int) else a, F.lit(b) if isinstance(b, int) else b)
+    head, one, two, tail = cut(1, at - 1), cut(at, 1), cut(at + 1, 1), cut(at + 2, 1 << 20)
+    wrong = F.when(F.col("k") % 3 == 0, F.concat(head, two, one, tail)).when(F.col("k") % 3 == 1, F.concat(head, two, tail)).otherwise(F.concat(head, one, one, two, tail))
+    return s.select(F.explode(F.array("name", wrong)).alias("supplier")).union(messy(spark, sf_dir).select("supplier"))
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 

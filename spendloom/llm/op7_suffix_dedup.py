@@ -27,6 +27,8 @@ LENGTH = 400
 GRAM = 64
 #: Different surroundings of one anchor that are sorted together.
 GROUP = 2_000
+#: Bytes of a longer text whose anchors are found together; under 2^_POSITION.
+STRETCH = 1 << 22
 _POSITION = 26
 
 _U = np.uint64
@@ -49,7 +51,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     if len(data) < length:
         return empty, empty.view(_U), empty, empty
     if len(data) >> _POSITION:
-        raise ValueError("a text of over 64 MB must be cut before")
+        raise ValueError("a stretch of 64 MB or more")
     hashes = gram_hashes(data, gram)
     low = _U((1 << _POSITION) - 1)
     least = _sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=_U), length - gram + 1)
@@ -64,6 +66,29 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     return chosen[new], hashes[chosen[new]], first, last
 
 
+def _runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int = GRAM, stretch: int = STRETCH) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor, its hash, hash of the surroundings, first window, last window) of all runs, in parts.
+
+    A text over `stretch` is taken in stretches. The last run of one may go on beyond it, so the
+    next stretch starts with that run's first window: the runs are those of the whole text.
+    """
+
+    def part(base: int, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        at, h, first, last = anchors(data, bounds, length, gram)
+        around = mix(span_hashes(data, first, last + length) + (at - last).astype(_U))
+        return at + base, h, around, first + base, last + base
+
+    if len(data) <= stretch:
+        yield part(0, data, bounds)
+        return
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        while hi - lo > stretch:
+            found = part(lo, data[lo : lo + stretch], np.array([0, stretch]))
+            yield tuple(x[:-1] for x in found)
+            lo = int(found[3][-1])
+        yield part(lo, data[lo:hi], np.array([0, hi - lo]))
+
+
 def _find(docs: DataFrame, length: int) -> DataFrame:
     """Anchors of all documents: hash, hash of the surroundings, place, and distances of its windows."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -71,13 +96,12 @@ def _find(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
-                at, h, first, last = anchors(block.data, block.bounds, length)
-                around = mix(span_hashes(block.data, first, last + length) + (at - last).astype(_U))
-                doc = np.searchsorted(block.bounds, at, "right") - 1
-                where = pa.array(doc + block.lo)
-                columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(h.view(np.int64)), pa.array(around.view(np.int64))]
-                columns += [pa.array(x.astype(np.int32)) for x in (at - block.bounds[doc], at - last, at - first)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "h", "around", "at", "near", "far"])
+                for at, h, around, first, last in _runs(block.data, block.bounds, length):
+                    doc = np.searchsorted(block.bounds, at, "right") - 1
+                    where = pa.array(doc + block.lo)
+                    columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(h.view(np.int64)), pa.array(around.view(np.int64))]
+                    columns += [pa.array(x.astype(np.int32)) for x in (at - block.bounds[doc], at - last, at - first)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "version", "h", "around", "at", "near", "far"])
 
     return docs.select("id", "version", "text").mapInArrow(run, f"id {kind}, version long, h long, around long, at int, near int, far int")
 

@@ -22,8 +22,10 @@ from spendloom.llm import tables
 from spendloom.llm.textblock import Words, blocks, mix, span_hashes
 
 UNKNOWN = "und"
-#: The fit sees about so many texts a language, of at most so many bytes each.
+#: The fit sees at most so many texts a language, of at most so many bytes each.
 SAMPLE_TEXTS, SAMPLE_BYTES = 300, 200_000
+#: Of a column with more labels than these the commonest are learned; the fit is held on the driver.
+SAMPLE_LABELS = 200
 FEATURE_BITS = 18
 AFFIXES, NGRAMS = (1, 2, 3, 4), (1, 2, 3)
 STEPS, BATCH, SEQUENCE, RATE, DECAY = 260, 48, 64, 0.08, 1e-4
@@ -195,18 +197,39 @@ def _words(block) -> Words:
     return words
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", texts: int = SAMPLE_TEXTS) -> Model:
-    """Fit on a sample of labelled rows, about `texts` of each label, chosen by a hash of the id.
+def _smallest(rows: DataFrame, texts: int) -> DataFrame:
+    """(label, cut): the hash of each label's last text of `texts`, by distinct hashes; tasks keep so many only."""
 
-    Rows without a label, a text or a letter teach nothing. Without any, the model is empty.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, np.ndarray] = {}
+        for batch in batches:
+            hashes, names = batch.column(1).to_numpy(), batch.column(0).dictionary_encode()
+            codes = names.indices.to_numpy()
+            for k, label in enumerate(names.dictionary.to_pylist()):
+                least[label] = np.unique(np.r_[least.get(label, hashes[:0]), hashes[codes == k]])[:texts]
+        for label, found in least.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array(found, pa.int64())], ["label", "h"])
+
+    each = rows.select("label", "h").mapInArrow(run, "label string, h long")
+    return each.groupBy("label").agg(F.array_max(F.slice(F.array_sort(F.collect_set("h")), 1, texts)).alias("cut"))
+
+
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", texts: int = SAMPLE_TEXTS, labels: int = SAMPLE_LABELS) -> Model:
+    """Fit on a sample of labelled rows: the `texts` of each label with the smallest hash of id and text.
+
+    Rows without a label, a text or a letter teach nothing, those of one id and text count once,
+    and ids may be null or repeat. Of more than `labels` labels the commonest are learned.
+    Without any, the model is empty.
     """
-    labelled = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("label")).where("text is not null and label is not null")
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if not counts:
+    labelled = docs.select(F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("label"), F.xxhash64(id_column, text_column).alias("h"))
+    labelled = labelled.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    common = [r["label"] for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()]
+    if not common:
         return Model([], np.zeros((0, 0), np.float32), np.zeros(0, _U), np.zeros((0, 0)))
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, texts / n)))))
-    chosen = labelled.where((F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share[F.col("label")] * 1_000_003))
-    sample = chosen.toPandas().sort_values(["id", "label", "text"])
+    cuts = _smallest(labelled.where(F.col("label").isin(common)), texts).collect()
+    cut = F.create_map(*(x for r in cuts for x in (F.lit(r["label"]), F.lit(r["cut"]))))
+    chosen = labelled.where(F.col("h") <= cut[F.col("label")]).groupBy("label", "h").agg(F.min("text").alias("text"))
+    sample = chosen.toPandas().sort_values(["label", "h"])
     block = next(blocks(pa.array(sample["text"], pa.string()), limit=1 << 62), None)
     words = _words(block) if block else None
     has = np.flatnonzero(words.counts()) if block else []

@@ -39,6 +39,8 @@ SMALL_BAND = 5
 TURNS = 2
 #: Sets of one key that are compared in one piece.
 PART = 4_096
+#: Such pieces of a key are fewer than 2^PART_BITS.
+PART_BITS = 20
 #: Smallest keys of a set that tell under which one of them a pair is given.
 FIRST_KEYS = 8
 #: Sketches are this many times shorter where they are compared key by key.
@@ -63,10 +65,9 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 yield hashes[:0]
 
 
-def set_hash(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set; a set's node in the graph of links is the first."""
-    spread = mix(shingles ^ _U(0x5851F42D4C957F2D))
-    return int(np.bitwise_xor.reduce(spread).view(np.int64)), int(spread.sum(dtype=_U).view(np.int64))
+def set_hash(shingles: np.ndarray) -> int:
+    """A set's node in the graph of links: a 64-bit hash of the set."""
+    return int(np.bitwise_xor.reduce(mix(shingles ^ _U(0x5851F42D4C957F2D))).view(np.int64))
 
 
 def offered(shingles: np.ndarray, counters: np.ndarray) -> np.ndarray:
@@ -113,29 +114,24 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def _measure(docs: DataFrame) -> DataFrame:
-    """(id, n, h1, h2) of every document, and rows (null, part, null, null, counts) of the shingle counters."""
+    """(id, row keys, n, node) of every document, and rows with part and counts of the shingle counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
-            n, h1, h2 = [], [], []
-            for own in shingle_sets(batch.column(1)):
+            n, nodes = [], []
+            for own in shingle_sets(batch.column(3)):
                 n.append(len(own))
-                a, b = set_hash(own)
-                h1.append(a)
-                h2.append(b)
-                at = own >> _U(64 - COUNTER_BITS)
-                np.add.at(counters, at, np.uint32(1))
-            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.nulls(len(n), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "counts"])
+                nodes.append(set_hash(own))
+                np.add.at(counters, own >> _U(64 - COUNTER_BITS), np.uint32(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(n), pa.binary())], names)
         if counters.any():
-            parts = counters.reshape(COUNTER_ROWS, -1)
-            none = pa.nulls(COUNTER_ROWS, batch.column(0).type)
-            gone = pa.nulls(COUNTER_ROWS, pa.int64())
-            columns = [none, pa.array(range(COUNTER_ROWS), pa.int64()), gone, gone, pa.array([p.tobytes() for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "counts"])
+            parts = [p.tobytes() for p in counters.reshape(COUNTER_ROWS, -1)]
+            gone = [pa.nulls(COUNTER_ROWS, c.type) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*gone, pa.array(range(COUNTER_ROWS), pa.int64()), pa.nulls(COUNTER_ROWS, pa.int64()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, h1 long, h2 long, counts binary")
+    names = ["id", "k1", "k2", "n", "node", "counts"]
+    return docs.select("id", "k1", "k2", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n long, node long, counts binary")
 
 
 def _rarity(measured: DataFrame) -> np.ndarray:
@@ -164,8 +160,8 @@ def _meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, nodes, seen = [], [], set()  # a batch's copies of one set offer once
-            for own in shingle_sets(batch.column(1)):
-                node = set_hash(own)[0]
+            for own in shingle_sets(batch.column(0)):
+                node = set_hash(own)
                 if len(own) and node not in seen:
                     seen.add(node)
                     keys.append(offered(own, shared.value).view(np.int64))
@@ -202,16 +198,16 @@ def _meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                 held = (key[-1:], node[-1:])
                 leader, met = leaders[-1], bool(size[of[-1]] > 1)
 
-    keys = docs.mapInArrow(offer, "key long, node long")
+    keys = docs.select("text").mapInArrow(offer, "key long, node long")
     return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "key long, node long, leader long")
 
 
 def _active(docs: DataFrame, active: DataFrame) -> DataFrame:
-    """(node, n, sketch, brief, text) of the documents (id, node) that met another set.
+    """(node, n, sketch, brief, text) of the documents (k1, k2, node) that met another set.
 
     A bitmap of fixed size drops most others before the join moves any text.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int")
+    slot = F.pmod("k1", F.lit(1 << FILTER_BITS)).cast("int")
     parts = active.select(slot.alias("slot")).distinct().groupBy((F.col("slot") / BITMAP_BITS).cast("int").alias("part"))
     bitmap = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     # One row of 4 kB for each of the 2^FILTER_BITS / BITMAP_BITS parts, whatever the corpus.
@@ -221,22 +217,20 @@ def _active(docs: DataFrame, active: DataFrame) -> DataFrame:
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(3).to_numpy()
             keep = (shared.value[at >> 3] >> (at & 7)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1])
+            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1, 2])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    texts = docs.select("id", "text", slot.alias("slot")).mapInArrow(likely, f"id {kind}, text string").join(active, "id")
+    texts = docs.select("k1", "k2", "text", slot.alias("slot")).mapInArrow(likely, "k1 long, k2 long, text string")
+    # Rows that repeat id and text lie together after the join, so one is taken without another shuffle.
+    texts = texts.join(active, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("node").alias("node"), F.first("text").alias("text"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [*shingle_sets(batch.column(1))]
-            # Rows may repeat an id with another text: the node says which text is meant.
-            good = [i for i, (s, node) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if set_hash(s)[0] == node]
-            sketches = [sketch(sets[i]) for i in good]
-            new = [pa.array([len(sets[i]) for i in good], pa.int64()), pa.array(sketches, pa.binary()), pa.array([brief(x) for x in sketches], pa.binary())]
-            kept = batch.take(pa.array(good, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), *new, kept.column(1)], ["node", "n", "sketch", "brief", "text"])
+            sketches = [sketch(x) for x in sets]
+            new = [pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array([brief(x) for x in sketches], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, batch.column(1)], ["node", "n", "sketch", "brief", "text"])
 
     return texts.select("node", "text").mapInArrow(draw, "node long, n long, sketch binary, brief binary, text string")
 
@@ -340,9 +334,11 @@ def _crossing(meetings: DataFrame, labels: DataFrame, active: DataFrame, percent
     smallest = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    rows = rows.join(active.select("node", "n", "brief").join(smallest, "node"), "node")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    # Both parts and the own one in a number: rows of a pair of parts lie together in its order.
+    deal = F.shiftleft(F.least("own", "other").cast("long"), 2 * PART_BITS) + F.shiftleft(F.greatest("own", "other").cast("long"), PART_BITS) + F.col("own")
+    rows = rows.select("key", deal.alias("deal"), "node", "component")
+    rows = rows.join(active.select("node", "n", "brief").join(smallest, "node"), "node").select("key", "deal", "node", "component", "n", "brief", "keys")
+    rows = rows.repartition("key", F.shiftright("deal", PART_BITS)).sortWithinPartitions("key", "deal", "node")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -350,19 +346,19 @@ def _crossing(meetings: DataFrame, labels: DataFrame, active: DataFrame, percent
             rows = held + ([*zip(*(c.to_pylist() for c in batch.columns), strict=True)] if batch is not None else [])
             lo, found = 0, []
             for hi in range(1, len(rows) + 1):
-                if hi == len(rows) and batch is not None or hi < len(rows) and rows[hi][:3] == rows[lo][:3]:
+                if hi == len(rows) and batch is not None or hi < len(rows) and rows[hi][0] == rows[lo][0] and rows[hi][1] >> PART_BITS == rows[lo][1] >> PART_BITS:
                     continue
                 if hi - lo > 1:
-                    key, i, j, own, node, component, n, sketches, keys = zip(*rows[lo:hi], strict=True)
+                    key, deal, node, component, n, sketches, keys = zip(*rows[lo:hi], strict=True)
                     if min(component) != max(component):
-                        near = _near_within(n, sketches, component, percent, None if i[0] == j[0] else np.array(own))
+                        own = np.array(deal)
+                        near = _near_within(n, sketches, component, percent, own if own[0] != own[-1] else None)
                         found += [(node[x], node[y]) for x, y in near if min({*keys[x]} & {*keys[y]}, default=key[0]) >= key[0]]
                 lo = hi
             held = rows[lo:]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found]), pa.array([max(x) for x in found])], ["a", "b"])
 
-    rows = rows.select("key", "i", "j", "own", "node", "component", "n", "brief", "keys")
     return rows.mapInArrow(cross, "a long, b long").distinct()
 
 
@@ -376,25 +372,24 @@ def _lifted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return moved.select("node", F.coalesce("top", "component").alias("component")).union(new.select("node", "component"))
 
 
-def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80) -> DataFrame:
-    """Per document: n_shingles and component_id, the smallest id reachable by links.
+def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80) -> DataFrame:
+    """Per row: id, k1 and k2 (two hashes of its id and text), n shingles, and its component's root and least id.
 
-    percent is at least 80, which the offered share of blocks rests on. Null, empty and
-    wordless texts have no shingles and are linked with nothing. Rows that repeat are each
-    returned; two with equal text are linked as any copies. A row without an id links no
-    others: its component is that of the rows with its very set, or null. Extra columns are
-    not read, and an empty table gives an empty result.
+    percent is at least 80, which the offered share of blocks rests on. Rows are linked by
+    their texts alone, whether ids are null or repeat. Null, empty and wordless texts have no
+    shingles, no root, and are linked with nothing; their least id is their own.
     """
     if percent < 80:
         raise ValueError("the offered blocks prove links of similarity 0.8 or more only")
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    docs = docs.withColumns(row_keys("id", "text"))
     measured = tables.stage(_measure(docs), "measured")
     rarity = _rarity(measured)
-    each = measured.where("counts is null").select("id", "n", F.col("h1").alias("node"), "h2")
+    each = measured.where("counts is null").select("id", "k1", "k2", "n", "node")
     met = tables.stage(_meetings(docs, rarity), "meetings")
     # One document stands for all with the same set.
-    stands = each.join(met.select("node").distinct(), "node", "left_semi").where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    active = tables.stage(_active(docs, stands).dropDuplicates(["node"]), "active")
+    stands = each.where("n > 0").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    active = tables.bucketed(_active(docs, stands.select("k.k1", "k.k2", "node")), "active", "node")
 
     votes = met.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
     # One leader each: the one met under most keys.
@@ -406,12 +401,36 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         more = tables.stage(_linked(pairs, active, percent), "links")
         labels = tables.stage(_lifted(labels, more), "labels")
 
-    # Null ids group together like any other value; an empty set is linked with nothing.
-    rooted = each.join(labels.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    result = rooted.where("n > 0").join(smallest, "root").select("id", "n", F.col("least").alias("component_id"))
-    result = result.union(rooted.where("n = 0").select("id", "n", "id"))
-    return result.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+    # Ids are reduced per set, then per component, and come back through sets: rows of one
+    # component never meet, and a set of very many rows is joined with a table as it lies.
+    roots = labels.withColumnRenamed("component", "root")
+    sets = each.where("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = tables.stage(sets, "sets")
+    least = tables.stage(sets.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    linked = sets.select("node", "root").join(least, "root")
+    alone = sets.join(least.select("root"), "root", "left_anti").select("root", "node", "least")
+    least = tables.stage(linked.union(alone), "least")
+    there, empty = each.where("n > 0").join(least, "node"), each.where("n = 0")
+    there = there.select("id", "k1", "k2", "n", "root", "least")
+    return there.union(empty.select("id", "k1", "k2", "n", F.lit(None).cast("long"), "id"))
+
+
+def row_keys(id_column: str, text_column: str) -> dict:
+    """Columns k1, k2: 128 bits of a row's id and text, equal for repeated rows and never null."""
+    return {"k1": F.xxhash64(id_column, text_column), "k2": F.xxhash64(text_column, F.lit(1), id_column)}
+
+
+def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80) -> DataFrame:
+    """Per document: n_shingles and component_id, the smallest id reachable by links.
+
+    Null, empty and wordless texts have no shingles and are linked with nothing. Rows that
+    repeat are each returned; two with equal text are linked as any copies. A row without an
+    id is linked as any other; a component of such rows alone has a null id. Texts of any
+    length are compared whole. Ties: none, least ids are unique values. Extra columns are not
+    read, and an empty table gives an empty result.
+    """
+    found = groups(docs, id_column, text_column, percent)
+    return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

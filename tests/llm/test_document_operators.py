@@ -174,6 +174,10 @@ def test_jaccard_join(spark, docs, rows):
     assert op8_jaccard_join.join(docs.limit(0)).count() == 0
     orphan = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert {tuple(r) for r in op8_jaccard_join.join(orphan).collect()} == {(None, 2, 5), (5, 2, 5), (None, 0, None)}
+    # A text without an id links two that are not similar to each other; so does one of two texts of a repeated id.
+    steps = [" ".join(f"x{j}" for j in range(i, 60 + i)) for i in (0, 5, 10, 15, 20)]
+    bridge = spark.createDataFrame([*zip((1, None, 2, 2, 3), steps, strict=True)], "doc_id long, text string")
+    assert {r["component_id"] for r in op8_jaccard_join.join(bridge).collect()} == {1}
 
 
 def test_urls(spark, sf_dir):

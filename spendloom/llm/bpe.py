@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -94,13 +94,20 @@ class Bpe:
     """ids(text): what the library gives with add_special_tokens=False, as 32-bit bytes."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        suffix = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        self.path = path
+        library = self.library
+        suffix = getattr(library.model, "end_of_word_suffix", None) or ""
         self.lower = bool(suffix)
-        self.pieces, self.cut = Pieces(self.library, suffix), _latin(PRE_TOKENS[suffix]).findall
-        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.pieces, self.cut = Pieces(library, suffix), _latin(PRE_TOKENS[suffix]).findall
+        self.special = [x.content for x in library.get_added_tokens_decoder().values()]
+        del self.library  # comes back for the first text that needs it
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        library = Tokenizer.from_file(self.path)
+        library.no_padding()
+        library.no_truncation()
+        return library
 
     def found(self, text: str) -> list[str] | None:
         """The pre-tokens, or None if the text is the library's."""

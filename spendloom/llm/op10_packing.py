@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendloom.llm import bpe, tables
+from spendloom.llm.textblock import tidy
 
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
@@ -28,6 +29,7 @@ SALTS = 64
 def pieces(docs: DataFrame, path: str, size: int, id_column: str, text_column: str) -> DataFrame:
     """Token pieces of at most `size`: whole documents, or cuts of longer ones."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end = bpe.load(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -132,6 +134,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, id_column: str = "doc_id"
         counts[length] += n
     shared = spark.sparkContext.broadcast((before, slots(plan(counts), size)))
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, by_length = shared.value
         starts = {n: np.array([r[0] for r in rows]) for n, rows in by_length.items()}

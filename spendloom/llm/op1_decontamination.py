@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.llm import tables
-from spendloom.llm.textblock import ALNUM, Words, blocks, gram_hashes, mix
+from spendloom.llm.textblock import ALNUM, Words, blocks, gram_hashes, mix, tidy
 
 WINDOW = 13
 GRAM = 5
@@ -69,6 +69,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def item_fingerprints(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Fingerprints of every item that has a word. Items of under WINDOW words give one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -85,88 +86,90 @@ def item_fingerprints(items: DataFrame, id_column: str, text_column: str) -> Dat
     return items.select(F.col(id_column).cast("string").alias("item"), text_column).mapInArrow(run, f"item string, {_FOUND}").drop("at")
 
 
-def hits(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and hit span (words first..end of an item), and one with nulls for itself."""
-    spark = docs.sparkSession
-    known = tables.stage(item_fingerprints(items, item_id, item_text), "item-fingerprints")
+def _search(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """A row (k1, k2, id, n_words) for each row of docs, its span -1, and one for each fingerprint that may meet one of `known`."""
     # At most 2^BITMAP_BITS numbers and WINDOW - 1 lengths, whatever the benchmark's size.
     marks = known.select(F.shiftrightunsigned("fp", 64 - BITMAP_BITS).cast("int").alias("bit")).distinct().toPandas()["bit"]
     lengths = sorted(r["span"] for r in known.where(F.col("span") < WINDOW).select("span").distinct().collect())
     bitmap = np.zeros(1 << BITMAP_BITS, bool)
     bitmap[marks.to_numpy(np.int64)] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
-    kind = docs.schema[id_column].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(3)):
                 words = block.words(ALNUM, lower=True)
                 at, fps, span, context = fingerprints(words, lengths, lambda x: bitmap[x >> np.uint64(64 - BITMAP_BITS)])
                 doc = np.searchsorted(words.first, at, "right") - 1
-                first = at - words.first[doc]
-                # Every document also gives a row of its own, which meets no item: its span is -1.
-                ids = batch.column(0).slice(block.lo, block.n)
-                own = np.arange(block.n)
+                n, place = block.n, pa.array(np.r_[np.arange(block.n), doc])
+                keys = [c.slice(block.lo, n).take(place) for c in batch.columns[:3]]
                 columns = [
-                    pa.concat_arrays([ids, ids.take(pa.array(doc))]),
                     pa.array(np.r_[words.counts(), words.counts()[doc]].astype(np.int64)),
-                    pa.array(np.r_[mix(block.data.size + own.astype(np.uint64)), fps].view(np.int64)),
-                    pa.array(np.r_[np.full(block.n, -1), span].astype(np.int32)),
-                    pa.array(np.r_[own * 0, first].astype(np.int32)),
-                    pa.concat_arrays([pa.nulls(block.n, pa.binary()), _binary(context)]),
+                    pa.array(np.r_[np.zeros(n, np.uint64), fps].view(np.int64)),
+                    pa.array(np.r_[np.full(n, -1), span].astype(np.int32)),
+                    pa.array(np.r_[np.zeros(n, np.int64), at - words.first[doc]].astype(np.int32)),
+                    pa.concat_arrays([pa.nulls(n, pa.binary()), _binary(context)]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, [id_column, "n_words", "fp", "span", "at", "context"])
+                yield pa.RecordBatch.from_arrays([*keys, *columns], ["k1", "k2", "id", "n_words", "fp", "span", "at", "context"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("k1", "k2", "id", "text").mapInArrow(search, f"k1 long, k2 long, id {kind}, n_words long, {_FOUND}")
 
-    asked = docs.select(id_column, text_column).mapInArrow(search, f"`{id_column}` {kind}, n_words long, {_FOUND}")
-    met = asked.join(known.withColumnRenamed("context", "item_context"), ["fp", "span"], "left")
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extend(met: DataFrame) -> DataFrame:
+    """(k1, k2, first, end, item): the hit words around every fingerprint of a document that met an item's."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = SIDE + GRAM + SIDE
         for batch in batches:
-            ids, n_words, span, at, mine, theirs, item = batch.columns
-            own = span.to_numpy() < 0
-            both = np.flatnonzero(~own & (item.is_valid().to_numpy(zero_copy_only=False)))
-            a, b = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), "<u8").reshape(-1, width) for c in (mine, theirs))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, width) for i in (4, 5))
+            place, words = (batch.column(i).to_numpy() for i in (3, 2))
             same = (a == b) & (a != 0)
             left = np.cumprod(same[:, SIDE - 1 :: -1], axis=1).sum(axis=1)
             right = np.cumprod(same[:, SIDE + GRAM :], axis=1).sum(axis=1)
-            long = span.to_numpy()[both] == WINDOW
-            good = np.where(long, same[:, SIDE : SIDE + GRAM].all(axis=1) & (left + GRAM + right >= WINDOW), True)
-            place, words = at.to_numpy()[both], span.to_numpy()[both]
+            long = words == WINDOW
+            good = np.flatnonzero(np.where(long, same[:, SIDE : SIDE + GRAM].all(axis=1) & (left + GRAM + right >= WINDOW), True))
             lo = np.where(long, place - left, place)[good]
             hi = np.where(long, place + GRAM + right, place + words)[good]
-            rows = np.r_[np.flatnonzero(own), both[good]]
-            pad = pa.nulls(int(own.sum()), pa.int32())
-            columns = [ids.take(pa.array(rows)), n_words.take(pa.array(rows))]
-            columns += [pa.concat_arrays([pad, pa.array(x.astype(np.int32))]) for x in (lo, hi)]
-            columns.append(pa.concat_arrays([pa.nulls(int(own.sum()), item.type), item.take(pa.array(both[good]))]))
-            yield pa.RecordBatch.from_arrays(columns, [id_column, "n_words", "first", "end", "item"])
+            kept = batch.take(pa.array(good))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *(pa.array(x.astype(np.int32)) for x in (lo, hi)), kept.column(6)], ["k1", "k2", "first", "end", "item"])
 
-    met = met.select(id_column, "n_words", "span", "at", "context", "item_context", "item")
-    return met.mapInArrow(extend, f"`{id_column}` {kind}, n_words long, first int, end int, item string")
+    return met.select("k1", "k2", "span", "at", "context", "item_context", "item").mapInArrow(run, "k1 long, k2 long, first int, end int, item string")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = SHARE) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, items and hit spans.
+def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = SHARE, keys: bool = False) -> DataFrame:
+    """Per row of docs: n_words, n_hit, n_items, items_sha256, contaminated, items and hit spans.
 
     Null and empty texts have no words and are clean; null or wordless items match nothing.
-    Ids identify documents: rows that repeat an id count as one document holding the hits of
-    all. Documents of an empty table give no rows; without items all are clean.
+    Every row is judged by its own text, whether its id is null or repeats; repeated rows are
+    each returned. Items that repeat an id count once. Texts of any length are searched whole;
+    other columns are not read. Documents of an empty table give no rows; without items all
+    are clean. keys: also return k1 and k2, the hashes of id and text (tables.row_keys).
     """
-    found = hits(docs, items, id_column, text_column, item_id, item_text)
-    spans = F.array_sort(F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "end"))))
-    per = found.groupBy(id_column).agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumns(tables.row_keys("id", "text"))
+    known = tables.stage(item_fingerprints(items, item_id, item_text), "item-fingerprints")
+    searched = tables.stage(_search(docs, known), "searched")
+    each = searched.where("span = -1").select("id", "k1", "k2", "n_words")
+    # A fingerprint of a row that repeats is met once.
+    asked = searched.where("span >= 0").select("k1", "k2", "fp", "span", "at", "context").distinct()
+    found = _extend(asked.join(known.withColumnRenamed("context", "item_context"), ["fp", "span"]))
+    per = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("reach"))
     union = F.aggregate(
         "spans", zero,
         lambda acc, s: F.struct((acc["hit"] + F.greatest(s["end"] - F.greatest(s["first"], acc["reach"]), F.lit(0))).alias("hit"), F.greatest(acc["reach"], s["end"]).alias("reach")),
         lambda acc: acc["hit"].cast("long"),
     )
-    per = per.withColumn("n_hit", union)
-    return per.select(
-        id_column, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items", "spans",
+    per = tables.stage(per.withColumn("n_hit", union), "hits")
+    joined = each.join(per, ["k1", "k2"], "left")
+    n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select(
+        F.col("id").alias(id_column), "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), found.alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<first: int, end: int>>")).alias("spans"), *(["k1", "k2"] if keys else []),
     )
 
 

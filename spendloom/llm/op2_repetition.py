@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spendloom.llm import tables
-from spendloom.llm.textblock import SPACED, Block, Words, blocks, gram_hashes, mix, per_doc_sum, span_hashes
+from spendloom.llm.textblock import SPACED, Block, Words, blocks, gram_hashes, mix, per_doc_sum, span_hashes, tidy
 
 #: Highest share of a text's word characters in duplicated n-grams, by n.
 DUPLICATED_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -126,6 +126,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     each judged alone; other columns are not read. An empty table gives an empty result.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):

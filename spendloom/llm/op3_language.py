@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendloom.llm import tables
-from spendloom.llm.textblock import Words, blocks, mix, span_hashes
+from spendloom.llm.textblock import Words, blocks, mix, span_hashes, tidy
 
 UNKNOWN = "und"
 #: The fit sees at most so many texts a language, of at most so many bytes each.
@@ -200,6 +201,7 @@ def _words(block) -> Words:
 def _smallest(rows: DataFrame, texts: int) -> DataFrame:
     """(label, cut): the hash of each label's last text of `texts`, by distinct hashes; tasks keep so many only."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -230,7 +232,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     cut = F.create_map(*(x for r in cuts for x in (F.lit(r["label"]), F.lit(r["cut"]))))
     chosen = labelled.where(F.col("h") <= cut[F.col("label")]).groupBy("label", "h").agg(F.min("text").alias("text"))
     sample = chosen.toPandas().sort_values(["label", "h"])
-    block = next(blocks(pa.array(sample["text"], pa.string()), limit=1 << 62), None)
+    block = next(blocks(pa.array(sample["text"], pa.string()), limit=1 << 62, most=1 << 62), None)
     words = _words(block) if block else None
     has = np.flatnonzero(words.counts()) if block else []
     if not len(has):
@@ -251,6 +253,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     names = [id_column, *(keep or [])]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = np.array([*model.languages, UNKNOWN], object)
@@ -282,8 +285,8 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
             new = [pa.array(labels, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(switches) if switches else [], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], [*names, "lang_pred", "score", "switches"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, text_column).mapInArrow(run, f"{kinds}, lang_pred string, score double, switches long")
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("switches", T.LongType())]
+    return docs.select(*names, text_column).mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *new]))
 
 
 def held_out(id_column: str = "doc_id"):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendloom.llm import tables
 from spendloom.llm.license_templates import TEMPLATES
-from spendloom.llm.textblock import ALNUM, Block, blocks, gram_hashes
+from spendloom.llm.textblock import ALNUM, Block, blocks, gram_hashes, tidy
 
 GRAM, WINDOW = 3, 2
 BAND = 8
@@ -184,6 +184,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None
         raise ValueError("the templates are too large for an index in every worker; scan them in parts")
     kind = docs.schema[id_column].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from spendloom.llm import tables
-from spendloom.llm.textblock import blocks, per_doc_sum
+from spendloom.llm.textblock import blocks, per_doc_sum, tidy
 
 KEY_SETTING = "spendloom.pii.key"
 #: Used where the session sets no key; anyone can invert these pseudonyms.
@@ -226,6 +226,7 @@ def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", counts: b
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
     place = docs.columns.index(text_column)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feistel = Feistel(key)
         for batch in batches:

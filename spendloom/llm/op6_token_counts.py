@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spendloom.llm import bpe, tables
+from spendloom.llm.textblock import tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -26,6 +27,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_column: str
     handled as the library's default does.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(path)
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spendloom.llm import tables
 from spendloom.llm.deep_shallow import recurring
-from spendloom.llm.textblock import blocks, gram_hashes, merged, mix, span_hashes, text_buffers
+from spendloom.llm.textblock import blocks, gram_hashes, merged, mix, span_hashes, text_buffers, tidy
 
 LENGTH = 400
 GRAM = 64
@@ -93,6 +93,7 @@ def _find(docs: DataFrame, length: int) -> DataFrame:
     """Anchors of all documents: hash, hash of the surroundings, place, and distances of its windows."""
     kind = docs.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
@@ -109,6 +110,7 @@ def _find(docs: DataFrame, length: int) -> DataFrame:
 def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted (id, version, places) with the bytes around each place: key, around, near, far, n, left, right."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
@@ -138,6 +140,7 @@ def _sort_groups(rows: DataFrame, length: int, group: int) -> DataFrame:
     schema = f"{_SURROUNDINGS}, spans array<struct<left: int, right: int>>"
     span = pa.list_(pa.struct([("left", pa.int32()), ("right", pa.int32())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         large = False  # the group at hand goes on in the next round
@@ -181,6 +184,7 @@ def _halves(rows: DataFrame, level: int, length: int, gram: int) -> DataFrame:
     reach = length - gram + 1
     width = max(1, -(-reach // (1 << level)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, parents = [], []
@@ -248,6 +252,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     per = per.groupBy("id", "version").agg(F.collect_set("span").alias("spans"))
     kind = docs.schema["id"].dataType.simpleString()
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spendloom.llm import tables
 from spendloom.llm.components import components
-from spendloom.llm.textblock import SPACED, blocks, gram_hashes, mix, span_hashes
+from spendloom.llm.textblock import SPACED, blocks, gram_hashes, mix, span_hashes, tidy
 
 SHINGLE = 5
 COUNTER_BITS = 20
@@ -116,6 +116,7 @@ def differing(a: bytes, b: bytes) -> int:
 def _measure(docs: DataFrame) -> DataFrame:
     """(id, row keys, n, node) of every document, and rows with part and counts of the shingle counters."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
@@ -137,6 +138,7 @@ def _measure(docs: DataFrame) -> DataFrame:
 def _rarity(measured: DataFrame) -> np.ndarray:
     """Logarithms of the summed counters: 2^COUNTER_BITS small numbers, whatever the corpus."""
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -157,6 +159,7 @@ def _meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     """(key, node, leader) of every block key that several different sets offer."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
+    @tidy
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, nodes, seen = [], [], set()  # a batch's copies of one set offer once
@@ -169,6 +172,7 @@ def _meetings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted; the last one waits for the next batch, so no key is ever gathered.
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -215,6 +219,7 @@ def _active(docs: DataFrame, active: DataFrame) -> DataFrame:
         bitmap[part * BITMAP_BITS // 8 : (part + 1) * BITMAP_BITS // 8] = np.frombuffer(bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
+    @tidy
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(3).to_numpy()
@@ -225,6 +230,7 @@ def _active(docs: DataFrame, active: DataFrame) -> DataFrame:
     # Rows that repeat id and text lie together after the join, so one is taken without another shuffle.
     texts = texts.join(active, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("node").alias("node"), F.first("text").alias("text"))
 
+    @tidy
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [*shingle_sets(batch.column(1))]
@@ -239,6 +245,7 @@ def _linked(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity: sketches first, shingles for what passes."""
     side = lambda x, *c: active.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in c))
 
+    @tidy
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -251,6 +258,7 @@ def _linked(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     close = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
     close = close.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(near, "a long, b long")
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()
 
@@ -340,6 +348,7 @@ def _crossing(meetings: DataFrame, labels: DataFrame, active: DataFrame, percent
     rows = rows.join(active.select("node", "n", "brief").join(smallest, "node"), "node").select("key", "deal", "node", "component", "n", "brief", "keys")
     rows = rows.repartition("key", F.shiftright("deal", PART_BITS)).sortWithinPartitions("key", "deal", "node")
 
+    @tidy
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in (*batches, None):
@@ -382,7 +391,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     if percent < 80:
         raise ValueError("the offered blocks prove links of similarity 0.8 or more only")
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    docs = docs.withColumns(row_keys("id", "text"))
+    docs = docs.withColumns(tables.row_keys("id", "text"))
     measured = tables.stage(_measure(docs), "measured")
     rarity = _rarity(measured)
     each = measured.where("counts is null").select("id", "k1", "k2", "n", "node")
@@ -415,11 +424,6 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return there.union(empty.select("id", "k1", "k2", "n", F.lit(None).cast("long"), "id"))
 
 
-def row_keys(id_column: str, text_column: str) -> dict:
-    """Columns k1, k2: 128 bits of a row's id and text, equal for repeated rows and never null."""
-    return {"k1": F.xxhash64(id_column, text_column), "k2": F.xxhash64(text_column, F.lit(1), id_column)}
-
-
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80) -> DataFrame:
     """Per document: n_shingles and component_id, the smallest id reachable by links.
 

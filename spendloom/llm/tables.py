@@ -7,7 +7,10 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 _staged: list[str] = []
 _tables: list[str] = []
@@ -15,7 +18,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not share the driver's import path."""
+    """Send this package to the executors, which need not share the driver's import path.
+
+    Bounds the batches that go to Python workers, by rows and by bytes, for texts of any length.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     application = spark.sparkContext.applicationId
     if application not in _shipped:
         root = Path(__file__).resolve().parents[1]
@@ -24,6 +32,11 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(application)
 
 
+def row_keys(id_column: str, text_column: str) -> dict[str, Column]:
+    """Columns k1, k2: 128 bits of a row's id and text, equal for repeated rows and never null."""
+    return {"k1": F.xxhash64(id_column, text_column), "k2": F.xxhash64(text_column, F.lit(1), id_column)}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

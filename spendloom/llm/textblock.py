@@ -7,12 +7,14 @@ block of its own, so temporary arrays follow the longest document, never the par
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -67,6 +69,21 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return span_hashes(values, at, at + k)
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over batches that hands its free memory back when a task ends: Spark keeps its workers."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 class Block:
     """Whole documents lo..hi of a batch: `data` bytes and the documents' `bounds` in them."""
 
@@ -120,13 +137,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The column's documents in blocks of about `limit` bytes."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, most: int = 20_000) -> Iterator[Block]:
+    """The column's documents in blocks of about `limit` bytes and at most `most` documents."""
     data, offsets = text_buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, lo + 20_000, n)
+        hi = min(hi, lo + most, n)
         yield Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo)
         lo = hi
 

@@ -2,6 +2,7 @@
 
 import brute
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from spendloom.llm import op3_language, op5_pseudonyms, tables
 
@@ -37,6 +38,28 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert set(pieces["doc_id"]) == {r["doc_id"] for r in private.collect()} and pieces.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+def test_ids_that_are_null_or_repeat(spark, sf_dir):
+    """Each stage judges rows, not ids, and carries columns named like those it makes."""
+    stages = dict(corpus_pipeline.STAGES)
+    passage = tables.read(spark, sf_dir, "benchmark").where("length(text) > 100").first()["text"]
+    prose = [r["text"] for r in tables.read(spark, sf_dir, "documents").where("length(text) > 300").orderBy("doc_id").limit(4).collect()]
+    rows = [(None, prose[0]), (None, prose[0]), (None, prose[1]), (3, prose[1]), (4, prose[2]), (4, prose[3]), (4, prose[3]), (None, passage), (5, passage), (6, " "), (6, " "), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id long, text string, score string, k1 string, node string")
+    single = stages["near duplicates"](spark, docs, sf_dir)
+    want = [(-1, None), (-1, prose[0]), (3, prose[1]), (4, prose[2]), (4, prose[3]), (5, passage), (6, " "), (6, " ")]
+    order = lambda rows: sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    assert single.columns == docs.columns and order((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in single.collect()) == order(want)
+    clean = stages["decontamination"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    verdict = brute.contamination([(t, t) for _, t in rows], [(r["item_id"], r["text"]) for r in tables.read(spark, sf_dir, "benchmark").collect()])
+    assert verdict[passage][-1] and sorted(str(r["text"]) for r in clean.collect()) == sorted(str(t) for _, t in rows if not verdict[t][-1])
+    kept = stages["language"](spark, docs.withColumn("lang", F.lit("en")), sf_dir)
+    assert kept.columns == [*docs.columns, "lang"] and sorted(r["text"] for r in kept.collect()) == sorted(t for _, t in rows if (t or "").strip())
+    private = stages["pseudonyms"](spark, docs, sf_dir)
+    assert private.columns == docs.columns and private.count() == len(rows)
+    assert stages["packing"](spark, docs, sf_dir).select("doc_id").where("doc_id is null").count() == 5
+
+
 def test_run_and_empty_tables(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     tables.read(spark, sf_dir, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")

@@ -26,40 +26,73 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _having(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs with or without (left_semi, left_anti) their k1 and k2 among keys."""
+    keyed = docs.withColumns({f"_row_{k}": v for k, v in tables.row_keys("doc_id", "text").items()})
+    keys = keys.select(F.col("k1").alias("_row_k1"), F.col("k2").alias("_row_k2"))
+    return keyed.join(keys, ["_row_k1", "_row_k2"], how)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with one main language; null texts and texts without letters go."""
+    """Keep texts with one main language; null texts and texts without letters go.
+
+    Every row is judged by its own text, also those without an id and repeated ones; texts of
+    any length are read whole, other columns are carried, and of equal scores the first
+    language by name counts. An empty table stays empty.
+    """
     tables.release(spark)
     model = op3_language.fit_on_kept(docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = op3_language.predict(docs, model, keep=["text", *rest])
-    return found.where((F.col("lang_pred") != op3_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    # The columns travel as one struct, so that none clashes with a predicted one.
+    asked = docs.select("doc_id", "text", F.struct(*rest).alias("_rest")) if rest else docs
+    found = op3_language.predict(asked, model, keep=["text", *(["_rest"] if rest else [])])
+    found = found.where((F.col("lang_pred") != op3_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of similar documents.
+    """Keep one document of each component of similar texts: that of the smallest id.
 
-    Rows without an id stay, and so do all rows of an id that is kept.
+    Ids may be null (such a row is kept only if none of its component has an id) or repeat (of
+    two texts with one id one is kept); of rows that repeat id and text one stays. Texts
+    without words are similar to nothing and all stay. Other columns are carried; an empty
+    table stays empty.
     """
     tables.release(spark)
-    found = op8_jaccard_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = op8_jaccard_join.groups(docs)
+    first = found.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("row"))
+    keep = _having(docs, first.select("row.*"), "left_semi").dropDuplicates(["_row_k1", "_row_k2"])
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return keep.select(docs.columns).union(wordless)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are contaminated by the benchmark."""
+    """Drop documents that are contaminated by the benchmark.
+
+    Every row is judged by its own text, also those without an id and repeated ones; null texts
+    are clean. Other columns are carried; an empty table stays empty.
+    """
     tables.release(spark)
-    found = op1_decontamination.contamination(docs, tables.read(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    found = op1_decontamination.contamination(docs, tables.read(spark, sf_dir, "benchmark"), keys=True)
+    return _having(docs, found.where("contaminated").select("k1", "k2").distinct(), "left_anti").select(docs.columns)
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by keyed pseudonyms of the same format."""
+    """Replace personal data by keyed pseudonyms of the same format.
+
+    All rows stay, with all columns; null and empty texts stay as they are, and repeated rows
+    are changed alike.
+    """
     tables.release(spark)
     return op5_pseudonyms.pseudonymise(docs, op5_pseudonyms.session_key(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences."""
+    """Pack all documents into sequences.
+
+    A null text packs as its end token; repeated rows are packed each; ids may be null; other
+    columns are not read. An empty table gives no pieces.
+    """
     tables.release(spark)
     return op10_packing.pack(docs, public_tokenizers.path(op10_packing.VOCABULARY))
 

@@ -107,26 +107,28 @@ def _find(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("id", "version", "text").mapInArrow(run, f"id {kind}, version long, h long, around long, at int, near int, far int")
 
 
+_SURROUNDINGS = "key long, around long, near int, far int, n long, left binary, right binary"
+
+
 def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (id, version, places) with the bytes around each place: key, around, near, far, n, left, right."""
+    """wanted (id, version, places) with the bytes around each place: key, m, around, near, far, n, left, right."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            out = []
+            out, many = [], []
             for i, places in enumerate(batch.column(1).to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in places:
                     at = x["at"]
                     out.append((x["h"], x["around"], x["near"], x["far"], x["n"], text[at - x["far"] : at][::-1], text[at : at + length - x["near"]]))
-            yield _rows(out)
+                    many.append(x["m"])
+            rows = _rows(out)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(many, pa.int64())], [*rows.schema.names, "m"])
 
     same = docs["id"].eqNullSafe(wanted["id"]) & (docs["version"] == wanted["version"])
-    return docs.join(wanted, same).select("text", "places").mapInArrow(run, _SURROUNDINGS)
-
-
-_SURROUNDINGS = "key long, around long, near int, far int, n long, left binary, right binary"
+    return docs.join(wanted, same).select("text", "places").mapInArrow(run, f"{_SURROUNDINGS}, m long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -135,43 +137,32 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["key", "around", "near", "far", "n", "left", "right"])
 
 
-def _sort_groups(rows: DataFrame, length: int, group: int) -> DataFrame:
-    """Each surrounding's recurring stretches; those of too large groups come back with their bytes."""
-    schema = f"{_SURROUNDINGS}, spans array<struct<left: int, right: int>>"
+def _sort_groups(rows: DataFrame, length: int) -> DataFrame:
+    """(key, around, spans): each surrounding's recurring stretches; groups are bounded."""
     span = pa.list_(pa.struct([("left", pa.int32()), ("right", pa.int32())]))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        large = False  # the group at hand goes on in the next round
-
-        def give(rows: list[tuple], spans: list | None) -> pa.RecordBatch:
-            out = rows if spans is None else [(*r[:5], None, None) for r in rows]
-            found = pa.nulls(len(rows), span) if spans is None else pa.array([[{"left": a, "right": b} for a, b in {*s}] for s in spans], span)
-            return pa.RecordBatch.from_arrays([*_rows(out).columns, found], [*_rows([]).schema.names, "spans"])
 
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held, large
-            if held and large:
-                yield give(held, None)
-            elif held:
-                yield give(held, recurring([r[5] for r in held], [r[6] for r in held], [r[4] for r in held], length))
-            held, large = [], False
+        def close() -> pa.RecordBatch:
+            nonlocal held
+            spans = recurring([r[5] for r in held], [r[6] for r in held], [r[4] for r in held], length)
+            columns = [pa.array([r[i] for r in held], pa.int64()) for i in (0, 1)]
+            columns.append(pa.array([[{"left": a, "right": b} for a, b in {*s}] for s in spans], span))
+            held = []
+            return pa.RecordBatch.from_arrays(columns, ["key", "around", "spans"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[0] != held[-1][0]:
-                    yield from close()
-                if held and row[1] == held[-1][1]:
-                    continue
-                held.append(row)
-                if len(held) > group:
-                    large = True
-                    yield give(held[:-1], None)
-                    held = held[-1:]
-        yield from close()
+                    yield close()
+                if not held or row[1] != held[-1][1]:
+                    held.append(row)
+        if held:
+            yield close()
 
-    return rows.repartition("key").sortWithinPartitions("key", "around").mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "around").mapInArrow(run, "key long, around long, spans array<struct<left: int, right: int>>")
 
 
 def _halves(rows: DataFrame, level: int, length: int, gram: int) -> DataFrame:
@@ -205,19 +196,24 @@ def _halves(rows: DataFrame, level: int, length: int, gram: int) -> DataFrame:
 
 
 def _resolve(rows: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """(key, around, spans) of all surroundings, in as many rounds as large groups need."""
+    """(key, around, spans) of all surroundings, in as many rounds as large groups need.
+
+    m tells how many different surroundings a row's key has: too large a group is halved
+    without ever being gathered.
+    """
     columns = ["key", "around", "near", "far", "n", "left", "right"]
     levels, ups, level = [], [], 0
     while True:
-        done = tables.stage(_sort_groups(rows.select(columns), length, group), "sorted")
-        levels.append(done.where("spans is not null").select("key", "around", "spans"))
-        large = done.where("spans is null")
+        rows = tables.stage(rows, "surroundings")
+        levels.append(tables.stage(_sort_groups(rows.where(F.col("m") <= group).select(columns), length), "sorted"))
+        large = rows.where(F.col("m") > group)
         if large.isEmpty():
             break
         level += 1
         cut = tables.stage(_halves(large.select(columns), level, length, gram), "halves")
         ups.append(cut.select("parent_key", "parent_around", "key", "around"))
-        rows = cut.groupBy("key", "around").agg(*(F.first(c).alias(c) for c in columns[2:4]), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in columns[5:]))
+        counts = tables.stage(cut.select("key", "around").distinct().groupBy("key").agg(F.count("*").alias("m")), "counts")
+        rows = cut.groupBy("key", "around").agg(*(F.first(c).alias(c) for c in columns[2:4]), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in columns[5:])).join(counts, "key")
     found = levels.pop()
     while ups:
         raised = found.join(ups.pop(), ["key", "around"]).select(F.col("parent_key").alias("key"), F.col("parent_around").alias("around"), "spans")
@@ -226,26 +222,29 @@ def _resolve(rows: DataFrame, length: int, gram: int, group: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Per document n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans.
+    """Per document n_bytes, n_removed, n_spans, kept_sha256, repeated (was any removed?) and the removed byte spans.
 
     Null and empty texts have no bytes. Rows that repeat an id are documents of their own;
     two with equal text repeat each other. Extra columns are not read, and an empty table
-    gives an empty result. length is over 64.
+    gives an empty result. Texts of any length are read whole, over STRETCH in stretches.
+    length is over 64.
     """
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("version", F.xxhash64("text"))
     long = docs.where(F.octet_length("text") >= length)
     found = tables.stage(_find(long, length), "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = found.join(again, "h")
+    # Tables are staged before they are joined on a hash: such joins stand between plain
+    # exchanges, where AQE can split what a very common hash holds.
+    again = tables.stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
+    found = tables.stage(found.join(again, "h"), "recurring")
     place = F.struct("id", "version", "at", "near", "far")
-    around = tables.stage(found.groupBy("h", "around").agg(F.count("*").alias("n"), F.min(place).alias("place")), "surroundings")
-    several = around.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("of")).where("m > 1").select("h")
+    around = tables.stage(found.groupBy("h", "around").agg(F.count("*").alias("n"), F.min(place).alias("place")), "around")
+    several = tables.stage(around.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "several")
     # Most anchors that recur look the same everywhere: their windows all recur, unsorted.
     alike = around.join(several, "h", "left_anti").select(
         F.col("h").alias("key"), "around",
         F.array(F.struct(F.col("place.far").alias("left"), (length - F.col("place.near")).alias("right"))).alias("spans"),
     )
-    wanted = around.join(several, "h", "left_semi").select("place.id", "place.version", F.struct("h", "around", "n", "place.at", "place.near", "place.far").alias("x"))
+    wanted = around.join(several, "h").select("place.id", "place.version", F.struct("h", "around", "n", "m", "place.at", "place.near", "place.far").alias("x"))
     wanted = wanted.groupBy("id", "version").agg(F.collect_list("x").alias("places"))
     spans = alike.union(_resolve(_surroundings(long, wanted, length), length, GRAM, group)).withColumnRenamed("key", "h").where(F.size("spans") > 0)
     per = found.join(spans, ["h", "around"]).select("id", "version", F.explode(F.transform("spans", lambda s: F.struct((F.col("at") - s["left"]).alias("lo"), (F.col("at") + s["right"]).alias("hi")))).alias("span"))
@@ -268,13 +267,13 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 runs.append(len(lo))
                 digests.append(kept.hexdigest())
                 where.append([*zip(lo.tolist(), hi.tolist(), strict=True)])
-            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(digests, pa.string())]
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(digests, pa.string()), pa.array([n > 0 for n in removed], pa.bool_())]
             columns.append(pa.array([[{"lo": a, "hi": b} for a, b in w] for w in where], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays(columns, [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated", "removed"])
 
     same = docs["id"].eqNullSafe(per["id"]) & docs["version"].eqNullSafe(per["version"])
     joined = docs.join(per, same, "left").select(docs["id"], "text", "spans")
-    return joined.mapInArrow(cut, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo: long, hi: long>>")
+    return joined.mapInArrow(cut, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, removed array<struct<lo: long, hi: long>>")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

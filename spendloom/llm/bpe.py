@@ -2,8 +2,9 @@
 
 A pre-token's ids depend on nothing around it, so each distinct one is merged once per
 worker, as long as a bounded memory keeps it. Vocabulary strings proven to encode alone as
-one token need no merge at all. Texts with code points from U+0300 on, where classes differ
-between Unicode versions, go to the library whole.
+one token need no merge at all. Characters from U+0300 on, whose classes differ between
+Unicode versions, count as what the library's own pre-tokenizer takes each of them for. Only
+texts that hold a special string go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import regex
 import tiktoken
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, PreTokenizer
 
 #: Distinct merged pre-tokens that a worker remembers beside the proven ones.
 REMEMBERED = 400_000
@@ -90,6 +91,28 @@ class Pieces(dict):
         return ids
 
 
+class Classes(dict):
+    """For str.translate: each character from U+0300 on becomes one of its class below, asked once."""
+
+    def __init__(self, split: PreTokenizer):
+        super().__init__()
+        self.split = split
+
+    def __missing__(self, code: int) -> int:
+        if code < ord(_END):
+            return code
+        c = chr(code)
+        joins = lambda x: [at for _, at in self.split.pre_tokenize_str(x + c)] == [(0, 2)]
+        if joins("z"):
+            found = "z"  # a letter that ends no contraction
+        elif joins("!"):
+            found = "!"
+        else:  # numbers may stand alone, and spaces be left out
+            found = "1" if joins("1") or [at for _, at in self.split.pre_tokenize_str("z" + c)] == [(0, 1), (1, 2)] and not c.isspace() else "\t"
+        self[code] = ord(found)
+        return self[code]
+
+
 class Bpe:
     """ids(text): what the library gives with add_special_tokens=False, as 32-bit bytes."""
 
@@ -98,8 +121,9 @@ class Bpe:
         library = self.library
         suffix = getattr(library.model, "end_of_word_suffix", None) or ""
         self.lower = bool(suffix)
-        self.pieces, self.cut = Pieces(library, suffix), _latin(PRE_TOKENS[suffix]).findall
+        self.pieces, self.cut = Pieces(library, suffix), _latin(PRE_TOKENS[suffix])
         self.special = [x.content for x in library.get_added_tokens_decoder().values()]
+        self.normal, self.classes = library.normalizer, Classes(library.pre_tokenizer)
         del self.library  # comes back for the first text that needs it
 
     @cached_property
@@ -113,8 +137,11 @@ class Bpe:
         """The pre-tokens, or None if the text is the library's."""
         if any(x in text for x in self.special):
             return None
-        text = text.lower() if self.lower else text
-        return self.cut(text) if text.isascii() or max(text) < _END else None
+        plain = text.lower() if self.lower else text
+        if plain.isascii() or max(plain) < _END:
+            return self.cut.findall(plain)
+        text = self.normal.normalize_str(text) if self.normal else text
+        return [text[slice(*m.span())] for m in self.cut.finditer(text.translate(self.classes))]
 
     def ids(self, text: str) -> bytes:
         found = self.found(text)

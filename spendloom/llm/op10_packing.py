@@ -23,15 +23,16 @@ from spendloom.llm.textblock import tidy
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 END_ID = 0
-SALTS = 64
+#: Pieces of one length that are ranked together.
+RANKED = 1 << 18
 
 
 def pieces(docs: DataFrame, path: str, size: int, id_column: str, text_column: str) -> DataFrame:
-    """Token pieces of at most `size`: whole documents, or cuts of longer ones."""
+    """Token pieces of at most `size`: whole documents, or cuts of longer ones; `spread` counts a task's pieces."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = bpe.load(path), np.array([END_ID], "<u4").tobytes()
+        model, end, done = bpe.load(path), np.array([END_ID], "<u4").tobytes(), 0
         for batch in batches:
             of, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
@@ -45,11 +46,12 @@ def pieces(docs: DataFrame, path: str, size: int, id_column: str, text_column: s
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32())]
-            columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
-            yield pa.RecordBatch.from_arrays(columns, [id_column, "piece", "start", "length", "ids_crc32"])
+            columns += [pa.array(x, pa.int64()) for x in (start, length, crc, range(done, done + len(of)))]
+            done += len(of)
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "piece", "start", "length", "ids_crc32", "spread"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long"
+    schema = f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, spread long"
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
 
@@ -120,27 +122,34 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, id_column: str = "doc_id"
     """Every piece of every document with its sequence and its place there.
 
     A null text is an empty one and packs as its end token alone. Rows that repeat are packed
-    once each; extra columns are not read; an empty table gives an empty result.
+    once each, whether ids are null or repeat; texts of any length are cut into pieces; extra
+    columns are not read; an empty table gives an empty result. Ties: which of equally long
+    pieces lies where is free.
     """
     spark = docs.sparkSession
     cut = tables.stage(pieces(docs, path, size, id_column, text_column), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64(id_column, "piece"), F.lit(SALTS)).cast("int"))
-    # At most size x SALTS counts, whatever the input.
+    full, rest = cut.where(F.col("length") == size), cut.where(F.col("length") < size)
+    # At most size - 1 counts, then as many and one for every RANKED pieces.
+    parts = np.ones(size + 1, np.int64)
+    for length, n in rest.groupBy("length").count().collect():
+        parts[length] = -(-n // RANKED)
+    salted = rest.withColumn("salt", F.pmod("spread", F.get(F.lit(parts.tolist()), F.col("length").cast("int"))).cast("int"))
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "salt"])
     counts = np.zeros(size + 1, np.int64)
-    before = np.zeros((size + 1, SALTS), np.int64)
+    head = np.cumsum(parts) - parts
+    before = np.zeros(parts.sum(), np.int64)
     for length, salt, n in zip(counted["length"], counted["salt"], counted["n"], strict=True):
-        before[length, salt] = counts[length]
+        before[head[length] + salt] = counts[length]
         counts[length] += n
-    shared = spark.sparkContext.broadcast((before, slots(plan(counts), size)))
+    shared = spark.sparkContext.broadcast((head, before, slots(plan(counts), size)))
 
     @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, by_length = shared.value
+        head, before, by_length = shared.value
         starts = {n: np.array([r[0] for r in rows]) for n, rows in by_length.items()}
         for batch in batches:
             length, salt, rank = (batch.column(i).to_numpy() for i in (4, 5, 6))
-            rank = before[length, salt] + rank - 1
+            rank = before[head[length] + salt] + rank - 1
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for i, (n, r) in enumerate(zip(length.tolist(), rank.tolist(), strict=True)):
                 first, base, places = by_length[n][int(np.searchsorted(starts[n], r, "right")) - 1]
@@ -149,10 +158,13 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, id_column: str = "doc_id"
             columns = [batch.column(i) for i in (0, 1, 2, 4, 3)] + [pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, [id_column, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_column, "piece")))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_column, "piece", "start", "ids_crc32")))
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select(id_column, "piece", "start", "ids_crc32", "length", "salt", F.col("rank").cast("long")).mapInArrow(place, schema)
+    placed = ranked.select(id_column, "piece", "start", "ids_crc32", "length", "salt", F.col("rank").cast("long")).mapInArrow(place, schema)
+    # Planned sequences count from 0 up, whole ones from -1 down.
+    whole = full.select(id_column, "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.union(whole)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

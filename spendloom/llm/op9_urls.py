@@ -1,24 +1,27 @@
 """URL filters by a sort-merge range join.
 
 A host becomes a key of its labels in reverse, each followed by a dot, so a domain and all
-its subdomains are one interval of keys. Rules and pages are sorted by key together over
-all partitions, and a sweep keeps a stack of the nested rules whose intervals are open.
-Rules that are still open where a partition ends are few (one per label and path at most)
-and seed the partitions behind it.
+its subdomains are one interval of keys. Keys are dealt into ranges by quantiles of a bounded
+sample, and a rule goes to every range that its interval touches, so no range needs another
+one's rules. In each range a sweep over rules and pages in key order keeps a stack of the
+hosts whose intervals are open; a host's rules lie there by path, and a page asks for the
+prefixes of its path that are as long as one of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.llm import tables
 
 DEFAULT = "allow"
+#: Sampled keys for each range of keys; they choose its bounds and nothing else.
+SAMPLED = 100
 #: Rules of the registered query: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -56,55 +59,59 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_co
 
     rules: columns host, path, verdict. Null or malformed urls have an empty host and path and
     meet no rule; repeated pages are each judged; of equal rules the first verdict in order
-    counts; empty tables on either side are fine; extra columns of pages are not read.
+    counts, of equally long ones that of the longer host; urls of any length are judged whole;
+    empty tables on either side are fine; extra columns of pages are not read.
     """
     host, path = parts("url")
+    spark, kind = pages.sparkSession, pages.schema[id_column].dataType.simpleString()
     asked = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url")).select("id", host.alias("host"), path.alias("path"))
-    asked = asked.withColumns({"key": key("host"), "kind": F.lit(1), "verdict": F.lit(None).cast("string"), "spread": F.xxhash64("id", "path")})
-    known = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    known = known.select(F.lit(None).cast(asked.schema["id"].dataType).alias("id"), "host", "path", key("host").alias("key"), F.lit(0).alias("kind"), "verdict", F.lit(0).cast("long").alias("spread"))
-    # Pages of one host may be a third of all: `spread` lets a key's rows lie in many partitions.
-    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "kind", "spread"]
-    lines = asked.unionByName(known).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tables.shared_dir(asked.sparkSession)
-    lines = lines.select("id", "host", "path", "key", "kind", "verdict").checkpoint()
-
-    def still_open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stack: list[tuple] = []
+    # Pages of one host may be a third of all: behind its key they lie in the order of a hash.
+    asked = asked.withColumn("key", key("host")).withColumn("place", F.concat("key", F.lit("\0"), F.hex(F.xxhash64("id", "path"))))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = sorted(r["place"] for r in asked.select("place").orderBy(F.xxhash64("place"), "place").limit(SAMPLED * n).collect())
+    bounds = np.array(sample[SAMPLED // 2 :: SAMPLED] if len(sample) == SAMPLED * n else sample[:: max(1, len(sample) // n)], object)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            for row in batch[batch.kind == 0].itertuples():
-                stack = [r for r in stack if row.key.startswith(r[0])] + [(row.key, row.host, row.path, row.verdict)]
-            last = batch.key.iloc[-1]
-            stack = [r for r in stack if last.startswith(r[0])]
-        if stack:
-            yield pd.DataFrame(stack, columns=["key", "host", "path", "verdict"]).assign(part=TaskContext.get().partitionId())
-
-    seeds = lines.select("key", "host", "path", "kind", "verdict").mapInPandas(still_open, "key string, host string, path string, verdict string, part int")
-    carried = sorted((r["part"], len(r["key"]), r["key"], r["host"], r["path"], r["verdict"]) for r in seeds.collect())
+            yield batch.assign(part=np.searchsorted(bounds, batch.place.to_numpy(object), "right"))
+
+    asked = asked.mapInPandas(deal, f"id {kind}, host string, path string, key string, place string, part long")
+    known = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict")).where(F.col("host") != "").withColumn("key", key("host"))
+
+    def touch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # All keys of a domain begin with its own; `/` is the sign next to the dot it ends with.
+            lo, hi = (np.searchsorted(bounds, x.to_numpy(object), "right") for x in (batch.key, batch.key.str[:-1] + "/"))
+            yield batch.assign(part=[range(a, b + 1) for a, b in zip(lo, hi, strict=True)]).explode("part").astype({"part": "int64"})
+
+    known = known.select("host", "path", "key", "verdict").mapInPandas(touch, "host string, path string, key string, verdict string, part long")
+    none = F.lit(None)
+    lines = asked.select("part", "place", "id", "host", "path", "key", none.cast("string").alias("verdict"), F.lit(1).alias("kind"))
+    lines = lines.union(known.select("part", "key", none.cast(pages.schema[id_column].dataType), "host", "path", "key", "verdict", F.lit(0)))
+    lines = lines.repartition(n, "part").sortWithinPartitions("part", "place", "kind", "path").drop("place")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, stack = TaskContext.get().partitionId(), []
-        for p, _, *rule in carried:
-            if p < part:
-                stack.append(tuple(rule))
+        part, stack = -1, []  # (key, host, path -> verdict, lengths of its paths)
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                # Keys only grow, so a rule that no longer fits never fits again.
-                if stack and not all(row.key.startswith(r[0]) for r in stack):
-                    stack = [r for r in stack if row.key.startswith(r[0])]
+                if row.part != part:
+                    part, stack = row.part, []
+                # Keys only grow, so a host that no longer fits never fits again.
+                while stack and not row.key.startswith(stack[-1][0]):
+                    stack.pop()
                 if row.kind == 0:
-                    stack.append((row.key, row.host, row.path, row.verdict))
+                    if not stack or stack[-1][0] != row.key:
+                        stack.append((row.key, row.host, {}, []))
+                    stack[-1][2][row.path] = row.verdict
+                    if len(row.path) not in stack[-1][3]:
+                        stack[-1][3].append(len(row.path))
                     continue
-                fits = [r for r in stack if row.key and row.path.startswith(r[2])]
-                best = max(fits, key=lambda r: (len(r[1]) + len(r[2]), len(r[1])), default=None)
-                out.append((row.id, row.host, row.path, best and best[1] + best[2], best[3] if best else default))
+                fits = ((len(h) + k, len(h), h + row.path[:k], paths[row.path[:k]]) for _, h, paths, lengths in stack if row.key for k in lengths if k <= len(row.path) and row.path[:k] in paths)
+                *_, rule, verdict = max(fits, default=(None, default))
+                out.append((row.id, row.host, row.path, rule, verdict))
             yield pd.DataFrame(out, columns=[id_column, "host", "path", "rule", "verdict"])
 
-    kind = pages.schema[id_column].dataType.simpleString()
     return lines.mapInPandas(sweep, f"`{id_column}` {kind}, host string, path string, rule string, verdict string")
 
 

@@ -187,10 +187,11 @@ def test_jaccard_join(spark, docs, rows):
 
 
 def test_urls(spark, sf_dir):
-    urls = [None, "", "example.net/en/", "http://", "HTTP://Example.NET/en/a?b#c", "http://a.b.example.net/EN/", "x://net", "x://net/", "x://.net/", "x://net./", "x://inet/", "x://example.com/de/", "x://example.com/de", "a://b://net/", "x://org?/fr/", "x://a.org/fr/x", "x://y\n.net/\n/", "s://ÄÖ.net/"] * 2
+    urls = [None, "", "example.net/en/", "http://", "HTTP://Example.NET/en/a?b#c", "http://a.b.example.net/EN/", "x://net", "x://net/", "x://.net/", "x://net./", "x://inet/", "x://example.com/de/", "x://example.com/de", "a://b://net/", "x://org?/fr/", "x://a.org/fr/x", "x://y\n.net/\n/", "s://ÄÖ.net/", "s://example.net/aaa", "s://x.org/bbbb/c"] * 2
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, key string").unionByName(tables.read(spark, sf_dir, "pages").selectExpr("page_id + 1000 AS page_id", "url", "html AS key"))
     nested = [*op9_urls.RULES, ("a.b.example.net", "/EN/", "block"), ("b.example.net", "/", "allow")]
-    for rules in (op9_urls.RULES, nested, []):
+    many = [*nested, *((h, f"/{'abc'[i % 3] * (i // 3)}", ("allow", "block")[i % 2]) for i in range(3, 60) for h in ("example.net", "org"))]
+    for rules in (op9_urls.RULES, nested, many, []):
         table = spark.createDataFrame(rules, "host string, path string, verdict string")
         found = op9_urls.judge(pages.repartition(7), table).collect()
         want = sorted((r["page_id"], *brute.url(r["url"], rules)) for r in pages.collect())

@@ -21,7 +21,7 @@ from spendloom.llm import tables
 
 DEFAULT = "allow"
 #: Sampled keys for each range of keys; they choose its bounds and nothing else.
-SAMPLED = 100
+SAMPLED = 32
 #: Rules of the registered query: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendloom.llm import tables
-from spendloom.llm.textblock import Words, blocks, mix, span_hashes, tidy
+from spendloom.llm.textblock import Words, blocks, hand_back, mix, span_hashes, tidy
 
 UNKNOWN = "und"
 #: The fit sees at most so many texts a language, of at most so many bytes each.
@@ -49,10 +49,10 @@ class Model:
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature) pairs, ordered by word within each kind of feature."""
-    words, found = np.arange(len(starts)), []
+    words, found = np.arange(len(starts), dtype=np.int32), []
 
     def add(who: np.ndarray, lo: np.ndarray, hi: np.ndarray, tag: int) -> None:
-        found.append((who, (mix(span_hashes(data, lo, hi) ^ _U(tag)) >> _U(64 - FEATURE_BITS)).astype(np.int64)))
+        found.append((who, (mix(span_hashes(data, lo, hi) ^ _U(tag)) >> _U(64 - FEATURE_BITS)).astype(np.int32)))
 
     size = ends - starts
     for k in AFFIXES:
@@ -68,21 +68,25 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: np
         whole = span_hashes(data, starts, ends)
         at = np.minimum(np.searchsorted(lexicon, whole), len(lexicon) - 1)
         there = lexicon[at] == whole
-        found.append((words[there], at[there] + (1 << FEATURE_BITS)))
+        found.append((words[there], (at[there] + (1 << FEATURE_BITS)).astype(np.int32)))
     who, what = (np.concatenate(x) for x in zip(*found, strict=True))
     return who, what
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the spans alone, one behind the other, and where each begins and ends there."""
+    size = ends - starts
+    hi = np.cumsum(size)
+    lo = hi - size
+    return data[np.repeat(starts - lo, size) + np.arange(size.sum())], lo, hi
+
+
 def emissions(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Summed feature weights of every word, each distinct word computed once."""
     if not len(starts):
         return np.zeros((0, len(model.languages)))
     _, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    size = (ends - starts)[first]
-    hi = np.cumsum(size)
-    lo = hi - size
-    own = data[np.repeat(starts[first] - lo, size) + np.arange(hi[-1])]
-    who, what = features(own, lo, hi, model.lexicon)
+    who, what = features(*_gathered(data, starts[first], ends[first]), model.lexicon)
     per = np.stack([np.bincount(who, model.weights[what, k], len(first)) for k in range(len(model.languages))], axis=1)
     return per[of]
 
@@ -232,16 +236,23 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     cut = F.create_map(*(x for r in cuts for x in (F.lit(r["label"]), F.lit(r["cut"]))))
     chosen = labelled.where(F.col("h") <= cut[F.col("label")]).groupBy("label", "h").agg(F.min("text").alias("text"))
     sample = chosen.toPandas().sort_values(["label", "h"])
-    block = next(blocks(pa.array(sample["text"], pa.string()), limit=1 << 62, most=1 << 62), None)
-    words = _words(block) if block else None
-    has = np.flatnonzero(words.counts()) if block else []
-    if not len(has):
+    own, known = [], []  # word hashes of every text; hashes and bytes of the distinct words of every block
+    for block in blocks(pa.array(sample["text"], pa.string())):
+        words = _words(block)
+        hashes = words.hashes()
+        own += np.split(hashes, words.first[1:-1])
+        distinct, first = np.unique(hashes, return_index=True)
+        data, lo, hi = _gathered(words.data, words.starts[first], words.ends[first])
+        known.append((distinct, hi - lo, data))
+    has = [i for i, x in enumerate(own) if len(x)]
+    if not has:
         return Model([], np.zeros((0, 0), np.float32), np.zeros(0, _U), np.zeros((0, 0)))
-    _, first, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    hashes, sizes, data = (np.concatenate(x) for x in zip(*known, strict=True))
+    distinct, first = np.unique(hashes, return_index=True)
+    ends = np.cumsum(sizes)[first]
     languages = sorted(sample["label"].iloc[has].unique())
     label = np.array([languages.index(x) for x in sample["label"].iloc[has]])
-    own = [of[words.first[i] : words.first[i + 1]] for i in has]
-    return _learn(own, languages, label, words.data, words.starts[first], words.ends[first])
+    return _learn([np.searchsorted(distinct, own[i]) for i in has], languages, label, data, ends - sizes[first], ends)
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -295,7 +306,9 @@ def held_out(id_column: str = "doc_id"):
 
 
 def fit_on_kept(docs: DataFrame) -> Model:
-    return fit(docs.where(~held_out()))
+    model = fit(docs.where(~held_out()))
+    hand_back()
+    return model
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

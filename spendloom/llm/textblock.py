@@ -69,6 +69,13 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return span_hashes(values, at, at + k)
 
 
+def hand_back() -> None:
+    """Give memory that is free but held by the allocators back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """A function over batches that hands its free memory back when a task ends: Spark keeps its workers."""
 
@@ -77,9 +84,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            hand_back()
 
     return wrapped
 
@@ -137,13 +142,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES, most: int = 20_000) -> Iterator[Block]:
-    """The column's documents in blocks of about `limit` bytes and at most `most` documents."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The column's documents in blocks of about `limit` bytes."""
     data, offsets = text_buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, lo + most, n)
+        hi = min(hi, lo + 20_000, n)
         yield Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo)
         lo = hi
 

@@ -52,7 +52,10 @@ def spend(c: str | Column) -> Column:
 
 
 def match_key(c: str | Column) -> Column:
-    """Key that finds "00123" and "123.0" equal: the number where it is one, else lower case."""
+    """Key that finds "00123" and "123.0" equal: the number where it is one, else lower case.
+
+    Text of digits and signs that is no number, such as 2024-01-15, keeps its own text.
+    """
     value = F.trim(text(c))
     return F.coalesce(F.when(looks_numeric(value), value.try_cast("double").cast("string")), F.lower(value))
 
@@ -100,26 +103,37 @@ def contains(columns: Iterable[str], keyword: str) -> Column:
 
 def supplier_name(c: str | Column) -> Column:
     """Name without web domains, trailing legal forms and punctuation."""
-    ending = "|".join(K.SUPPLIER_SUFFIXES)
-    bare = F.regexp_replace(F.trim(text(c)), rf"(?i)\.({'|'.join(K.WEB_DOMAINS)})\b", "")
-    bare = F.trim(F.regexp_replace(bare, rf"(?i)(\b({ending})\s*,?\s*)+$", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ ,.\-&/]+$", ""), r"\s{2,}", " "))
+    domains, ending = "|".join(K.WEB_DOMAINS), "|".join(K.SUPPLIER_SUFFIXES)
+    bare = F.regexp_replace(F.trim(text(c)), rf"(?i)\.({domains})\b", "")
+    named = F.trim(F.regexp_replace(bare, rf"(?i)(\b({ending})\s*,?\s*)+$", ""))
+    return squeezed(F.rtrim(named, F.lit(K.SUPPLIER_TAIL)))
+
+
+def squeezed(c: Column) -> Column:
+    """Trimmed, with single spaces between words."""
+    return F.trim(F.regexp_replace(c, r"\s{2,}", " "))
 
 
 def plant_name(c: str | Column) -> Column:
     """Plant without a numeric suffix, a trailing parenthesis and repeated spaces."""
-    bare = F.regexp_replace(F.trim(text(c)), r"[-_]\d{3,}$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s*\(.*?\)\s*$", ""), r"\s{2,}", " "))
+    value = F.trim(text(c))
+    for tail in (K.PLANT_NUMBER, K.PLANT_REMARK):
+        value = F.regexp_replace(value, tail, "")
+    return squeezed(value)
 
 
 def payment_term(c: str | Column) -> Column:
-    """struct(days, discount, known) of a payment term; days null where it says none."""
-    value = F.trim(text(c))
-    net = r"(?i)^(\d+)[%/](\d+)\s*(?:Net|N)[\s\-_]*(\d+)$"
-    days = F.when(value.rlike(r"(?i)^(C\.?O\.?D\.?|C\.?I\.?A\.?|Cash|Immediate|Sofort|Due\s*on\s*Receipt)$"), F.lit("0"))
-    for pattern in (r"(?i)^Net[\s\-_]*(\d+)$", r"(?i)^N(\d+)$", r"(?i)^D(\d+)$", r"(?i)^(\d+)\s*Days?$", r"^(\d+)$"):
-        days = days.when(value.rlike(pattern), F.regexp_extract(value, pattern, 1))
-    days = days.when(value.rlike(net), F.regexp_extract(value, net, 3))
-    discount = F.when(value.rlike(r"(?i)^C\.?I\.?A\.?$"), F.lit("Cash in advance"))
-    discount = discount.when(value.rlike(net), F.concat(F.regexp_extract(value, net, 1), F.lit("% discount if paid within "), F.regexp_extract(value, net, 2), F.lit(" days")))
+    """struct(days, discount, known) of a payment term; days null where it says none.
+
+    A term is told by its shape, its lower case with # for every number.
+    """
+    low = F.lower(F.trim(text(c)))
+    numbers, shape = F.regexp_extract_all(low, F.lit(r"(\d+)")), F.regexp_replace(low, r"\d+", "#")
+    spaced, loose = F.regexp_replace(shape, r"\s", ""), F.regexp_replace(shape, r"[\s_-]", "")
+    at_once = F.replace(spaced, F.lit("."), F.lit("")).isin(*K.AT_ONCE)
+    single = shape.isin(*K.TERM_SHAPES) | spaced.isin(*K.SPACED_TERM_SHAPES) | loose.isin(*K.LOOSE_TERM_SHAPES)
+    part = lambda i: F.try_element_at(numbers, F.lit(i))
+    days = F.when(at_once, F.lit("0")).when(single, part(1)).when(loose.isin(*K.DISCOUNT_SHAPES), part(3))
+    discount = F.when(spaced.isin("cia", "c.i.a", "c.i.a."), F.lit("Cash in advance"))
+    discount = discount.when(loose.isin(*K.DISCOUNT_SHAPES), F.concat(part(1), F.lit("% discount if paid within "), part(2), F.lit(" days")))
     return F.struct(days.alias("days"), F.coalesce(discount, F.lit("")).alias("discount"), days.isNotNull().alias("known"))

@@ -43,4 +43,19 @@ COUNTRY_CODES = {
     "CHN": "China", "IN": "India", "IND": "India", "AU": "Australia", "AUS": "Australia", "SG": "Singapore", "SGP": "Singapore", "ZA": "South Africa", "ZAF": "South Africa",
 }
 
+#: Patterns of clock times behind a date, and of the one in an ISO timestamp.
+CLOCK = r"(?i)\s+\d{1,2}:\d{2}(:\d{2})?(\s*(AM|PM))?$"
+ISO_CLOCK = r"(?i)T\d{2}:\d{2}(:\d{2})?(\..*?)?(Z|[+-]\d{2}:\d{2})?$"
+
+#: Signs that no supplier's name ends with, and patterns of what a plant's name loses at its end.
+SUPPLIER_TAIL = " ,.-&/"
+PLANT_NUMBER, PLANT_REMARK = r"[-_]\d{3,}$", r"\s*\(.*?\)\s*$"
+
+#: Payment terms: words for payment at once, and the shapes (# is a number) of those that name days.
+AT_ONCE = ["cod", "cia", "cash", "immediate", "sofort", "dueonreceipt"]
+TERM_SHAPES = ["#", "n#", "d#"]
+SPACED_TERM_SHAPES = ["#day", "#days"]
+LOOSE_TERM_SHAPES = ["net#"]
+DISCOUNT_SHAPES = ["#%#net#", "#/#net#", "#%#n#", "#/#n#"]
+
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]

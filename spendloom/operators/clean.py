@@ -53,11 +53,11 @@ def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 def dedup_keep_first(df: DataFrame, keys: Iterable[str], order: str = POSITION) -> DataFrame:
     """One row per exact key, the first in order; nulls are one value.
 
-    The rows are pre-aggregated by min_by before the shuffle, so copies of one key that hold a
+    Rows without an order come last. The rows are pre-aggregated by min_by before the shuffle, so copies of one key that hold a
     third of all rows move as one row a task and never meet in a window.
     """
     keys, rest = [*keys], [c for c in df.columns if c not in {*keys}]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), F.col(order))).alias("_first"))
     return first.select(*keys, "_first.*").select(df.columns)
 
 

@@ -18,6 +18,11 @@ def text(c: str | Column) -> Column:
     return (F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c).cast("string")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def non_blank(c: str | Column) -> Column:
     return F.coalesce(F.trim(text(c)) != "", F.lit(False))
 

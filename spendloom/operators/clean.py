@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
@@ -156,3 +156,18 @@ def best_rows(df: DataFrame, n: int, order: str, first: int = 1000) -> DataFrame
     """Of the first 1000 rows, the n with most filled cells; a preview, limited by what it is."""
     filled = sum((C.non_blank(c).cast("int") for c in df.columns if c != order), F.lit(0))
     return df.orderBy(order).limit(first).withColumn("filled", filled).orderBy(F.desc("filled"), order).limit(n)
+
+
+def header_row(raw: DataFrame, most: int = 10) -> int:
+    """The first of the first ten rows that has values in over half of its cells; 0 without one."""
+    cells = [c for c in raw.columns if c != POSITION]
+    full = sum(((C.non_blank(c) & ~F.lower(F.trim(C.text(c))).isin("nan", "none")).cast("int") for c in cells), F.lit(0))
+    found = raw.where(F.col(POSITION) < most).where(full * 2 > len(cells)).agg(F.min(POSITION)).first()[0]
+    return int(found or 0)
+
+
+def place_after(df: DataFrame, source: str, new: str, value: Column) -> DataFrame:
+    """df with a derived column right behind its source; one of that name is replaced."""
+    rest = [c for c in df.columns if c != new]
+    at = rest.index(source) + 1
+    return df.withColumn(new, value).select(*(C.column(c) for c in (*rest[:at], new, *rest[at:])))

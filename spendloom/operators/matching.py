@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
@@ -123,3 +124,69 @@ def rank_base(sizes: dict[str, tuple[int, int]]) -> list[tuple[str, int]]:
     """Tables by rows x columns, the largest first, with a score up to 100."""
     most = max((r * c for r, c in sizes.values()), default=0) or 1
     return sorted(((n, round(100 * r * c / most)) for n, (r, c) in sizes.items()), key=lambda x: (-x[1], x[0]))
+
+
+#: A merge that makes more rows a row of the base than this is refused; one that matches fewer rows is warned of.
+MOST_ROWS, LEAST_MATCHED = 1.02, 30
+
+
+def guarded_join(fact: DataFrame, dim: DataFrame, pairs: list[tuple[str, str]], name: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the joined table, one row of what the join did): a LEFT JOIN with one row of the dimension a normalised key.
+
+    Columns that both have get the dimension's name as suffix. The dimension is deduplicated on
+    the key that is joined, so rows cannot multiply; the row says so, and how many rows match.
+    """
+    theirs = [y for _, y in pairs]
+    pull = [c for c in dim.columns if c not in theirs and (keep is None or c in keep)]
+    joined = merge(fact, dim, pairs, pull, theirs[0], f"_{name}")
+    rate = match_rate(fact, [x for x, _ in pairs], dim, theirs)
+    status = F.when(F.col("rows_after") > F.col("rows") * MOST_ROWS, "rejected").when(F.col("match_pct") < LEAST_MATCHED, "low match").otherwise("merged")
+    after = joined.agg(F.count("*").alias("rows_after"))
+    return joined, rate.join(F.broadcast(after)).select(F.lit(name).alias("dimension"), "rows", "rows_after", "matched", "match_pct", F.lit(len(pull)).alias("columns_added"), status.alias("status"))
+
+
+def _shape(df: DataFrame, column: str) -> DataFrame:
+    """How the keys of a column are written, from one pass over all of them; their common prefix is that of the least and the greatest."""
+    value = F.trim(C.text(column))
+    return df.where(C.non_blank(column)).agg(
+        F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.min(F.length(value)).alias("short"),
+        F.coalesce(F.bool_or(value.rlike("^0[0-9]+$")), F.lit(False)).alias("zeros"), F.coalesce(F.bool_and(value.rlike("^[0-9]+$")), F.lit(False)).alias("digits"),
+        F.coalesce(F.bool_or(F.contains(value, F.lit("-"))), F.lit(False)).alias("dash"), F.coalesce(F.bool_or(F.contains(value, F.lit("_"))), F.lit(False)).alias("under"),
+    )
+
+
+def _prefix(shape) -> str:
+    """What all keys begin with, if it ends with a sign or holds no digit and is no whole key."""
+    lo, hi = shape["lo"] or "", shape["hi"] or ""
+    same = next((i for i, (a, b) in enumerate(zip(lo, hi, strict=False)) if a != b), min(len(lo), len(hi)))
+    prefix = lo[:same]
+    good = shape["n"] >= 3 and prefix and len(prefix) < shape["short"] and (not prefix[-1].isalnum() or not any(c.isdigit() for c in prefix))
+    return prefix if good else ""
+
+
+def key_format(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> tuple[str, Column, Column]:
+    """(kind, left expression, right expression) that make differently written keys equal.
+
+    Kinds: prefix, zeros, separator, none. Each side sends one row to the driver.
+    """
+    a, b = _shape(left, left_key).first(), _shape(right, right_key).first()
+    pa, pb = _prefix(a), _prefix(b)
+    if pa != pb:
+        strip = lambda c, p: C.match_key(F.regexp_replace(F.trim(C.text(c)), "^" + re.escape(p), "")) if p else C.match_key(c)
+        return "prefix", strip(left_key, pa), strip(right_key, pb)
+    if (a["zeros"] or b["zeros"]) and a["digits"] and b["digits"]:
+        bare = lambda c: C.strip_zeros(c)
+        return "zeros", bare(left_key), bare(right_key)
+    if (a["dash"] and b["under"]) or (a["under"] and b["dash"]):
+        plain = lambda c: F.lower(F.translate(F.trim(C.text(c)), "-_", ""))
+        return "separator", plain(left_key), plain(right_key)
+    return "none", C.match_key(left_key), C.match_key(right_key)
+
+
+def formatted_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
+    """Distinct keys of both sides and shared ones, before and after their formats are made equal."""
+    kind, x, y = key_format(left, left_key, right, right_key)
+    side = lambda df, plain, made, mark: df.where(C.non_blank(plain)).select(F.explode(F.array(F.struct(F.lit("as written").alias("keys"), C.match_key(plain).alias("k")), F.struct(F.lit("made equal").alias("keys"), made.alias("k")))).alias("x"), F.lit(mark).alias("side"))
+    both = side(left, left_key, x, 1).union(side(right, right_key, y, 2)).select("x.keys", "x.k", "side").distinct().groupBy("keys", "k").agg(F.sum("side").alias("s"))
+    count = lambda *s: F.count(F.when(F.col("s").isin(*s), 1))
+    return both.groupBy("keys").agg(count(1, 3).alias("left_distinct"), count(2, 3).alias("right_distinct"), count(3).alias("shared")).withColumn("format", F.lit(kind))

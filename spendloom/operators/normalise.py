@@ -44,12 +44,16 @@ def country_table(spark: SparkSession, codes: dict[str, str] | None = None) -> D
     return spark.createDataFrame(sorted(rows.items()), "spelling string, country string")
 
 
-def countries(df: DataFrame, column: str, codes: dict[str, str] | None = None) -> DataFrame:
-    """df with country and normalized_via; the dimension is a constant of the program, so it is broadcast."""
-    table = country_table(df.sparkSession, codes)
-    joined = df.withColumn("_spelling", F.replace(F.upper(F.trim(C.text(column))), F.lit("."), F.lit(""))).join(F.broadcast(table), F.col("_spelling") == F.col("spelling"), "left")
-    via = F.when(F.col("country").isNotNull(), F.lit("ISO Lookup")).otherwise(F.lit(""))
-    return joined.withColumn("normalized_via", via).drop("_spelling", "spelling")
+def countries(df: DataFrame, column: str, codes: dict[str, str] | None = None, into: str = "country") -> DataFrame:
+    """df with country and normalized_via; the program's own dimension is a constant, so it is broadcast.
+
+    A column of df named as the result is replaced by it.
+    """
+    table = country_table(df.sparkSession, codes).select(F.col("spelling").alias("_key"), F.col("country").alias("_found"))
+    table = table if codes else F.broadcast(table)
+    joined = df.withColumn("_spelling", F.replace(F.upper(F.trim(C.text(column))), F.lit("."), F.lit(""))).join(table, F.col("_spelling") == F.col("_key"), "left")
+    via = F.when(F.col("_found").isNotNull(), F.lit("ISO Lookup")).otherwise(F.lit(""))
+    return joined.withColumns({into: F.col("_found"), "normalized_via": via}).drop("_spelling", "_key", "_found")
 
 
 def regions(df: DataFrame, country: str, region: str | None = None) -> DataFrame:
@@ -82,17 +86,46 @@ def amount(c: str | Column) -> Column:
     return F.when(value.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), value.try_cast("double"))
 
 
+def override_rates(rates: DataFrame, overrides: DataFrame) -> DataFrame:
+    """rates with a caller's own ones in place, and whether a currency may fall back to its latest rate.
+
+    overrides: currency, year, month, rate. With year and month a rate holds for that month, with
+    a year alone for its twelve months; such a currency never falls back. Without a year it
+    holds for all months there are, and as the latest rate. Repeated overrides are averaged.
+    """
+    code = F.upper(F.trim("currency"))
+    own = overrides.select(code.alias("currency"), "year", "month", "rate").where("rate is not null")
+    flat = own.where("year is null").groupBy("currency").agg(F.avg("rate").alias("_flat"))
+    months = F.when(F.col("month").isNull(), F.sequence(F.lit(1), F.lit(12))).otherwise(F.array(F.col("month").cast("int")))
+    given = own.where("year is not null").withColumn("month", F.explode(months)).groupBy("currency", F.col("year").cast("int").alias("year"), "month").agg(F.avg("rate").alias("_own"))
+    merged = _distinct_rates(rates).join(given, ["currency", "year", "month"], "full").withColumn("rate", F.coalesce("_own", "rate"))
+    known = merged.select("currency").distinct()
+    alone = flat.join(known, "currency", "left_anti").select("currency", F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("month"), F.col("_flat").alias("rate"))
+    all_ = merged.join(flat, "currency", "left").select("currency", "year", "month", F.coalesce("_flat", "rate").alias("rate")).union(alone)
+    strict = given.select("currency").distinct().withColumn("_strict", F.lit(True))
+    return all_.join(strict, "currency", "left").withColumn("fallback", F.col("_strict").isNull()).drop("_strict")
+
+
+def _distinct_rates(rates: DataFrame) -> DataFrame:
+    """One rate a currency and month: a repeated one would double the rows that it is joined with."""
+    more = [F.min("fallback").alias("fallback")] if "fallback" in rates.columns else []
+    return rates.groupBy("currency", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")).agg(F.avg("rate").alias("rate"), *more)
+
+
 def convert(df: DataFrame, spend: str, currency: str, date: str | None, rates: DataFrame, mode: str = "monthly", year: int | None = None, target: str = "USD") -> DataFrame:
     """df with fx_rate, converted and status.
 
     rates: (currency, year, month, rate), local units a US dollar; it has currencies x months
     rows and is joined by Spark's own choice of side. Modes: monthly, with the latest rate as
     fallback; scope_year, the mean of one year; latest. Rates into another target are bridged
-    over the dollar.
+    over the dollar. Repeated rates of one month are averaged; a column `fallback` of rates
+    (override_rates) tells which currencies may fall back. All columns of df are kept.
     """
-    latest = rates.groupBy("currency").agg(F.max_by("rate", F.col("year") * 12 + F.col("month")).alias("_latest"))
+    columns, rates = df.columns, _distinct_rates(rates)
+    falling = rates.where("fallback") if "fallback" in rates.columns and mode == "monthly" else rates
+    latest = falling.groupBy("currency").agg(F.max_by("rate", F.coalesce(F.col("year") * 12 + F.col("month"), F.lit(0))).alias("_latest"))
     yearly = rates.where(F.col("year") == (year or 0)).groupBy("currency").agg(F.avg("rate").alias("_mean"))
-    df = df.withColumns({"_ccy": F.when(C.non_blank(currency), F.upper(F.trim(C.text(currency)))), "_amount": amount(spend)})
+    df = df.withColumn("__in", F.struct("*")).withColumns({"_ccy": F.when(C.non_blank(currency), F.upper(F.trim(C.text(currency)))), "_amount": amount(spend)})
     when = F.col(date) if date else F.lit(None).cast("date")
     df = df.withColumns({"_y": F.year(when), "_m": F.month(when)})
 
@@ -130,4 +163,4 @@ def convert(df: DataFrame, spend: str, currency: str, date: str | None, rates: D
     )
     good = status.isin("converted", "fallback")
     out = df.withColumns({"status": status, "fx_rate": F.when(good, F.col("_rate")), "converted": F.when(good, F.col("_amount") / F.nullif(F.col("_rate"), F.lit(0.0)))})
-    return out.drop(*(c for c in out.columns if c.startswith("_")))
+    return out.select(*(F.col("__in")[c].alias(c) for c in columns if c not in ("status", "fx_rate", "converted")), "status", "fx_rate", "converted")

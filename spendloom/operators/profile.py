@@ -50,13 +50,17 @@ def deep_stats(df: DataFrame, columns: Iterable[str]) -> DataFrame:
         F.sum("n").cast("long").alias("total_rows"), on(~full).alias("blank"), F.count(F.when(full, 1)).alias("distinct_values"),
         on(full & amount.isNotNull()).alias("numeric"), F.min(F.when(full, F.length("value"))).alias("min_len"), F.max(F.when(full, F.length("value"))).alias("max_len"),
         F.sum(F.when(full, F.length("value") * n)).alias("_chars"), on(full & value.rlike("[0-9]")).alias("with_digit"), on(full & value.rlike("[^A-Za-z0-9 ]")).alias("with_special"),
-        F.min(amount).alias("min_number"), F.max(amount).alias("max_number"),
+        F.min(amount).alias("min_number"), F.max(amount).alias("max_number"), F.sum(amount * n).alias("_sum"), F.sum(amount * amount * n).alias("_squares"),
+        F.coalesce(F.bool_and(F.when(full, value == F.upper("value"))), F.lit(False)).alias("all_upper"), F.coalesce(F.bool_and(F.when(full, value == F.lower("value"))), F.lit(False)).alias("all_lower"),
     )
     filled = F.col("total_rows") - F.col("blank")
+    mean = F.try_divide("_sum", "numeric")
+    deviation = F.when(F.col("numeric") > 0, F.sqrt(F.greatest(F.try_divide("_squares", "numeric") - mean * mean, F.lit(0.0))))
     return per.withColumns({
+        "mean": F.round(mean, 4), "stddev": F.round(deviation, 4),
         "fill_pct": C.percent(filled, F.col("total_rows")), "unique_pct": C.percent(F.col("distinct_values"), filled),
         "numeric_pct": C.percent(F.col("numeric"), F.greatest(filled, F.lit(1))), "avg_len": F.round(F.col("_chars") / F.greatest(filled, F.lit(1)), 2),
-    }).drop("_chars")
+    }).drop("_chars", "_sum", "_squares")
 
 
 def top_values(df: DataFrame, columns: Iterable[str], k: int = 10) -> DataFrame:

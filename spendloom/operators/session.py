@@ -53,6 +53,10 @@ class Session:
     def versions(self, name: str) -> list[int]:
         return sorted(int(n.rpartition("@")[2]) for n in self.names() if n.startswith(f"{name}@"))
 
+    def drop_version(self, name: str, version: int) -> None:
+        """The version goes; `latest` is then the largest that is left."""
+        self.drop(f"{name}@{version}")
+
     def latest(self, name: str) -> DataFrame:
         return self.read(f"{name}@{max(self.versions(name))}")
 

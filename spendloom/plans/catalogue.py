@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
 from spendloom.functions import dates
-from spendloom.operators import assess, clean, headers, matching, normalise, panels, profile, running, typed, views
+from spendloom.operators import assess, clean, headers, insights, matching, normalise, panels, profile, running, typed, views
 from spendloom.plans import spend as S
 from spendloom.plans.messy import MESSY, RATE_SQL, messy, rates, typed_names
 from spendloom.plans.spend import BASE, dbl, pct, table
@@ -334,7 +334,109 @@ SELECT p.t AS a, q.t AS b, count(*)::INT AS shared_headers, round(count(*) / 2::
 FROM n p JOIN n q ON p.c = q.c AND p.t < q.t LEFT JOIN x ON x.a = p.t AND x.b = q.t AND x.c = p.c GROUP BY ALL""",
 )
 
+# Insights -----------------------------------------------------------------------------------
+_TOPS = """, p AS (SELECT {key} AS k, sum(total_spend) AS s FROM b GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY s DESC, k) AS i, sum(s) OVER () AS t FROM p)
+SELECT count(*) AS members, max(k) FILTER (WHERE i = 1) AS leader, {one} AS leader_pct, {tops}, CASE WHEN count(*) > 1 THEN round(100 - {one}, 1) ELSE 0 END::DOUBLE AS others_pct FROM r"""
+
+
+def _top_sql(key: str, *tops: int) -> str:
+    share = lambda k: pct(f"sum(s) FILTER (WHERE i <= {k})", "any_value(t)", 1)
+    return BASE + _TOPS.format(key=key, one=share(1), tops=", ".join(f"{share(k)} AS top{k}_pct" for k in tops))
+
+
+_add("supplier_ranking_metrics", _on_spend("supplier")(lambda b: insights.concentration(b, "supplier", "total_spend", (5, 10))), _top_sql("supplier", 5, 10))
+_add("country_spend_metrics", _on_spend("supplier")(lambda b: insights.concentration(b, "vendor_country", "total_spend")), _top_sql("vendor_country", 3))
+_add("currency_spend_metrics", _on_spend("supplier")(lambda b: insights.concentration(b, "currency", "total_spend")), _top_sql("currency", 3))
+_add("l1_spend_metrics", _on_spend("part")(lambda b: insights.concentration(b, "l1", "total_spend")), _top_sql("l1", 3))
+_add(
+    "pareto_metrics", _on_spend("supplier")(lambda b: insights.long_tail(b, "supplier", "total_spend")),
+    BASE + f""", p AS (SELECT supplier, sum(total_spend) AS s FROM b GROUP BY 1), r AS (SELECT *, sum(s) OVER (ORDER BY s DESC, supplier ROWS UNBOUNDED PRECEDING) - s AS before, sum(s) OVER () AS t FROM p)
+SELECT count(*) FILTER (WHERE before::DOUBLE < t::DOUBLE * 0.8) AS leading, count(*) FILTER (WHERE before::DOUBLE >= t::DOUBLE * 0.8) AS long_tail, {pct("sum(s) FILTER (WHERE before::DOUBLE >= t::DOUBLE * 0.8)", "any_value(t)", 1)} AS long_tail_pct FROM r""",
+)
+for _name, _a, _b in (("l1_vs_l2_metrics", "l1", "l2"), ("l2_vs_l3_metrics", "l2", "l3")):
+    _add(
+        _name, (lambda a, b: _on_spend("part")(lambda df: insights.segment_leaders(df, a, b, "total_spend")))(_a, _b),
+        BASE + f""", p AS (SELECT {_a} AS c, {_b} AS g, sum(total_spend) AS s FROM b GROUP BY ALL), k AS (SELECT c, sum(s) AS s FROM p GROUP BY 1), lead AS (SELECT first(c ORDER BY s DESC, c DESC) AS c FROM k),
+scoped AS (SELECT 'all' AS scope, * FROM p UNION ALL SELECT 'leading column', p.* FROM p WHERE c = (SELECT c FROM lead)), r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY s DESC, c, g) AS i FROM scoped)
+SELECT scope, c AS "column", g AS segment, {dbl("s")} AS total_spend, {pct("s", "(SELECT sum(s) FROM p)", 1)} AS pct_of_total FROM r WHERE i <= 3""",
+    )
+_add(
+    "distinct_values_by_column", lambda spark, sf: insights.distinct_values(messy(spark, sf), ["supplier", "plant", "amount", "key_text"], 20),
+    MESSY + ", c AS (" + " UNION ".join(f"SELECT '{c}' AS \"column\", trim({c}) AS value FROM m WHERE trim({c}) <> ''" for c in ("supplier", "plant", "amount", "key_text"))
+    + '), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value)::INT AS rank FROM c) SELECT * FROM r WHERE rank <= 20',
+)
+_add("currency_codes", lambda spark, sf: insights.currency_codes(messy(spark, sf), "ccy"), MESSY + "SELECT upper(trim(ccy)) AS code, count(*) AS rows FROM m WHERE trim(ccy) <> '' GROUP BY 1 ORDER BY rows DESC, code LIMIT 200")
+_add(
+    "text_years", lambda spark, sf: messy(spark, sf).groupBy(insights.year_of("date_text").alias("year")).agg(F.count("*").alias("rows")),
+    MESSY + "SELECT nullif(regexp_extract(date_text, '((?:19|20)\\d\\d)', 1), '')::INT AS year, count(*) AS rows FROM m GROUP BY 1",
+)
+_add(
+    "month_labels", lambda spark, sf: table(spark, sf, "orders").groupBy(insights.month_label(F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("label")).agg(F.count("*").alias("rows")),
+    "SELECT strftime(o_orderdate, '%b %Y') AS label, count(*) AS rows FROM orders GROUP BY 1",
+)
+_add(
+    "column_kinds", lambda spark, sf: insights.column_kinds({"a": messy(spark, sf).select("key_text", "supplier", F.col("d").cast("string").alias("d")), "b": table(spark, sf, "customer").select(F.col("c_custkey").alias("key_text"), F.col("c_name").alias("supplier"))}),
+    MESSY + """, k AS (SELECT key_text AS v FROM m UNION ALL SELECT c_custkey::VARCHAR FROM customer)
+SELECT 'key_text' AS "column", count(*) AS rows, 0::BIGINT AS blank, (SELECT greatest((SELECT count(DISTINCT key_text) FROM m), (SELECT count(*) FROM customer))) AS most_distinct, 'number' AS kind FROM k
+UNION ALL SELECT 'supplier', (SELECT count(*) FROM m) + (SELECT count(*) FROM customer), 0, greatest((SELECT count(DISTINCT supplier) FROM m), (SELECT count(DISTINCT c_name) FROM customer)), 'text'
+UNION ALL SELECT 'd', count(*), 0, count(DISTINCT d), 'date' FROM m""",
+)
+_add(
+    "merge_priorities", lambda spark, sf: insights.merge_priorities(_overlap(spark, sf), "customer"),
+    "WITH o AS (" + _SQL["table_overlap"] + """), s AS (SELECT CASE WHEN a = 'customer' THEN b ELSE a END AS "table", coalesce(value_overlap, 0) * 0.65::DOUBLE + header_overlap * 0.35::DOUBLE AS p FROM o WHERE 'customer' IN (a, b))
+SELECT "table", round(p, 4) AS priority, CASE WHEN p >= 0.65 THEN 'high' WHEN p >= 0.4 THEN 'medium' WHEN p >= 0.2 THEN 'low' ELSE 'none' END AS label FROM s""",
+)
+_guarded = lambda spark, sf: matching.guarded_join(table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.lit(1).alias("c_name")), _half(spark, sf).select("c_custkey", "c_name", "c_mktsegment"), _MERGE, "dim")
+_add("guarded_left_join", lambda spark, sf: _guarded(spark, sf)[0], "SELECT o_orderkey, o_custkey, 1::INT AS c_name, c.c_name AS c_name_dim, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON o_custkey = c_custkey")
+_add(
+    "guarded_join_report", lambda spark, sf: _guarded(spark, sf)[1],
+    f"""WITH m AS (SELECT o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AS hit FROM orders), s AS (SELECT count(*) AS rows, count(*) FILTER (WHERE hit) AS matched FROM m)
+SELECT 'dim' AS dimension, rows, rows AS rows_after, matched, {pct("matched", "rows")} AS match_pct, 2::INT AS columns_added, CASE WHEN {pct("matched", "rows")} < 30 THEN 'low match' ELSE 'merged' END AS status FROM s""",
+)
+_coded = lambda spark, sf: table(spark, sf, "customer").select(F.concat(F.lit("CUST-"), F.col("c_custkey").cast("string")).alias("code"))
+_add(
+    "key_format_prefix", lambda spark, sf: matching.formatted_overlap(_coded(spark, sf), "code", table(spark, sf, "orders"), "o_custkey"),
+    """WITH c AS (SELECT count(DISTINCT c_custkey) AS n FROM customer), o AS (SELECT count(DISTINCT o_custkey) AS n FROM orders), s AS (SELECT count(DISTINCT o_custkey) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+SELECT 'as written' AS keys, c.n AS left_distinct, o.n AS right_distinct, 0::BIGINT AS shared, 'prefix' AS format FROM c, o UNION ALL SELECT 'made equal', c.n, o.n, s.n, 'prefix' FROM c, o, s""",
+)
+_dashed = lambda spark, sf, sign: table(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(sign), F.length("p_brand").cast("string")).alias("code"))
+_add(
+    "key_format_separator", lambda spark, sf: matching.formatted_overlap(_dashed(spark, sf, "-"), "code", _dashed(spark, sf, "_"), "code"),
+    "WITH n AS (SELECT count(DISTINCT p_partkey::VARCHAR || length(p_brand)) AS made, count(DISTINCT p_partkey::VARCHAR || '-' || length(p_brand)) AS n FROM part) SELECT 'as written' AS keys, n AS left_distinct, n AS right_distinct, 0::BIGINT AS shared, 'separator' AS format FROM n UNION ALL SELECT 'made equal', made, made, made, 'separator' FROM n",
+)
+_add(
+    "sample_of_leaders", lambda spark, sf: insights.sample_of_leaders(S.spend(spark, sf, "part"), "description", "total_spend"),
+)
+_add("derived_column_placed", lambda spark, sf: clean.place_after(messy(spark, sf), "supplier", "supplier_norm", C.supplier_name("supplier")).select("id", "supplier_norm").groupBy("supplier_norm").agg(F.count("*").alias("rows")), MESSY + """, n(raw, cleaned) AS (VALUES ('Acme Tools Inc.', 'Acme Tools'), ('Globex Corporation', 'Globex'), ('Initech  Holdings, LLC', 'Initech'), ('umbrella.com', 'umbrella'), ('Stark Industries Group Ltd', 'Stark Industries'), ('Wayne Co.', 'Wayne'), ('Hooli', 'Hooli'))
+SELECT cleaned AS supplier_norm, count(*) AS rows FROM m JOIN n ON raw = supplier GROUP BY ALL""")
+
+
+def _overridden(spark: SparkSession, sf: str) -> DataFrame:
+    own = spark.createDataFrame([("eur ", 1998, None, 2.0), ("GBP", None, None, 0.5)], "currency string, year int, month int, rate double")
+    doubled = rates(spark).union(rates(spark))  # repeated rates must not repeat rows
+    out = normalise.convert(messy(spark, sf), "amount", "ccy", "d", normalise.override_rates(doubled, own))
+    return out.select("id", "status", F.round("converted", 4).alias("converted"))
+
+
+_add(
+    "fx_overrides", _overridden,
+    _FX + f""", j AS (SELECT x.*, CASE c WHEN 'USD' THEN 1.0 WHEN 'GBP' THEN 0.5 WHEN 'EUR' THEN CASE WHEN year(d) = 1998 THEN 2.0 ELSE r.rate END END::DOUBLE AS rate, coalesce(c = 'GBP' AND r.rate IS NULL, false) AS fell
+  FROM x LEFT JOIN r ON r.currency = c AND r.year = year(d) AND r.month = month(d))
+SELECT id, {_STATUS} AS status, CASE WHEN {_STATUS} IN ('converted', 'fallback') THEN round(x / rate, 4) END AS converted FROM j""",
+)
+_add(
+    "number_stats", lambda spark, sf: profile.deep_stats(table(spark, sf, "customer").select(F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("balance"), F.col("c_mktsegment").alias("segment")), ["balance", "segment"]).select("column", "numeric", "min_number", "max_number", F.round("mean", 2).alias("mean"), F.round("stddev", 2).alias("stddev"), "all_upper", "all_lower"),
+    """SELECT 'balance' AS "column", count(*) AS numeric, min(c_acctbal)::DOUBLE AS min_number, max(c_acctbal)::DOUBLE AS max_number, round(avg(c_acctbal)::DOUBLE, 2) AS mean, round(stddev_pop(c_acctbal::DOUBLE), 2) AS stddev, true AS all_upper, true AS all_lower FROM customer
+UNION ALL SELECT 'segment', 0, NULL, NULL, NULL, NULL, bool_and(c_mktsegment = upper(c_mktsegment)), bool_and(c_mktsegment = lower(c_mktsegment)) FROM customer""",
+)
+
 # Schema-level operators: a few strings on the driver -----------------------------------------
+_dims = lambda spark, sf: {*S.spend(spark, sf, "supplier").columns}
+_add(
+    "view_feasibility", lambda spark, sf: spark.createDataFrame(views.feasibility(views.VIEW_FIELDS, _dims(spark, sf)), "view string, available boolean, missing array<string>").select("view", "available", F.array_join("missing", ",").alias("missing")),
+    """SELECT * FROM (VALUES ('spend_over_time', true, ''), ('supplier_ranking', true, ''), ('pareto', true, ''), ('currency_spend', true, ''), ('country_spend', true, ''), ('l1_spend', false, 'l1'),
+  ('l1_vs_l2', false, 'l1,l2'), ('l2_vs_l3', false, 'l1,l2,l3'), ('category_drilldown', false, 'l1')) t("view", available, missing)""",
+)
 _HEADERS = ["Invoice Date", "VendorName", "inv amt", "WAERS", "Unnamed: 3", "Lieferant", "Plnt", "Payment Trms", "zzz"]
 _add("header_match_tiers", lambda spark, sf: spark.createDataFrame([(m.header, m.field, m.tier, m.score) for m in headers.match_all(_HEADERS)], "header string, field string, tier string, score double"))
 _add("feasibility_registry", lambda spark, sf: spark.createDataFrame(views.feasibility(views.VIEW_FIELDS, {"invoice_date", "total_spend", "supplier", "l1"}), "view string, available boolean, missing array<string>"))

@@ -13,26 +13,51 @@ from pyspark.sql import functions as F
 
 from spendloom.operators.clean import POSITION
 
-MEMBERS = "file string, sheet string, pos long, cells array<string>, warning string"
+MEMBERS = "path string, file string, sheet string, pos long, cells array<string>, warning string"
 _WORKBOOKS = (".xlsx", ".xlsm", ".xltx", ".xltm", ".xlsb")
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = False, multiline: bool = True) -> DataFrame:
-    """Every cell as text, blanks as '', bad bytes replaced; with the file's name and the row's place.
+def read_csv(spark: SparkSession, path: str, multiline: bool = True, delimiter: str = ",") -> DataFrame:
+    """Every cell as text in columns _c0, _c1, ... of the widest row, blanks as ''; with the file and the row's place.
 
-    _place orders the rows of a file without a shuffle: the block of the file they are read
-    from, then the row in it. multiline reads a file in one task; without it large files split.
+    Records are parsed as one text each and split by a generous schema, so rows wider than the
+    first one keep their cells. _place orders the rows of a file without a shuffle: the block of
+    the file they are read from, then the row in it. multiline reads a file in one task; without
+    it large files split. FILE_NAME is the base name, FILE_PATH tells equal names apart.
     """
-    read = spark.read.option("header", header).option("inferSchema", False).option("multiLine", multiline).option("encoding", "UTF-8")
-    df = read.option("emptyValue", "").option("mode", "PERMISSIVE").csv(path)
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]
+    width = _width(spark, path, multiline, delimiter)
+    names = [f"_c{i}" for i in range(width)]
+    read = spark.read.schema(", ".join(f"{n} string" for n in names)).option("multiLine", multiline).option("encoding", "UTF-8").option("sep", delimiter)
+    df = read.option("header", False).option("emptyValue", "").option("mode", "PERMISSIVE").csv(path)
+    cells = [F.coalesce(F.col(n), F.lit("")).alias(n) for n in names]
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return df.select(*cells, F.col("_metadata.file_name").alias("FILE_NAME"), place.alias("_place"))
+    return df.select(*cells, F.col("_metadata.file_name").alias("FILE_NAME"), F.col("_metadata.file_path").alias("FILE_PATH"), place.alias("_place"))
+
+
+def _width(spark: SparkSession, path: str, multiline: bool, delimiter: str) -> int:
+    """An upper bound of the cells in a row that is met: delimiters of the line that has most, quoted ones too, and one."""
+    lines = spark.read.text(path)
+    most = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit(""))))).first()[0]
+    bound = (most or 0) + 1
+    names = ", ".join(f"_c{i} string" for i in range(bound))
+    rows = spark.read.schema(names).option("multiLine", multiline).option("sep", delimiter).option("header", False).option("mode", "PERMISSIVE").csv(path)
+    # The last column that holds a cell in any row; one pass of one number a task.
+    filled = F.greatest(F.lit(1), *(F.when(F.col(f"_c{i}").isNotNull(), i + 1) for i in range(bound)), F.lit(1))
+    return rows.agg(F.max(filled)).first()[0] or 1
 
 
 def numbered(df: DataFrame, place: str = "_place") -> DataFrame:
-    """POSITION from 0 within each file, in the order of place."""
-    return df.withColumn(POSITION, F.row_number().over(Window.partitionBy("FILE_NAME").orderBy(place)) - 1).drop(place)
+    """POSITION from 0 within each file, in the order of place.
+
+    Rows are ranked within blocks of a file and shifted by the counts of the blocks before, so
+    no task holds a whole file of many blocks.
+    """
+    dealt = df.withColumn("_block", F.col(f"{place}.block"))
+    sizes = dealt.groupBy("FILE_PATH", "_block").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("FILE_PATH").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("FILE_PATH", "_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("FILE_PATH", "_block").orderBy(place)) - 1
+    return dealt.withColumn(POSITION, rank).join(before, ["FILE_PATH", "_block"]).withColumn(POSITION, F.col(POSITION) + F.col("_before")).drop("_block", "_before", place)
 
 
 def _sheets(name: str, data: bytes, depth: int) -> Iterator[tuple]:
@@ -61,28 +86,31 @@ def _sheets(name: str, data: bytes, depth: int) -> Iterator[tuple]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all tables in the archives, CSV files and workbooks under path, one level of nesting.
 
-    Files are dealt out to tasks whole. A workbook reader must be installed for workbooks;
+    `path` is the outer file, so that equal names in two folders stay apart. Files are dealt out
+    to tasks whole. A workbook reader must be installed for workbooks;
     else they give a warning row.
     """
 
+    names = ["path", "file", "sheet", "pos", "cells", "warning"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 held = []
                 for row in _sheets(path.rsplit("/", 1)[-1], bytes(content), 0):
-                    held.append(row)
+                    held.append((path, *row))
                     if len(held) == 10_000:
-                        yield pd.DataFrame(held, columns=["file", "sheet", "pos", "cells", "warning"])
+                        yield pd.DataFrame(held, columns=names)
                         held = []
                 if held:
-                    yield pd.DataFrame(held, columns=["file", "sheet", "pos", "cells", "warning"])
+                    yield pd.DataFrame(held, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, MEMBERS)
 
 
-def table_of(rows: DataFrame, file: str, sheet: str = "") -> DataFrame:
+def table_of(rows: DataFrame, file: str, sheet: str = "", path: str | None = None) -> DataFrame:
     """One table of an archive with columns RAW_0, RAW_1, ... and POSITION; short rows are padded."""
-    own = rows.where((F.col("file") == file) & (F.col("sheet") == sheet) & F.col("warning").isNull())
+    own = rows.where((F.col("file") == file) & (F.col("sheet") == sheet) & F.col("warning").isNull() & (F.lit(path is None) | (F.col("path") == (path or ""))))
     width = own.agg(F.max(F.size("cells"))).first()[0] or 0
     return own.select(F.col("pos").alias(POSITION), *(F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")).alias(f"RAW_{i}") for i in range(width)))
 

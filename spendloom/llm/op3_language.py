@@ -259,7 +259,9 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     """lang_pred, score and switches (how often the likeliest language changes) of every whole text.
 
     `und` and 0 for a null text, one without a letter, or an empty model. keep: further
-    columns to carry; repeated rows are each predicted; an empty table gives an empty result.
+    columns to carry; repeated rows are each predicted, ids may be null, texts of any length
+    are read whole, of equal scores the first language by name counts; an empty table gives an
+    empty result.
     """
     names = [id_column, *(keep or [])]
     shared = docs.sparkSession.sparkContext.broadcast(model)

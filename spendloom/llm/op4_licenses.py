@@ -174,7 +174,7 @@ def _best(matches: list[dict]) -> list[dict]:
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, id_column: str = "doc_id", text_column: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Per document: matches with template, family, coverage, word and byte spans; none for clean ones.
 
-    Null and empty texts match nothing; repeated rows are each scanned; other columns are not
+    Texts of any length are scanned whole. Null and empty texts match nothing; repeated rows are each scanned; other columns are not
     read; an empty table gives an empty result. Wordless templates match nothing. Every copy of
     a template is a match, back to back ones too. Of templates that match at one place only the
     best is reported: the one with the most matched words less missing ones.

@@ -45,6 +45,7 @@ PATTERNS = {
 _LOCAL, _DOMAIN = re.compile(r"[\w.%+\-]*\w$"), re.compile(r"(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w\-])")
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HEX = "0123456789abcdef"
+_LOWER = str.maketrans(_ALPHABETS[2], _ALPHABETS[1])
 _OF = {c: a for a in _ALPHABETS for c in a}
 
 
@@ -125,8 +126,12 @@ def _iban(f: Feistel, value: str, back: bool) -> str | None:
 
 
 def _phone(f: Feistel, value: str, back: bool) -> str | None:
+    """The country code stays; the other digits change alike however they are grouped."""
     keep = re.match(r"\+\d{1,3}(?=\D)|\+\d", value)
-    return by_alphabet(f, value, "phone", back, keep=keep.end() if keep else 0)
+    head, rest = (value[: keep.end()], value[keep.end() :]) if keep else ("", value)
+    digits = re.sub(r"\D", "", rest)
+    n = len(digits)
+    return head + refill(rest, f"{f.permute(int(digits), 10**n, f'phone{n}', back):0{n}d}")
 
 
 def _ssn(f: Feistel, value: str, back: bool) -> str | None:
@@ -161,10 +166,13 @@ def _date(f: Feistel, value: str, back: bool) -> str | None:
 
     order = "ymd" if value[4] == sep else "dmy" if at(c, b, a) is not None else "mdy"
     day = {"ymd": at(a, b, c), "dmy": at(c, b, a), "mdy": at(c, a, b)}[order]
+    # Days over 12 go to such days and others to others, so every order reads back as it was
+    # written and one permutation serves all orders.
+    late = day is not None and datetime.date.fromordinal(FIRST + day).day > 12
     while day is not None:
-        day = f.permute(day, LAST - FIRST, f"date{order}", back)
+        day = f.permute(day, LAST - FIRST, "date", back)
         d = datetime.date.fromordinal(FIRST + day)
-        if order != "mdy" or d.day > 12:  # else it would read as day before month
+        if (d.day > 12) == late:
             return sep.join({"ymd": (f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}"), "dmy": (f"{d.day:02d}", f"{d.month:02d}", f"{d.year:04d}"), "mdy": (f"{d.month:02d}", f"{d.day:02d}", f"{d.year:04d}")}[order])
     return None
 
@@ -176,8 +184,10 @@ def _secret(f: Feistel, value: str, back: bool) -> str | None:
 
 
 def _email(f: Feistel, value: str, back: bool) -> str | None:
+    """Letters change alike in either case, and keep their case."""
     head, _, top = value.rpartition(".")
-    return f"{by_alphabet(f, head, 'email', back)}.{top}"
+    new = by_alphabet(f, head.translate(_LOWER), "email", back)
+    return "".join(n.upper() if o in _ALPHABETS[2] else n for n, o in zip(new, head, strict=True)) + "." + top
 
 
 _CHANGE: dict[str, Callable[[Feistel, str, bool], str | None]] = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret}
@@ -218,7 +228,9 @@ _MARKS[[ord("@"), *range(0x30, 0x3A)]] = True
 def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", counts: bool = False, back: bool = False) -> DataFrame:
     """docs with pseudonyms in the text; with counts also columns n_email, n_phone, ... (long).
 
-    Null and empty texts stay as they are. All other columns and repeated rows are kept; a
+    Equal phone numbers, dates and e-mail addresses get equal pseudonyms in all their formats.
+    Texts of any length are read whole; of values that overlap the first counts, then the
+    longer. Null and empty texts stay as they are. All other columns and repeated rows are kept; a
     column of docs named like a count is replaced by it. An empty table stays empty.
     """
     names = [f"n_{k}" for k in KINDS] if counts else []

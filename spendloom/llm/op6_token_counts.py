@@ -23,7 +23,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_column: str
     """n_bytes, n_tokens and over_limit of each whole text, without a shuffle.
 
     A null text is an empty one: 0, 0, false. Repeated rows are each counted, other columns
-    are not read, and an empty table gives an empty result. Special strings inside a text are
+    are not read, ids may be null, texts of any length are read whole, and an empty table gives
+    an empty result; no ties arise. Special strings inside a text are
     handled as the library's default does.
     """
 

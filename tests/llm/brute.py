@@ -72,6 +72,30 @@ def repetition(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside), failed)
 
 
+def clean_of_repeats(text, line_share, line_char_share, later_shares, top_shares):
+    """The verdict on repeated lines and n-grams, by their words: is every share within its limit?"""
+    w = SPACED.findall(text or "")
+    floor = max(sum(map(len, w)), 1)
+    lines, seen, again, again_chars = [x for x in (text or "").split("\n") if SPACED.search(x)], set(), 0, 0
+    for x in lines:
+        if x in seen:
+            again += 1
+            again_chars += sum(map(len, SPACED.findall(x)))
+        seen.add(x)
+    good = again <= line_share * len(lines) and again_chars / floor <= line_char_share
+    for k, limit in later_shares.items():
+        known, inside = set(), set()
+        for i in range(len(w) - k + 1):
+            if (g := tuple(w[i : i + k])) in known:
+                inside |= set(range(i, i + k))
+            known.add(g)
+        good &= sum(len(w[i]) for i in inside) / floor <= limit
+    for k, limit in top_shares.items():
+        found = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        good &= min(max((n * sum(map(len, g)) for g, n in found.items() if n > 1), default=0) / floor, 1) <= limit
+    return good
+
+
 def removed_bytes(texts, length):
     """Per text: the bytes covered by a string of `length` that starts twice or more."""
     data = [(t or "").encode() for t in texts]

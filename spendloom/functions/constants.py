@@ -58,4 +58,15 @@ SPACED_TERM_SHAPES = ["#day", "#days"]
 LOOSE_TERM_SHAPES = ["net#"]
 DISCOUNT_SHAPES = ["#%#net#", "#/#net#", "#%#n#", "#/#n#"]
 
+#: How much a word in a header speaks for a currency or a spend column, and words of date headers.
+CURRENCY_WORDS = {
+    "currency code": 1.0, "currency_code": 1.0, "currency": 0.95, "curr code": 0.9, "curr_code": 0.9, "ccy code": 0.9, "ccy_code": 0.9, "curr": 0.85, "ccy": 0.85,
+    "fx code": 0.7, "fx_code": 0.7, "iso code": 0.65, "iso_code": 0.65, "iso": 0.55, "fx": 0.5,
+}
+SPEND_WORDS = {"spend": 1.0, "amount": 0.9, "cost": 0.85, "price": 0.8, "payment": 0.75, "invoice": 0.75, "charge": 0.7, "fee": 0.65, "total": 0.6, "value": 0.55}
+DATE_WORDS = ["date", "dob", "time"]
+
+#: Countries whose name here differs from the one in the platform's own list.
+COUNTRY_NAMES = {"CZ": "Czech Republic", "HK": "Hong Kong", "MM": "Myanmar", "TR": "Turkey"}
+
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]

@@ -6,6 +6,10 @@ import difflib
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
+from spendloom.functions import columns as C
+
 #: Canonical fields with spellings they are met under, lower case, words parted by one space.
 FIELDS = {
     "invoice_date": ["invoice date", "inv date", "document date", "posting date", "rechnungsdatum", "date de facture", "fecha factura"],
@@ -113,3 +117,35 @@ def learn(learned: dict[str, str], header: str, field: str, most: int = 75) -> d
     if field not in FIELDS:
         raise ValueError(f"unknown field {field}")
     return learned if sum(f == field for f in learned.values()) >= most else learned | {plain(header): field}
+
+
+def apply_decisions(df: DataFrame, decisions: list[dict], learned: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """(df under its approved headers, learned spellings).
+
+    A decision has source_col, action (AUTO, REVIEW, DROP or KEEP), mapped_to, user_edited and
+    custom_name. Dropped columns go, kept ones and those without a name stay as they are, the
+    others are renamed. What a user set by hand for a known field is learned. Two columns of
+    one new name are refused.
+    """
+    kept, learned = [], dict(learned or {})
+    for d in decisions:
+        source, action, target = d["source_col"], d.get("action", "KEEP"), (d.get("mapped_to") or "").strip()
+        if action == "DROP":
+            continue
+        renamed = action != "KEEP" and bool(target)
+        kept.append((source, target if renamed else source))
+        if renamed and d.get("user_edited") and not d.get("custom_name") and target in FIELDS:
+            learned = learn(learned, source, target)
+    names = [n for _, n in kept]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"several columns would have one name: {sorted(n for n in names if names.count(n) > 1)}")
+    return df.select(*(C.column(c).alias(n) for c, n in kept)), learned
+
+
+def value_type(samples: list[str]) -> str:
+    """date or numeric if at least half of the samples look like one, else text."""
+    values = [s.strip() for s in samples]
+    half = lambda pattern: 2 * sum(bool(re.fullmatch(pattern, v)) for v in values) >= len(values) > 0
+    if half(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}.*|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}.*"):
+        return "date"
+    return "numeric" if half(r"[+-]?[\d,]*\.?\d+") else "text"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,21 @@ def region_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, r) for r, cs in K.REGIONS.items() for c in cs], "country string, region string")
 
 
+@lru_cache(1)
+def iso_codes() -> dict[str, str]:
+    """Two- and three-letter codes and names of all countries of the standard, from the platform's own list."""
+    locale = SparkSession.active().sparkContext._jvm.java.util.Locale
+    found = {}
+    for code in locale.getISOCountries():
+        country = locale("", code)
+        name = K.COUNTRY_NAMES.get(code, country.getDisplayCountry(locale.ENGLISH))
+        found |= {code: name, country.getISO3Country(): name}
+    return found | K.COUNTRY_CODES
+
+
 def country_table(spark: SparkSession, codes: dict[str, str] | None = None) -> DataFrame:
     """(spelling, country): codes, and every country's own name in upper case."""
-    codes = codes or K.COUNTRY_CODES
+    codes = codes or iso_codes()
     names = {c for cs in K.REGIONS.values() for c in cs} | {*codes.values()}
     rows = {k.upper().replace(".", ""): v for k, v in codes.items()} | {n.upper(): n for n in names}
     return spark.createDataFrame(sorted(rows.items()), "spelling string, country string")

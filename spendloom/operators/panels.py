@@ -167,3 +167,26 @@ def diverse_samples(df: DataFrame, column: str, per_shape: int = 2) -> DataFrame
     shape = F.regexp_replace(F.regexp_replace(F.trim(C.text(column)), "[0-9]", "9"), "[A-Za-z]", "a")
     counted = df.where(C.non_blank(column)).groupBy(shape.alias("shape"), F.trim(C.text(column)).alias("value")).agg(F.count("*").alias("n"))
     return counted.withColumn("k", F.row_number().over(Window.partitionBy("shape").orderBy("value"))).where(F.col("k") <= per_shape).drop("k", "n")
+
+
+def quality_panels(df: DataFrame) -> dict[str, DataFrame]:
+    """All panels that the fields of a typed table allow, by name; each is a plan of its own."""
+    there = {*df.columns}
+    make = {
+        "date_period": (["invoice_date"], lambda: date_period(df, "invoice_date")), "date_pivot": (["invoice_date", "total_spend"], lambda: date_pivot(df, "invoice_date", "total_spend")),
+        "bifurcation": (["total_spend"], lambda: bifurcation(df, "total_spend")), "bifurcation_by_currency": (["total_spend", "currency"], lambda: bifurcation(df, "total_spend", "currency")),
+        "currency": (["currency", "total_spend"], lambda: top_and_others(df, "currency", "total_spend")), "country": (["vendor_country", "total_spend"], lambda: top_and_others(df, "vendor_country", "total_spend")),
+        "region": (["region", "total_spend"], lambda: top_and_others(df, "region", "total_spend")), "terms": (["payment_terms", "total_spend"], lambda: terms_panel(df, "payment_terms", "total_spend")),
+        "supplier": (["supplier", "total_spend"], lambda: supplier_breakdown(df, "supplier", "total_spend")), "description": (["description"], lambda: description_stats(df, "description")),
+        "non_procurable": (["description", "total_spend", "currency"], lambda: non_procurable(df, "description", "total_spend", "currency")),
+        "effort": (["supplier", "description"], lambda: categorization_effort(df, "supplier", "description")),
+    }
+    return {name: plan() for name, (fields, plan) in make.items() if {*fields} <= there}
+
+
+def executive_summary(df: DataFrame, date: str, spend: str, supplier: str) -> DataFrame:
+    """One row: the period, months with spend, total, the last twelve months, suppliers and how many reach 80 %."""
+    period, net, year, vendors = date_period(df, date), bifurcation(df, spend), ltm(df, date, spend), supplier_breakdown(df, supplier, spend)
+    # Each side is one row.
+    joined = period.join(F.broadcast(net)).join(F.broadcast(year)).join(F.broadcast(vendors))
+    return joined.select("first_date", "last_date", "months", F.col("net").alias("total_spend"), "ltm_spend", "suppliers", "reach_80", "top10_pct")

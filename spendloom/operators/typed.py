@@ -47,3 +47,18 @@ def failures(df: DataFrame, mapping: dict[str, str], k: int = 5) -> DataFrame:
 def null_rows(typed: DataFrame, spend: str = "total_spend", date: str = "invoice_date") -> DataFrame:
     """Rows that analysis cannot place: without spend or without a date."""
     return typed.where(F.col(spend).isNull() | F.col(date).isNull())
+
+
+def build_all(tables: dict[str, tuple[DataFrame, dict[str, str]]]) -> tuple[DataFrame, DataFrame]:
+    """(typed rows of all uploads with their table, those that analysis cannot place).
+
+    tables: name -> (table, column -> field). A field that one upload lacks is null there;
+    every row keeps the name of its upload.
+    """
+    parts = [build(df, mapping).withColumn("_source_table", F.lit(name)) for name, (df, mapping) in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    missing = {"total_spend": "double", "invoice_date": "date"}
+    out = out.withColumns({c: F.lit(None).cast(k) for c, k in missing.items() if c not in out.columns})
+    return out, null_rows(out)

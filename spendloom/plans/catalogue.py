@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
 from spendloom.functions import dates
-from spendloom.operators import assess, clean, headers, insights, matching, normalise, panels, profile, running, typed, views
+from spendloom.operators import assess, clean, headers, insights, matching, normalise, panels, profile, running, suggest, typed, views
 from spendloom.plans import spend as S
 from spendloom.plans.messy import MESSY, RATE_SQL, messy, rates, typed_names
 from spendloom.plans.spend import BASE, dbl, pct, table
@@ -430,6 +430,39 @@ _add(
 UNION ALL SELECT 'segment', 0, NULL, NULL, NULL, NULL, bool_and(c_mktsegment = upper(c_mktsegment)), bool_and(c_mktsegment = lower(c_mktsegment)) FROM customer""",
 )
 
+_add(
+    "column_suggestions", lambda spark, sf: suggest.suggest_columns(messy(spark, sf).select("id", "supplier", "date_text", "amount", "ccy"), "id"),
+    MESSY + """, f AS (SELECT * FROM m ORDER BY id LIMIT 100), c AS (SELECT count(*) AS n, count(*) FILTER (WHERE id % 7 <> 6) AS dates, count(*) FILTER (WHERE trim(ccy) <> '') AS codes,
+  count(*) FILTER (WHERE amount IN ('1,234.50', '$99', '(250.00)', '1e3', '-7', '12 000', '00042')) AS numbers, count(*) FILTER (WHERE amount IN ('1,234.50', '$99', '1e3', '12 000', '00042')) AS positive, count(*) FILTER (WHERE amount <> '') AS amounts FROM f)
+SELECT 'date' AS role, 'date_text' AS "column", round(dates / n, 3) AS score FROM c WHERE dates / n >= 0.6 UNION ALL SELECT 'currency', 'ccy', round(0.85 * codes / n, 3) FROM c
+UNION ALL SELECT 'spend', 'amount', round(0.9::DOUBLE * (numbers / n) * amounts / n * CASE WHEN 2 * positive >= numbers THEN 1.2 ELSE 1 END, 3) FROM c WHERE numbers / n >= 0.7""",
+)
+_add(
+    "executive_summary", _on_spend("supplier")(lambda b: panels.executive_summary(b, "invoice_date", "total_spend", "supplier").select("months", "total_spend", "suppliers", "reach_80")),
+    BASE + f""", p AS (SELECT supplier, sum(total_spend) AS s FROM b GROUP BY 1), r AS (SELECT *, sum(s) OVER (ORDER BY s DESC, supplier ROWS UNBOUNDED PRECEDING) - s AS before, sum(s) OVER () AS t FROM p)
+SELECT (SELECT count(DISTINCT date_trunc('month', invoice_date)) FROM b) AS months, (SELECT {dbl("sum(total_spend)")} FROM b) AS total_spend, count(*) AS suppliers, count(*) FILTER (WHERE before::DOUBLE < t::DOUBLE * 0.8) AS reach_80 FROM r""",
+)
+
+
+def _uploads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    bills = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("po"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amt"))
+    return typed.build_all({"messy": (messy(spark, sf), _MAPPING), "bills": (bills, {"amt": "total_spend", "po": "po_number"})})
+
+
+_add(
+    "typed_union", lambda spark, sf: _uploads(spark, sf)[0].groupBy("_source_table").agg(F.count("*").alias("rows"), F.count("total_spend").alias("spends"), F.count("invoice_date").alias("dates"), F.count("po_number").alias("orders")),
+    MESSY + "SELECT 'messy' AS _source_table, count(*) AS rows, count(*) FILTER (WHERE amount IN ('1,234.50', '$99', '1e3', '-7', '12 000', '00042')) AS spends, count(*) FILTER (WHERE id % 7 <> 6) AS dates, 0::BIGINT AS orders FROM m UNION ALL SELECT 'bills', count(*), count(o_totalprice), 0, count(*) FROM orders",
+)
+_add(
+    "typed_null_rows", lambda spark, sf: _uploads(spark, sf)[1].groupBy("_source_table").agg(F.count("*").alias("rows")),
+    MESSY + "SELECT 'messy' AS _source_table, count(*) AS rows FROM m WHERE id % 7 = 6 OR amount NOT IN ('1,234.50', '$99', '1e3', '-7', '12 000', '00042') UNION ALL SELECT 'bills', count(*) FROM orders",
+)
+_DECIDED = [{"source_col": "supplier", "action": "AUTO", "mapped_to": "supplier_name"}, {"source_col": "plant", "action": "KEEP"}, {"source_col": "ccy", "action": "REVIEW", "mapped_to": "currency", "user_edited": True}, {"source_col": "term", "action": "DROP"}]
+_add(
+    "header_decisions", lambda spark, sf: headers.apply_decisions(messy(spark, sf), _DECIDED)[0].groupBy("supplier_name", "plant", "currency").agg(F.count("*").alias("rows")),
+    MESSY + "SELECT supplier AS supplier_name, plant, ccy AS currency, count(*) AS rows FROM m GROUP BY ALL",
+)
+
 # Schema-level operators: a few strings on the driver -----------------------------------------
 _dims = lambda spark, sf: {*S.spend(spark, sf, "supplier").columns}
 _add(

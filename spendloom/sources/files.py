@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -125,3 +126,13 @@ def write_workbook(df: DataFrame, path: str, most: int = 1_048_575) -> None:
     if df.count() > most:
         raise ValueError("too many rows for one sheet; write CSV or Parquet")
     df.toPandas().to_excel(path, index=False)
+
+
+def write_all(tables: dict[str, DataFrame], path: str) -> list[str]:
+    """Every table as CSV in a folder of its name; signs that a path cannot hold become `_`."""
+    names = [re.sub(r"[^A-Za-z0-9._-]+", "_", n) for n in tables]
+    if len({*names}) < len(names):
+        raise ValueError("two tables would share a folder")
+    for name, df in zip(names, tables.values(), strict=True):
+        write_csv(df, f"{path}/{name}")
+    return names

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spendloom.functions import columns as C
 from spendloom.functions import constants as K
 from spendloom.operators import views
-from spendloom.operators.running import leading
+from spendloom.operators.running import leading, running, settled
 
 
 def _sum(c: Column) -> Column:
@@ -62,7 +62,7 @@ def cohort(df: DataFrame, supplier: str, spend: str, percent: float = 80) -> Dat
 
 def supplier_breakdown(df: DataFrame, supplier: str, spend: str) -> DataFrame:
     """Suppliers, how many reach 80 %, the share of the top ten, spellings that differ in case."""
-    named = df.where(C.non_blank(supplier)).groupBy(F.trim(supplier).alias("supplier")).agg(F.sum(spend).alias("spend"))
+    named = settled(df.where(C.non_blank(supplier)).groupBy(F.trim(supplier).alias("supplier")).agg(F.sum(spend).alias("spend")))
     reach = leading(named, "spend", "supplier", 80).agg(F.count("*").alias("reach_80"))
     top = named.orderBy(F.desc("spend"), "supplier").limit(10).agg(F.sum("spend").alias("top"))
     variants = named.groupBy(F.lower("supplier").alias("k")).agg(F.count("*").alias("n"), F.sum("spend").alias("spend"))
@@ -81,8 +81,6 @@ def pareto_thresholds(df: DataFrame, supplier: str, spend: str, description: str
 
     Rows are reduced to suppliers once; the cuts are then read off one running total.
     """
-    from spendloom.operators.running import running
-
     rows = df.where(F.col(spend) > 0).groupBy(F.col(supplier).alias("supplier"), F.col(description).alias("d")).agg(F.sum(spend).alias("spend"), F.count("*").alias("n"))
     per = rows.groupBy("supplier").agg(F.sum("spend").alias("spend"), F.sum("n").alias("n"), F.count("d").alias("pairs"))
     ranked = running(per, "spend", "supplier")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,22 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, in the checkpoint folder that all executors share; what follows reads it from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # only without spark.checkpoint.dir, as in a local session
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def running(df: DataFrame, value: str, tie: str, partitions: int = RANGES) -> DataFrame:
     """df with `rank` (1 for the largest value), `cumulative` and `total`.
 
     The bounds of the ranges are approximate quantiles, `partitions` numbers; every range is
-    ranked alone and shifted by the sums of the ranges before it, which are as few rows.
+    ranked alone and shifted by the sums of the ranges before it, which are as few rows. What df
+    is made from is read once. Many rows of one equal value share a range.
     """
+    df = settled(df)
     shares = [i / partitions for i in range(1, partitions)]
     bounds = df.agg(F.percentile_approx(value, shares, 10_000).alias("b")).first()["b"] or []
     place = F.lit(0)

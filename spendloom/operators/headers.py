@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from spendloom.functions import columns as C
+from spendloom.functions import fields
 
 #: Canonical fields with spellings they are met under, lower case, words parted by one space.
 FIELDS = {
@@ -149,3 +150,30 @@ def value_type(samples: list[str]) -> str:
     if half(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}.*|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}.*"):
         return "date"
     return "numeric" if half(r"[+-]?[\d,]*\.?\d+") else "text"
+
+
+def currency_code_column(spend: str | None, available: list[str]) -> str | None:
+    """The column with the codes of a spend column in local currency: the one paired with it, else one of a known spelling."""
+    paired = {plain(k): v for k, v in fields.CODE_OF_SPEND.items()}.get(plain(spend or ""))
+    if paired is None:
+        return None
+    names = [plain(paired), *map(plain, FIELDS["currency"])]
+    return min((c for c in available if plain(c) in names), key=lambda c: names.index(plain(c)), default=None)
+
+
+def decision_sheet(df: DataFrame, decisions: list[dict], most: int = 50) -> list[list[str]]:
+    """Rows of a sheet to edit: actions, targets, headers, then at most `most` rows of the table, which a preview is."""
+    heads = [[d.get("action", "KEEP") for d in decisions], [d.get("mapped_to") or "" for d in decisions], [d["source_col"] for d in decisions]]
+    rows = df.select(*(C.text(C.column(d["source_col"])).alias(f"c{i}") for i, d in enumerate(decisions))).limit(most).collect()
+    return [*heads, *(["" if v is None else v for v in r] for r in rows)]
+
+
+def sheet_decisions(rows: list[list[str | None]]) -> list[dict]:
+    """Decisions of an edited sheet; cells without a header are left out, actions that are not known keep the column."""
+    at = lambda row, i: ((rows[row][i] if row < len(rows) and i < len(rows[row]) else None) or "").strip()
+    found = []
+    for i in range(max(map(len, rows[:3]), default=0)):
+        action = at(0, i).upper()
+        if source := at(2, i):
+            found.append({"source_col": source, "action": action if action in ("AUTO", "REVIEW", "KEEP", "DROP") else "KEEP", "mapped_to": at(1, i) or None})
+    return found

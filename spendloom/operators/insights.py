@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendloom.functions import columns as C
 from spendloom.functions import constants as K
 from spendloom.functions import dates
+from spendloom.functions import fields
 from spendloom.operators import profile
 from spendloom.operators.running import leading
 
@@ -98,6 +99,25 @@ def column_kinds(tables: Mapping[str, DataFrame], numeric: int = 80, date: int =
     return out.select("column", "rows", "blank", "most_distinct", kind.alias("kind"))
 
 
+def semantic_tags(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(column, tags): what the filled values of each column are, by shares of all its rows.
+
+    Values are trimmed. Codes, years, postal codes and debit or credit signs tag a column from 30 %
+    on, country names and units from 20 %. A column without a filled value has no tags.
+    """
+    value, low = F.trim("value"), F.lower(F.trim("value"))
+    kinds = {
+        "currency_code": (value.rlike("^[A-Z]{3}$"), 30), "country_iso2": (value.rlike("^[A-Z]{2}$"), 30), "country_name": (low.isin(fields.COUNTRY_WORDS), 20),
+        "year": (value.rlike("^(19|20)[0-9]{2}$"), 30), "uom": (low.isin(fields.UNIT_WORDS), 20), "postal_code": (value.rlike("^[0-9]{4,6}(-[0-9]{4})?$"), 30),
+        "debit_credit": (low.isin(fields.DEBIT_CREDIT_WORDS), 30),
+    }
+    full = C.non_blank("value")
+    on = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    per = profile.value_counts(df, columns).groupBy("column").agg(on(full).alias("filled"), *(on(full & cond).alias(tag) for tag, (cond, _) in kinds.items()))
+    told = [F.when((F.col("filled") > 0) & (100 * F.col(tag) >= least * F.col("filled")), F.lit(tag)) for tag, (_, least) in kinds.items()]
+    return per.select("column", F.array_compact(F.array(*told)).alias("tags"))
+
+
 def merge_priorities(overlaps: DataFrame, fact: str) -> DataFrame:
     """Tables by how well they would merge with the fact table: 0.65 of shared values and 0.35 of shared headers."""
     pairs = overlaps.where((F.col("a") == fact) | (F.col("b") == fact))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendloom.functions import columns as C
 from spendloom.functions import constants as K
 from spendloom.functions import dates
-from spendloom.operators import nearnames
+from spendloom.operators import clean, nearnames
 
 
 def dmy_votes(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -29,6 +29,12 @@ def dates_by_file(df: DataFrame, column: str, by: str, new: str, reference_year:
     return joined.withColumn(new, value).drop("_file", "date_order")
 
 
+def rewritten_dates(df: DataFrame, column: str, pattern: str, order: str = "DMY", new: str | None = None) -> DataFrame:
+    """df with the column's dates written in one pattern, behind it; what is no date becomes an empty text."""
+    value = F.coalesce(F.date_format(dates.parse(column, order), pattern), F.lit(""))
+    return clean.place_after(df, column, new or f"{column}_norm", value)
+
+
 def format_mix(df: DataFrame, column: str, by: str) -> DataFrame:
     per = df.where(C.non_blank(column)).groupBy(F.col(by).alias("file"), dates.format_name(column).alias("format")).agg(F.count("*").alias("rows"))
     return per

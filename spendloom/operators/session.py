@@ -60,5 +60,14 @@ class Session:
     def latest(self, name: str) -> DataFrame:
         return self.read(f"{name}@{max(self.versions(name))}")
 
+    def group_schema(self, prefixes: tuple[str, ...] = ("appended__", "hn__"), most: int = 60) -> list[dict]:
+        """What is known of the session's groups, recovered from its tables: rows and columns of each, the largest first."""
+        found = []
+        for name in (n for n in self.names() if n.startswith(prefixes)):
+            df = self.read(name)
+            preview = ", ".join(df.columns[:most]) + (" ..." if len(df.columns) > most else "")
+            found.append({"group": name, "rows": df.count(), "columns": df.columns, "preview": preview})
+        return sorted(found, key=lambda g: (-g["rows"], g["group"]))
+
     def close(self) -> None:
         self.spark.sql(f"DROP DATABASE IF EXISTS {self.space} CASCADE")

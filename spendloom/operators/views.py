@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
+from spendloom.functions import fields
 from spendloom.operators.running import leading, running
 
 
@@ -89,6 +90,17 @@ def feasibility(registry: dict[str, list[str]], mapped: set[str]) -> list[tuple[
     return [(name, not (lacks := [f for f in fields if f not in mapped]), lacks) for name, fields in registry.items()]
 
 
+def procurement_views(df: DataFrame, registry: dict[str, tuple[str, list[str]]] = fields.DASHBOARDS | fields.LEVERS) -> DataFrame:
+    """(view, title, available, missing) of dashboards and levers for a table under standard field names.
+
+    missing holds the shown names of the fields it lacks, in the registry's order. A registry is a
+    few dozen entries and only the schema of the table is looked at, so no data is read.
+    """
+    names = {view: needs for view, (_, needs) in registry.items()}
+    shown = [(view, registry[view][0], ready, [fields.FIELD_NAMES.get(f, f) for f in lacks]) for view, ready, lacks in feasibility(names, {*df.columns})]
+    return df.sparkSession.createDataFrame(shown, "view string, title string, available boolean, missing array<string>")
+
+
 def compute_views(df: DataFrame, wanted: list[str]) -> dict[str, DataFrame | Exception]:
     """Views by name over a typed table; one that fails does not stop the others."""
     make = {

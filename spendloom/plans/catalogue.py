@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
-from spendloom.functions import dates
+from spendloom.functions import dates, fields
 from spendloom.operators import assess, clean, headers, insights, matching, normalise, panels, profile, running, suggest, typed, views
 from spendloom.plans import spend as S
 from spendloom.plans.messy import MESSY, RATE_SQL, messy, rates, typed_names
@@ -470,6 +470,40 @@ _add(
     """SELECT * FROM (VALUES ('spend_over_time', true, ''), ('supplier_ranking', true, ''), ('pareto', true, ''), ('currency_spend', true, ''), ('country_spend', true, ''), ('l1_spend', false, 'l1'),
   ('l1_vs_l2', false, 'l1,l2'), ('l2_vs_l3', false, 'l1,l2,l3'), ('category_drilldown', false, 'l1')) t("view", available, missing)""",
 )
+_ENTRIES = ", ".join("(" + ", ".join(f"'{x}'" for x in (view, title, f, fields.FIELD_NAMES[f])) + f", {i})" for view, (title, needs) in (fields.DASHBOARDS | fields.LEVERS).items() for i, f in enumerate(needs))
+_add(
+    "procurement_views", lambda spark, sf: views.procurement_views(S.spend(spark, sf, "supplier", "part", "orders")).select("view", "title", "available", F.array_join("missing", ",").alias("missing")),
+    f"""WITH has AS (SELECT column_name FROM (DESCRIBE ({BASE} SELECT * FROM b))), e("view", title, field, shown, place) AS (VALUES {_ENTRIES})
+SELECT "view", title, bool_and(column_name IS NOT NULL) AS available, coalesce(string_agg(shown, ',' ORDER BY place) FILTER (WHERE column_name IS NULL), '') AS missing FROM e LEFT JOIN has ON column_name = field GROUP BY ALL""",
+)
+_tagged = lambda spark, sf: messy(spark, sf).select(
+    "supplier", "ccy", "country", "key_text", F.year("d").alias("made"), F.when(F.col("id") % 2 == 0, "H").when(F.col("id") % 7 == 1, " s ").alias("side"),
+    S.pick("id", ["EA", "kg", "zz"]).alias("unit"), S.pick("id", ["DE", "FR", "12345-6789", "n/a"]).alias("place"), F.lit(" ").alias("empty"),
+)
+_TAGGED = {
+    "supplier": "supplier", "ccy": "ccy", "country": "country", "key_text": "key_text", "made": "year(d)::VARCHAR", "side": "CASE WHEN id % 2 = 0 THEN 'H' WHEN id % 7 = 1 THEN ' s ' END",
+    "unit": "['EA', 'kg', 'zz'][id % 3 + 1]", "place": "['DE', 'FR', '12345-6789', 'n/a'][id % 4 + 1]", "empty": "' '",
+}
+_within = lambda words: "lower(v) IN (" + ", ".join(f"'{w}'" for w in words) + ")"
+_TAGS = {
+    "currency_code": ("regexp_full_match(v, '[A-Z]{3}')", 30), "country_iso2": ("regexp_full_match(v, '[A-Z]{2}')", 30), "country_name": (_within(fields.COUNTRY_WORDS), 20),
+    "year": ("regexp_full_match(v, '(19|20)[0-9]{2}')", 30), "uom": (_within(fields.UNIT_WORDS), 20), "postal_code": ("regexp_full_match(v, '[0-9]{4,6}(-[0-9]{4})?')", 30),
+    "debit_credit": (_within(fields.DEBIT_CREDIT_WORDS), 30),
+}
+_add(
+    "semantic_tags", lambda spark, sf: insights.semantic_tags(_tagged(spark, sf), [*_TAGGED]).select("column", F.array_join("tags", ",").alias("tags")),
+    MESSY + ", c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, trim({v}) AS v FROM m" for k, v in _TAGGED.items()) + ") SELECT name AS \"column\", concat_ws(',', "
+    + ", ".join(f"CASE WHEN 100 * count(*) FILTER (WHERE v <> '' AND {cond}) >= {least} * count(*) FILTER (WHERE v <> '') AND count(*) FILTER (WHERE v <> '') > 0 THEN '{tag}' END" for tag, (cond, least) in _TAGS.items())
+    + ") AS tags FROM c GROUP BY name",
+)
+_add(
+    "dates_rewritten", lambda spark, sf: normalise.rewritten_dates(messy(spark, sf), "date_text", "dd/MM/yyyy").select("id", "date_text", "date_text_norm"),
+    MESSY + "SELECT id, date_text, CASE WHEN id % 7 <> 6 THEN strftime(d, '%d/%m/%Y') ELSE '' END AS date_text_norm FROM m",
+)
+_add(
+    "decision_sheet_round_trip", lambda spark, sf: headers.apply_decisions(messy(spark, sf), headers.sheet_decisions(headers.decision_sheet(messy(spark, sf), _DECIDED)))[0].groupBy("supplier_name", "plant", "currency").agg(F.count("*").alias("rows")),
+    MESSY + "SELECT supplier AS supplier_name, plant, ccy AS currency, count(*) AS rows FROM m GROUP BY ALL",
+)
 _HEADERS = ["Invoice Date", "VendorName", "inv amt", "WAERS", "Unnamed: 3", "Lieferant", "Plnt", "Payment Trms", "zzz"]
 _add("header_match_tiers", lambda spark, sf: spark.createDataFrame([(m.header, m.field, m.tier, m.score) for m in headers.match_all(_HEADERS)], "header string, field string, tier string, score double"))
 _add("feasibility_registry", lambda spark, sf: spark.createDataFrame(views.feasibility(views.VIEW_FIELDS, {"invoice_date", "total_spend", "supplier", "l1"}), "view string, available boolean, missing array<string>"))

@@ -11,6 +11,9 @@ from spendloom.llm import (
     op8_jaccard_join,
     op9_urls,
     op10_packing,
+    op11_conversations,
+    op12_html,
+    op13_divergence,
 )
 
 
@@ -26,9 +29,17 @@ def queries() -> dict:
         op8_jaccard_join.op8_jaccard_join,
         op9_urls.op9_urls,
         op10_packing.op10_packing,
+        op11_conversations.op11_conversations,
+        op12_html.op12_html,
+        op13_divergence.op13_divergence,
     )
     return {f.__name__: f for f in functions}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": op1_decontamination.ORACLE_SQL, "op9_urls": op9_urls.ORACLE_SQL}
+    return {
+        "op1_decontamination": op1_decontamination.ORACLE_SQL,
+        "op9_urls": op9_urls.ORACLE_SQL,
+        "op11_conversations": op11_conversations.ORACLE_SQL,
+        "op13_divergence": op13_divergence.ORACLE_SQL,
+    }

@@ -70,12 +70,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """As stage(), dealt into buckets of a column: joins on it move the other side only."""
+def bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """As stage(), dealt into buckets of columns: joins on them move the other side only."""
     spark = df.sparkSession
     buckets, mark = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
     path, table = f"{shared_dir(spark)}/{name}-{mark}", f"staged_{mark}"
-    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).option("path", path).option("compression", "zstd").saveAsTable(table)
     _staged.append(path)
     _tables.append(table)
     return spark.table(table)

@@ -12,6 +12,7 @@ import datetime
 import hashlib
 import math
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ KEY_SETTING = "spendloom.pii.key"
 #: Used where the session sets no key; anyone can invert these pseudonyms.
 PUBLIC_KEY = "not-a-secret"
 ROUNDS = 10
+#: Characters that are permuted together: 62^64 are 381 bits, each half of them far below a round's 512.
+CHUNK = 64
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
 
@@ -42,6 +45,9 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"),
     "date": re.compile(r"(?<![\w\-/.])(?:\d{4}([\-/.])\d{2}\1\d{2}|\d{2}([\-/.])\d{2}\2\d{4})(?![\w\-/]|\.\d)"),
 }
+#: Country calling codes of one and two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _LOCAL, _DOMAIN = re.compile(r"[\w.%+\-]*\w$"), re.compile(r"(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w\-])")
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HEX = "0123456789abcdef"
@@ -78,18 +84,47 @@ class Feistel:
                 return x
 
 
-def by_alphabet(feistel: Feistel, text: str, tweak: str, back: bool, alphabet: str = "", keep: int = 0) -> str:
-    """Permute characters within their alphabets, all positions together; others stay."""
-    places = [(i, alphabet if c in alphabet else _OF[c]) for i, c in enumerate(text) if i >= keep and (c in alphabet or c in _OF)]
-    if not places:
-        return text
+def _ranked(feistel: Feistel, text: list[str], places: list[tuple[int, str]], tweak: str, back: bool) -> None:
+    """Permute the characters at some places of text, all together, in place."""
     rank, n = 0, 1
     for i, letters in places:
         rank, n = rank * len(letters) + letters.index(text[i]), n * len(letters)
-    rank, out = feistel.permute(rank, n, f"{tweak}:{''.join('.' if c not in _OF else _OF[c][0] for c in text) if not alphabet else len(text)}", back), [*text]
+    rank = feistel.permute(rank, n, tweak, back)
     for i, letters in reversed(places):
         rank, j = divmod(rank, len(letters))
-        out[i] = letters[j]
+        text[i] = letters[j]
+
+
+def by_alphabet(feistel: Feistel, text: str, tweak: str, back: bool, alphabet: str = "", keep: int = 0) -> str:
+    """Permute characters within their alphabets, all positions together; others stay.
+
+    A round of the network draws 512 bits, so more than CHUNK characters are permuted in chunks.
+    One pass goes over them from the front and one from the back, each chunk's permutation
+    depending on all chunks that its pass has changed before: any character changes all.
+    """
+    places = [(i, alphabet if c in alphabet else _OF[c]) for i, c in enumerate(text) if i >= keep and (c in alphabet or c in _OF)]
+    if not places:
+        return text
+    out, tweak = [*text], f"{tweak}:{''.join('.' if c not in _OF else _OF[c][0] for c in text) if not alphabet else len(text)}"
+    if len(places) <= CHUNK:
+        _ranked(feistel, out, places, tweak, back)
+        return "".join(out)
+    chunks = [places[i : i + CHUNK] for i in range(0, len(places), CHUNK)]
+    base = hashlib.blake2b(tweak.encode(), key=feistel.key, digest_size=32)
+    passes = [("front", chunks), ("back", chunks[::-1])]
+    for name, order in reversed(passes) if back else passes:
+        # Tweaks come from the changed chunks, which are the given ones when a pass is undone.
+        seen, tweaks = base.copy(), []
+        seen.update(name.encode())
+        given = ["".join(out[i] for i, _ in chunk) for chunk in order] if back else None
+        for k, chunk in enumerate(order):
+            tweaks.append(seen.hexdigest())
+            if not back:
+                _ranked(feistel, out, chunk, tweaks[-1], False)
+            seen.update(given[k].encode() if back else "".join(out[i] for i, _ in chunk).encode())
+        if back:
+            for chunk, its in zip(order, tweaks, strict=True):
+                _ranked(feistel, out, chunk, its, True)
     return "".join(out)
 
 
@@ -127,11 +162,12 @@ def _iban(f: Feistel, value: str, back: bool) -> str | None:
 
 def _phone(f: Feistel, value: str, back: bool) -> str | None:
     """The country code stays; the other digits change alike however they are grouped."""
-    keep = re.match(r"\+\d{1,3}(?=\D)|\+\d", value)
-    head, rest = (value[: keep.end()], value[keep.end() :]) if keep else ("", value)
-    digits = re.sub(r"\D", "", rest)
-    n = len(digits)
-    return head + refill(rest, f"{f.permute(int(digits), 10**n, f'phone{n}', back):0{n}d}")
+    digits = re.sub(r"\D", "", value)
+    code = 0
+    if value[0] == "+":
+        code = 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
+    n = len(digits) - code
+    return refill(value, digits[:code] + f"{f.permute(int(digits[code:]), 10**n, f'phone{n}', back):0{n}d}")
 
 
 def _ssn(f: Feistel, value: str, back: bool) -> str | None:
@@ -178,9 +214,14 @@ def _date(f: Feistel, value: str, back: bool) -> str | None:
 
 
 def _secret(f: Feistel, value: str, back: bool) -> str | None:
-    if not any(c.isdigit() for c in value):
-        return None
-    return by_alphabet(f, value, "secret", back, _HEX if re.fullmatch("[0-9a-f]+", value) else "")
+    # Values go to values of their own kind, so what a pseudonym is read as tells how to undo it.
+    kind = lambda v: (any(map(str.isdigit, v)), re.fullmatch("[0-9a-f]+", v) is not None)
+    mine = kind(value)
+    while mine[0]:
+        value = by_alphabet(f, value, "secret", back, _HEX if mine[1] else "")
+        if kind(value) == mine:
+            return value
+    return None
 
 
 def _email(f: Feistel, value: str, back: bool) -> str | None:
@@ -261,7 +302,11 @@ def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", counts: b
 
 
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
+    """The session's key; without one a public constant, of which a warning tells."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: anyone can invert these pseudonyms", stacklevel=2)
+    return key or PUBLIC_KEY
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

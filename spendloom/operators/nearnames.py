@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendloom.operators.shipping import settled, ship
+
 #: Under it short names may share no gram: all names are compared.
 LEAST_GRAMS = 0.8
 #: Names with one gram that one key holds.
@@ -106,11 +108,6 @@ def _without(edges: DataFrame, side: str, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.withColumnRenamed("node", side), side, "left_anti")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df computed and without its lineage, in spark.checkpoint.dir where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def members(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """Nodes of edges (a, b), a < b, that have a smaller neighbour which is no member itself.
 
@@ -121,9 +118,9 @@ def members(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     while edges.count() > local:
         first = _without(edges.select(F.col("a").alias("node")).distinct(), "node", edges.select(F.col("b").alias("node")))
         joined = edges.join(first.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
-        joined = _settled(joined)
+        joined = settled(joined)
         rounds.append(joined)
-        edges = _settled(_without(_without(_without(edges, "a", first), "a", joined), "b", joined).select("a", "b"))
+        edges = settled(_without(_without(_without(edges, "a", first), "a", joined), "b", joined).select("a", "b"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near: dict[str, list[str]] = {}
@@ -147,8 +144,8 @@ def leaders(names: DataFrame, threshold: float, local: int = LOCAL) -> DataFrame
 
     In the order of names, one that is near no leader before it becomes a leader.
     """
-    edges = _settled(pairs(names, threshold))
-    moved = _settled(members(edges, local))
+    edges = settled(pairs(names, threshold))
+    moved = settled(members(edges, local))
     under = _without(edges.join(moved.withColumnRenamed("node", "b"), "b", "left_semi"), "a", moved).groupBy("b").agg(F.min("a").alias("leader"))
     return names.select("low").join(under.withColumnRenamed("b", "low"), "low", "left").select("low", F.coalesce("leader", "low").alias("leader"))
 
@@ -165,7 +162,8 @@ def lowered(df: DataFrame, column: str) -> DataFrame:
 
 def canonical(df: DataFrame, column: str, threshold: float, local: int = LOCAL) -> DataFrame:
     """(column, canonical) of the distinct values of a column without nulls."""
-    forms = lowered(df, column).persist()
+    ship(df.sparkSession)
+    forms = settled(lowered(df, column))
     first = forms.groupBy("low").agg(F.min(column).alias("canonical"))
     of = leaders(first.select("low"), threshold, local)
     return forms.join(of, "low").join(first.withColumnRenamed("low", "leader"), "leader").select(column, "canonical")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
@@ -84,6 +84,58 @@ def regions(df: DataFrame, country: str, region: str | None = None) -> DataFrame
     return joined.withColumn("region_norm", F.coalesce(own, "_r")).drop("_c", "_r")
 
 
+#: Texts of a missing region or country, besides blanks.
+MISSING = ("nan", "none")
+
+
+def inferred_regions(df: DataFrame, region: str, country: str) -> DataFrame:
+    """df with region_norm and region_via, for tables whose regions are written freely or not at all.
+
+    A blank region takes that of its row's country. One that names a region or a country is
+    looked up. Any other takes the region that most of the rows with that text have by
+    their country, of equally many the first by name; what no country explains stays as it is.
+    The counts are made per text and region, so a hot text moves as one row a task.
+    """
+    found = countries(df, country, into="_country_std")
+    found = countries(found, region, into="_region_std")
+    table = region_table(df.sparkSession)
+    of = lambda c, mark: F.broadcast(table.select(F.col("country").alias(f"_c{mark}"), F.col("region").alias(mark)))
+    own = lambda std, raw: F.coalesce(F.col(std), F.trim(C.text(raw)))
+    found = found.join(of("c", "_of_country"), own("_country_std", country) == F.col("_c_of_country"), "left").join(of("r", "_of_region"), own("_region_std", region) == F.col("_c_of_region"), "left")
+    text = C.text(region)
+    blank = ~C.non_blank(region) | F.lower(F.trim(text)).isin(*MISSING)
+    told = F.when(F.upper(F.trim(text)).isin(*K.REGIONS), F.upper(F.trim(text)))
+    found = found.withColumns({"_text": F.when(~blank, text), "_told": F.coalesce(told, F.when(~blank, F.col("_of_region")))})
+    counts = found.where("_text IS NOT NULL AND _told IS NULL AND _of_country IS NOT NULL").groupBy(F.col("_text").alias("_key"), "_of_country").agg(F.count("*").alias("_n"))
+    commonest = counts.groupBy("_key").agg(F.min_by("_of_country", F.struct(-F.col("_n"), F.col("_of_country"))).alias("_inferred"))
+    out = found.join(commonest, F.col("_text") == F.col("_key"), "left")
+    value = F.when(F.col("_text").isNull(), F.col("_of_country")).otherwise(F.coalesce("_told", "_inferred", "_text"))
+    via = F.when(F.col("_text").isNull(), F.when(F.col("_of_country").isNotNull(), "country")).when(F.col("_told").isNotNull(), "lookup").when(F.col("_inferred").isNotNull(), "inferred")
+    return out.select(*(C.column(c) for c in df.columns if c not in ("region_norm", "region_via")), value.alias("region_norm"), F.coalesce(via, F.lit("unresolved")).alias("region_via"))
+
+
+def date_metrics(df: DataFrame, column: str, by: str) -> DataFrame:
+    """Per file and format of a date column: rows, rounded percent, an example; per file the commonest format and whether it is the only one.
+
+    All rows count, by mergeable counts of distinct texts. The order of day and month is voted by
+    the whole column; min_year and max_year are those of the whole column. Rows without a file are not
+    listed. Of equally common formats the first by name is dominant.
+    """
+    texts = df.where(C.non_blank(column)).groupBy(F.trim(C.text(by)).alias("file"), F.trim(C.text(column)).alias("v")).agg(F.count("*").alias("n"))
+    d, m = dates.votes("v")
+    year = F.nullif(F.regexp_extract("v", r"((?:19|20)\d\d)", 1), F.lit("")).cast("int")
+    whole = texts.agg(F.sum(d * F.col("n")).alias("dmy"), F.sum(m * F.col("n")).alias("mdy"), F.min(year).alias("min_year"), F.max(year).alias("max_year"))
+    whole = whole.select(dates.order_of(F.col("dmy"), F.col("mdy")).alias("date_order"), "min_year", "max_year")
+    # One row, joined to all.
+    named = texts.where("file <> ''").join(F.broadcast(whole))
+    form = F.when(F.col("date_order") == "MDY", dates.format_name("v", "MDY")).otherwise(dates.format_name("v", "DMY"))
+    per = named.groupBy("file", form.alias("format"), "date_order", "min_year", "max_year").agg(F.sum("n").alias("rows"), F.min("v").alias("example"))
+    of_file = Window.partitionBy("file")
+    per = per.withColumns({"_total": F.sum("rows").over(of_file), "_formats": F.count("*").over(of_file), "_place": F.row_number().over(of_file.orderBy(F.desc("rows"), "format"))})
+    pct = F.bround(F.col("rows") * 100.0 / F.col("_total")).cast("int")
+    return per.select("file", "format", "rows", pct.alias("pct"), "example", (F.col("_place") == 1).alias("dominant"), (F.col("_formats") == 1).alias("consistent"), "date_order", "min_year", "max_year")
+
+
 def supplier_clusters(df: DataFrame, column: str, threshold: float = 0.9) -> DataFrame:
     """(supplier, cleaned, canonical): distinct names, cleaned ones under the first near one.
 

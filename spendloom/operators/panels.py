@@ -160,6 +160,18 @@ def sample_descriptions(df: DataFrame, description: str, n: int, seed: int = 7)
     return distinct.orderBy(F.xxhash64("description", F.lit(seed)), "description").limit(n)
 
 
+def cohort_descriptions(df: DataFrame, supplier: str, description: str, spend: str, n: int = 1000, percent: float = 80, seed: int = 7) -> DataFrame:
+    """n distinct descriptions of the suppliers that reach percent of spend, the least by a seeded hash; a sampling operator.
+
+    The hash alone orders them, so the sample does not hang on partitions; every task keeps its
+    own n least before they meet.
+    """
+    leaders = cohort(df, supplier, spend, percent).select(F.col("supplier").alias("_leader"))
+    told = df.where(C.non_blank(description)).select(F.trim(C.text(supplier)).alias("_supplier"), F.trim(C.text(description)).alias("description"))
+    mine = told.join(leaders, F.col("_supplier") == F.col("_leader"), "left_semi").select("description").distinct()
+    return mine.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "description")), "description").limit(n)
+
+
 def diverse_samples(df: DataFrame, column: str, per_shape: int = 2) -> DataFrame:
     """Values of every shape (digits and letters only), at most per_shape each."""
     shape = F.regexp_replace(F.regexp_replace(F.trim(C.text(column)), "[0-9]", "9"), "[A-Za-z]", "a")

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendloom.operators.shipping import settled
+
 #: Ranges that the values are dealt into; each one is sorted by itself.
 RANGES = 64
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, in the checkpoint folder that all executors share; what follows reads it from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only without spark.checkpoint.dir, as in a local session
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def running(df: DataFrame, value: str, tie: str, partitions: int = RANGES) -> DataFrame:
     """df with `rank` (1 for the largest value), `cumulative` and `total`.
 

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The property of a table that names what it was made from.
+SOURCES = "made_from"
+
 
 class Session:
     """A namespace of tables; names of any characters map to safe ones that cannot collide."""
@@ -24,11 +29,40 @@ class Session:
     def _full(self, name: str) -> str:
         return f"{self.space}.{self._safe(name)}"
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
+    def save(self, name: str, df: DataFrame, made_from: Iterable[str] = ()) -> DataFrame:
+        """Write a table. made_from names the tables it is made from; invalidate() follows them."""
+        made_from = [*made_from]
+        if missing := [n for n in made_from if not self.exists(n)]:
+            raise KeyError(f"no such tables: {missing}")
+        quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
         df.write.mode("overwrite").option("comment", name).saveAsTable(self._full(name))
-        self.spark.sql(f"COMMENT ON TABLE {self._full(name)} IS '{name.replace(chr(39), chr(39) * 2)}'")
+        self.spark.sql(f"COMMENT ON TABLE {self._full(name)} IS {quoted(name)}")
+        self.spark.sql(f"ALTER TABLE {self._full(name)} SET TBLPROPERTIES ({quoted(SOURCES)} = {quoted(json.dumps(made_from))})")
         return self.spark.table(self._full(name))
 
+    def sources(self, name: str) -> list[str]:
+        """The tables that a table was made from."""
+        found = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self._full(name)}").collect()}
+        return json.loads(found.get(SOURCES, "[]"))
+
+    def downstream(self, *names: str) -> list[str]:
+        """All tables made from the named ones, directly or through others; each once, before what it is made from."""
+        made = {n: self.sources(n) for n in self.names()}
+        found: list[str] = []
+        asked = [*names]
+        while asked:
+            asked = [n for n, of in made.items() if n not in found and n not in names and any(x in asked for x in of)]
+            found += asked
+        return found[::-1]
+
+    def invalidate(self, *names: str, keep: bool = True) -> list[str]:
+        """Drop what was made from the named tables, and with keep=False those too; all or nothing. What was dropped."""
+        if missing := [n for n in names if not self.exists(n)]:
+            raise KeyError(f"no such tables: {missing}")
+        gone = self.downstream(*names) + ([] if keep else [*names])
+        self.drop(*gone)
+        return gone
+
     def read(self, name: str) -> DataFrame:
         return self.spark.table(self._full(name))
 

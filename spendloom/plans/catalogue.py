@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendloom.functions import columns as C
 from spendloom.functions import dates, fields
 from spendloom.operators import assess, clean, headers, insights, matching, normalise, panels, profile, running, suggest, typed, views
+from spendloom.plans import intake
 from spendloom.plans import spend as S
 from spendloom.plans.messy import MESSY, RATE_SQL, messy, rates, typed_names
 from spendloom.plans.spend import BASE, dbl, pct, table
@@ -133,6 +134,7 @@ _add(
 SELECT sum(n)::BIGINT AS rows, count(*) AS pairs, round(sum(length(v) * n) / sum(n), 2) AS avg_chars, round(sum(len(regexp_split_to_array(v, '\\s+')) * n) / sum(n), 2) AS avg_words,
   round(sum(length(v)) / 4 * 2.5 / 1e6 + count(*) * 20 * 10.0 / 1e6, 4) AS cost_usd, CASE WHEN sum(n) > 400000 THEN 'large' ELSE 'small' END AS method FROM p""",
 )
+_add("cohort_descriptions", _on_spend("supplier", "part")(lambda b: panels.cohort_descriptions(b, "supplier", "description", "total_spend")), BASE + _RANKED + f"SELECT description FROM (SELECT DISTINCT trim(description) AS description FROM b WHERE supplier IN (SELECT supplier FROM r {_CUT.format(80)})) ORDER BY md5('7:' || description), description LIMIT 1000")
 _add("sample_descriptions", _on_spend("part")(lambda b: panels.sample_descriptions(b, "description", 20)))
 _add("diverse_date_samples", lambda spark, sf: panels.diverse_samples(messy(spark, sf), "date_text"), MESSY + """, s AS (SELECT DISTINCT regexp_replace(regexp_replace(trim(date_text), '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g') AS shape, trim(date_text) AS value FROM m)
 SELECT shape, value FROM s QUALIFY row_number() OVER (PARTITION BY shape ORDER BY value) <= 2""")
@@ -508,3 +510,7 @@ _HEADERS = ["Invoice Date", "VendorName", "inv amt", "WAERS", "Unnamed: 3", "Lie
 _add("header_match_tiers", lambda spark, sf: spark.createDataFrame([(m.header, m.field, m.tier, m.score) for m in headers.match_all(_HEADERS)], "header string, field string, tier string, score double"))
 _add("feasibility_registry", lambda spark, sf: spark.createDataFrame(views.feasibility(views.VIEW_FIELDS, {"invoice_date", "total_spend", "supplier", "l1"}), "view string, available boolean, missing array<string>"))
 _add("header_jaccard", lambda spark, sf: spark.createDataFrame(matching.header_pairs(["Supplier Name", "Amount", "po_number"], ["supplier_name", "Amounts", "Plant"]), "base string, source string, score double"))
+
+# Intake --------------------------------------------------------------------------------------
+for _name, (_query, _sql) in intake.QUERIES.items():
+    _add(_name, _query, _sql)

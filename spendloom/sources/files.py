@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spendloom.operators import shipping
 from spendloom.operators.clean import POSITION
+from spendloom.sources import workbooks
 
 MEMBERS = "path string, file string, sheet string, pos long, cells array<string>, warning string"
-_WORKBOOKS = (".xlsx", ".xlsm", ".xltx", ".xltm", ".xlsb")
+_WORKBOOKS = (".xlsx", ".xlsm", ".xltx", ".xltm")
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = True, delimiter: str = ",") -> DataFrame:
@@ -75,9 +77,9 @@ def _sheets(name: str, data: bytes, depth: int) -> Iterator[tuple]:
             for i, row in enumerate(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline=""))):
                 yield name, "", i, row, None
         elif lower.endswith(_WORKBOOKS):
-            for sheet, table in pd.read_excel(io.BytesIO(data), sheet_name=None, header=None, dtype=str, keep_default_na=False).items():
-                for i, row in enumerate(table.itertuples(index=False)):
-                    yield name, sheet, i, [str(x) for x in row], None
+            for sheet, _, package in workbooks.take_apart(data):
+                for i, row in workbooks.sheet_rows(package):
+                    yield name, sheet, i, row, None
         else:
             yield name, "", None, None, "neither CSV, ZIP nor a workbook"
     except Exception as bad:  # noqa: BLE001 - the other files of an archive still load
@@ -88,10 +90,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all tables in the archives, CSV files and workbooks under path, one level of nesting.
 
     `path` is the outer file, so that equal names in two folders stay apart. Files are dealt out
-    to tasks whole. A workbook reader must be installed for workbooks;
-    else they give a warning row.
+    to tasks whole; workbooks outside archives are read sheet by sheet by `workbooks.read_workbooks`.
     """
-
+    shipping.ship(spark)
     names = ["path", "file", "sheet", "pos", "cells", "warning"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,11 +122,9 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def write_workbook(df: DataFrame, path: str, most: int = 1_048_575) -> None:
-    """A workbook of at most one sheet's rows; refuses larger tables instead of cutting them."""
-    if df.count() > most:
-        raise ValueError("too many rows for one sheet; write CSV or Parquet")
-    df.toPandas().to_excel(path, index=False)
+def write_workbook(df: DataFrame, path: str, name: str = "Sheet1") -> None:
+    """A workbook of one sheet; more rows than a sheet holds are refused, not cut."""
+    workbooks.write_tables({name: df}, path)
 
 
 def write_all(tables: dict[str, DataFrame], path: str) -> list[str]:

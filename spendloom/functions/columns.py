@@ -128,17 +128,14 @@ def plant_name(c: str | Column) -> Column:
 
 
 def payment_term(c: str | Column) -> Column:
-    """struct(days, discount, known) of a payment term; days null where it says none.
-
-    A term is told by its shape, its lower case with # for every number.
-    """
-    low = F.lower(F.trim(text(c)))
-    numbers, shape = F.regexp_extract_all(low, F.lit(r"(\d+)")), F.regexp_replace(low, r"\d+", "#")
-    spaced, loose = F.regexp_replace(shape, r"\s", ""), F.regexp_replace(shape, r"[\s_-]", "")
-    at_once = F.replace(spaced, F.lit("."), F.lit("")).isin(*K.AT_ONCE)
-    single = shape.isin(*K.TERM_SHAPES) | spaced.isin(*K.SPACED_TERM_SHAPES) | loose.isin(*K.LOOSE_TERM_SHAPES)
-    part = lambda i: F.try_element_at(numbers, F.lit(i))
-    days = F.when(at_once, F.lit("0")).when(single, part(1)).when(loose.isin(*K.DISCOUNT_SHAPES), part(3))
-    discount = F.when(spaced.isin("cia", "c.i.a", "c.i.a."), F.lit("Cash in advance"))
-    discount = discount.when(loose.isin(*K.DISCOUNT_SHAPES), F.concat(part(1), F.lit("% discount if paid within "), part(2), F.lit(" days")))
-    return F.struct(days.alias("days"), F.coalesce(discount, F.lit("")).alias("discount"), days.isNotNull().alias("known"))
+    """struct(days, discount, known) of a payment term; days null where it says none."""
+    value = F.regexp_replace(text(c), r"^\s+|\s+$", "")
+    any_case = lambda p: f"(?i){p}"
+    part = lambda p, i: F.regexp_extract(value, any_case(p), i)
+    with_discount = value.rlike(any_case(K.DISCOUNT_TERM))
+    days, discount = F.when(with_discount, part(K.DISCOUNT_TERM, 3)), F.when(with_discount, F.concat(part(K.DISCOUNT_TERM, 1), F.lit("% discount if paid within "), part(K.DISCOUNT_TERM, 2), F.lit(" days")))
+    for pattern in K.DAYS_TERMS:
+        days = days.when(value.rlike(any_case(pattern)), part(pattern, 1))
+    for pattern, note in K.AT_ONCE:
+        days, discount = days.when(value.rlike(any_case(pattern)), F.lit("0")), discount.when(value.rlike(any_case(pattern)), F.lit(note))
+    return F.struct(days.alias("days"), F.coalesce(discount, F.lit("")).alias("discount"), (days.isNotNull() | F.lower(value).isin(K.NO_TERM)).alias("known"))

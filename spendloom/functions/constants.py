@@ -43,6 +43,13 @@ COUNTRY_CODES = {
     "CHN": "China", "IN": "India", "IND": "India", "AU": "Australia", "AUS": "Australia", "SG": "Singapore", "SGP": "Singapore", "ZA": "South Africa", "ZAF": "South Africa",
 }
 
+#: Other spellings of countries.
+COUNTRY_ALIASES = {
+    "UNITED STATES OF AMERICA": "United States", "GREAT BRITAIN": "United Kingdom", "GERM": "Germany", "DEUTSCHLAND": "Germany", "PRC": "China", "BRASIL": "Brazil",
+    "ITALIA": "Italy", "ESPANA": "Spain", "KOREA": "South Korea", "HOLLAND": "Netherlands", "SUISSE": "Switzerland", "CZECHIA": "Czech Republic", "TURKIYE": "Turkey",
+    "KSA": "Saudi Arabia", "UAE": "United Arab Emirates",
+}
+
 #: Patterns of clock times behind a date, and of the one in an ISO timestamp.
 CLOCK = r"(?i)\s+\d{1,2}:\d{2}(:\d{2})?(\s*(AM|PM))?$"
 ISO_CLOCK = r"(?i)T\d{2}:\d{2}(:\d{2})?(\..*?)?(Z|[+-]\d{2}:\d{2})?$"
@@ -51,12 +58,12 @@ ISO_CLOCK = r"(?i)T\d{2}:\d{2}(:\d{2})?(\..*?)?(Z|[+-]\d{2}:\d{2})?$"
 SUPPLIER_TAIL = " ,.-&/"
 PLANT_NUMBER, PLANT_REMARK = r"[-_]\d{3,}$", r"\s*\(.*?\)\s*$"
 
-#: Payment terms: words for payment at once, and the shapes (# is a number) of those that name days.
-AT_ONCE = ["cod", "cia", "cash", "immediate", "sofort", "dueonreceipt"]
-TERM_SHAPES = ["#", "n#", "d#"]
-SPACED_TERM_SHAPES = ["#day", "#days"]
-LOOSE_TERM_SHAPES = ["net#"]
-DISCOUNT_SHAPES = ["#%#net#", "#/#net#", "#%#n#", "#/#n#"]
+#: Payment terms, without regard to case: patterns of payment at once with their discount text, of terms whose
+#: first number is the days, and of a discount (percent, its days, the days); and words for none.
+AT_ONCE = [(r"^(COD|C\.?O\.?D\.?)$", ""), (r"^(CIA|C\.?I\.?A\.?)$", "Cash in advance"), (r"^(Cash|Immediate|Sofort)$", ""), (r"^Due\s*on\s*Receipt$", "")]
+DAYS_TERMS = [r"^Net[\s\-_]*(\d+)$", r"^N(\d+)$", r"^D(\d+)$", r"^(\d+)\s*Days?$", r"^(\d+)$"]
+DISCOUNT_TERM = r"^(\d+)[%/](\d+)\s*(?:Net|N)[\s\-_]*(\d+)$"
+NO_TERM = ["nan", "none", "null", ""]
 
 #: How much a word in a header speaks for a currency or a spend column, and words of date headers.
 CURRENCY_WORDS = {

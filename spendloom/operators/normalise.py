@@ -53,7 +53,7 @@ def iso_codes() -> dict[str, str]:
         country = locale("", code)
         name = K.COUNTRY_NAMES.get(code, country.getDisplayCountry(locale.ENGLISH))
         found |= {code: name, country.getISO3Country(): name}
-    return found | K.COUNTRY_CODES
+    return found | K.COUNTRY_CODES | K.COUNTRY_ALIASES
 
 
 def country_table(spark: SparkSession, codes: dict[str, str] | None = None) -> DataFrame:

@@ -23,8 +23,8 @@ _WORKBOOKS = (".xlsx", ".xlsm", ".xltx", ".xltm")
 def read_csv(spark: SparkSession, path: str, multiline: bool = True, delimiter: str = ",") -> DataFrame:
     """Every cell as text in columns _c0, _c1, ... of the widest row, blanks as ''; with the file and the row's place.
 
-    Records are parsed as one text each and split by a generous schema, so rows wider than the
-    first one keep their cells. _place orders the rows of a file without a shuffle: the block of
+    The schema is as wide as the widest row, so rows wider than the first one keep their cells.
+    _place orders the rows of a file without a shuffle: the block of
     the file they are read from, then the row in it. multiline reads a file in one task; without
     it large files split. FILE_NAME is the base name, FILE_PATH tells equal names apart.
     """
@@ -37,16 +37,38 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True, delimiter:
     return df.select(*cells, F.col("_metadata.file_name").alias("FILE_NAME"), F.col("_metadata.file_path").alias("FILE_PATH"), place.alias("_place"))
 
 
+#: Larger files are not read as one value: their width is bounded line by line.
+WHOLE = 1 << 30
+
+
 def _width(spark: SparkSession, path: str, multiline: bool, delimiter: str) -> int:
-    """An upper bound of the cells in a row that is met: delimiters of the line that has most, quoted ones too, and one."""
-    lines = spark.read.text(path)
-    most = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit(""))))).first()[0]
-    bound = (most or 0) + 1
-    names = ", ".join(f"_c{i} string" for i in range(bound))
-    rows = spark.read.schema(names).option("multiLine", multiline).option("sep", delimiter).option("header", False).option("mode", "PERMISSIVE").csv(path)
-    # The last column that holds a cell in any row; one pass of one number a task.
-    filled = F.greatest(F.lit(1), *(F.when(F.col(f"_c{i}").isNotNull(), i + 1) for i in range(bound)), F.lit(1))
-    return rows.agg(F.max(filled)).first()[0] or 1
+    """The cells of the widest record; delimiters within quotes are none.
+
+    With multiline, files are read by the CSV rules, each in one task, record by record; of files over
+    WHOLE bytes and without multiline it is a bound: a record has at most what a line holds outside
+    quotes when it begins a record, and what another holds behind the quote that ends a cell.
+    """
+    widths: list[int] = []
+    files = spark.read.format("binaryFile").load(path) if multiline else None
+    if multiline:
+
+        def widest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            csv.field_size_limit(1 << 30)
+            for batch in batches:
+                yield pd.DataFrame({"w": [max(map(len, csv.reader(io.TextIOWrapper(io.BytesIO(c), "utf-8-sig", "replace", newline=""), delimiter=delimiter)), default=0) for c in batch["content"]]})
+
+        widths.append(files.where(F.col("length") <= WHOLE).select("content").mapInPandas(widest, "w long").agg(F.max("w")).first()[0] or 0)
+    large = [r["path"] for r in files.where(F.col("length") > WHOLE).select("path").collect()] if multiline else path
+    if large:
+        lines = spark.read.text(large)
+        # Whole quoted stretches go, then one that is open at the end of the line.
+        outside = lambda c: F.regexp_replace(F.regexp_replace(c, '"[^"]*"', ""), '"[^"]*$', "")
+        count = lambda c: F.length(c) - F.length(F.replace(c, F.lit(delimiter), F.lit("")))
+        begun = count(outside(F.col("value")))
+        ended = F.when(F.contains("value", F.lit('"')), count(outside(F.regexp_replace("value", '^[^"]*"', "")))).otherwise(0)
+        row = lines.agg(F.max(begun).alias("begun"), F.max(ended).alias("ended")).first()
+        widths.append((row["begun"] or 0) + (row["ended"] or 0) * multiline + 1)
+    return max(*widths, 1)
 
 
 def numbered(df: DataFrame, place: str = "_place") -> DataFrame:

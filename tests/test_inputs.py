@@ -1,9 +1,12 @@
 """Files with ragged rows and equal names, rates that repeat, columns of clashing names, keys in several formats."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
+from spendloom.functions import constants
 from spendloom.operators import clean, insights, matching, normalise
 from spendloom.sources import files
 
@@ -87,3 +90,39 @@ def test_payment_terms(spark):
     got = [(r["x"]["days"], r["x"]["discount"]) for r in spark.createDataFrame([(t,) for t in terms], "t string").select(C.payment_term("t").alias("x")).collect()]
     want = ["30", "45", None, "60", "15", "7", "0", "0", "30", "60", None, None, None, "0"]
     assert [d for d, _ in got] == want and got[8][1] == "2% discount if paid within 10 days" and got[9][1] == "3% discount if paid within 15 days" and got[13][1] == "Cash in advance"
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_commas_in_a_cell_make_no_columns(spark, tmp_path, multiline):
+    (tmp_path / "c.csv").write_text('a,b,c\n1,"' + "x," * 100_000 + '",3\n4,5,6,7\n8\n')
+    start = time.perf_counter()
+    got = files.read_csv(spark, str(tmp_path / "c.csv"), multiline)
+    rows = got.orderBy("_place").collect()
+    assert got.columns[:4] == ["_c0", "_c1", "_c2", "_c3"] and len([c for c in got.columns if c.startswith("_c")]) == 4
+    assert [len(r[1]) for r in rows] == [1, 200_000, 1, 0] and rows[2][3] == "7" and rows[3][0] == "8"
+    assert time.perf_counter() - start < 20
+
+
+def test_cells_over_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "m.csv").write_text('a,b\n1,"one, two\nthree, four\nfive",6,7\n')
+    rows = files.read_csv(spark, str(tmp_path / "m.csv")).orderBy("_place").collect()
+    assert [list(r)[:4] for r in rows] == [["a", "b", "", ""], ["1", "one, two\nthree, four\nfive", "6", "7"]]
+    monkeypatch.setattr(files, "WHOLE", 3)
+    wide = files.read_csv(spark, str(tmp_path / "m.csv"))
+    assert [list(r)[:4] for r in wide.orderBy("_place").collect()] == [list(r)[:4] for r in rows]
+
+
+def test_terms_that_stay_doubtful(spark):
+    known = {"Net 30": ("30", ""), "net-_45": ("45", ""), "N60": ("60", ""), "d 7": None, "D7": ("7", ""), "15 day": ("15", ""), "C.O.D.": ("0", ""), "c.i.a": ("0", "Cash in advance"), "Due on  receipt": ("0", ""), "2/10 net 30": ("30", "2% discount if paid within 10 days")}
+    doubtful = ["N et 30", "C O D", "30 d a y s", "2 % 10 net 30", "Cash.", "d 7"]
+    df = spark.createDataFrame([(t,) for t in [*known, *doubtful, "none", " ", None]], "t string")
+    got = {r.t: (r.term_days, r.term_discount, r.term_doubt) for r in normalise.payment_terms(df, "t").collect()}
+    assert all(got[t] == (None, "", True) for t in doubtful)
+    assert all(got[t] == (*v, False) for t, v in known.items() if v)
+    assert got["none"] == got[" "] == got[None] == (None, "", False)
+
+
+def test_other_spellings_of_countries(spark):
+    df = spark.createDataFrame([(s.title() if i % 2 else s,) for i, s in enumerate(constants.COUNTRY_ALIASES)], "c string")
+    got = {r.c.upper(): r.country for r in normalise.countries(df, "c").collect()}
+    assert got == constants.COUNTRY_ALIASES

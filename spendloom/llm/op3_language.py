@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ from spendloom.llm.textblock import Words, blocks, hand_back, mix, span_hashes,
 UNKNOWN = "und"
 #: The fit sees at most so many texts a language, of at most so many bytes each.
 SAMPLE_TEXTS, SAMPLE_BYTES = 300, 200_000
+#: Bytes of all sampled texts together, which the driver holds.
+SAMPLE_TOTAL = 64 << 20
 #: Of a column with more labels than these the commonest are learned; the fit is held on the driver.
 SAMPLE_LABELS = 200
 FEATURE_BITS = 18
@@ -202,22 +204,27 @@ def _words(block) -> Words:
     return words
 
 
-def _smallest(rows: DataFrame, texts: int) -> DataFrame:
-    """(label, cut): the hash of each label's last text of `texts`, by distinct hashes; tasks keep so many only."""
+def _smallest(rows: DataFrame, texts: int, most: int) -> DataFrame:
+    """(label, cut): the hash of each label's last text of `texts`, by distinct hashes, and of `most` bytes; tasks keep so many only."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[str, np.ndarray] = {}
+        least: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            hashes, names = batch.column(1).to_numpy(), batch.column(0).dictionary_encode()
+            hashes, sizes, names = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(0).dictionary_encode()
             codes = names.indices.to_numpy()
             for k, label in enumerate(names.dictionary.to_pylist()):
-                least[label] = np.unique(np.r_[least.get(label, hashes[:0]), hashes[codes == k]])[:texts]
-        for label, found in least.items():
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array(found, pa.int64())], ["label", "h"])
+                known = least.get(label, (hashes[:0], sizes[:0]))
+                found, first = np.unique(np.r_[known[0], hashes[codes == k]], return_index=True)
+                least[label] = found[:texts], np.r_[known[1], sizes[codes == k]][first][:texts]
+        for label, (found, size) in least.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(size, pa.int64())], ["label", "h", "size"])
 
-    each = rows.select("label", "h").mapInArrow(run, "label string, h long")
-    return each.groupBy("label").agg(F.array_max(F.slice(F.array_sort(F.collect_set("h")), 1, texts)).alias("cut"))
+    each = rows.select("label", "h", "size").mapInArrow(run, "label string, h long, size long").distinct()
+    # As many rows as there are labels times texts; a label's first text is taken whatever its size.
+    order = Window.partitionBy("label").orderBy("h", "size")
+    each = each.withColumns({"k": F.row_number().over(order), "sum": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return each.where((F.col("k") == 1) | ((F.col("k") <= texts) & (F.col("sum") <= most))).groupBy("label").agg(F.max("h").alias("cut"))
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", texts: int = SAMPLE_TEXTS, labels: int = SAMPLE_LABELS) -> Model:
@@ -225,14 +232,15 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 
     Rows without a label, a text or a letter teach nothing, those of one id and text count once,
     and ids may be null or repeat. Of more than `labels` labels the commonest are learned.
+    All texts together have at most SAMPLE_TOTAL bytes, shared evenly by the labels.
     Without any, the model is empty.
     """
-    labelled = docs.select(F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("label"), F.xxhash64(id_column, text_column).alias("h"))
-    labelled = labelled.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    labelled = docs.select(F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("label"), F.xxhash64(id_column, text_column).alias("h"), F.octet_length(text_column).cast("long").alias("size"))
+    labelled = labelled.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.col("size") <= SAMPLE_BYTES))
     common = [r["label"] for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()]
     if not common:
         return Model([], np.zeros((0, 0), np.float32), np.zeros(0, _U), np.zeros((0, 0)))
-    cuts = _smallest(labelled.where(F.col("label").isin(common)), texts).collect()
+    cuts = _smallest(labelled.where(F.col("label").isin(common)), texts, SAMPLE_TOTAL // len(common)).collect()
     cut = F.create_map(*(x for r in cuts for x in (F.lit(r["label"]), F.lit(r["cut"]))))
     chosen = labelled.where(F.col("h") <= cut[F.col("label")]).groupBy("label", "h").agg(F.min("text").alias("text"))
     sample = chosen.toPandas().sort_values(["label", "h"])

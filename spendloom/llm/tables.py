@@ -2,34 +2,33 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import contextlib
 import uuid
-from pathlib import Path
+from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendloom.operators import shipping
+
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
-_staged: list[str] = []
-_tables: list[str] = []
-_shipped: set[str] = set()
+#: Staged paths and tables by the scope they were made in.
+_staged: dict[str, list[str]] = defaultdict(list)
+_tables: dict[str, list[str]] = defaultdict(list)
+_scope = [""]
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not share the driver's import path.
+    """Send this package to the executors, and bound the batches that go to Python workers.
 
-    Bounds the batches that go to Python workers, by rows and by bytes, for texts of any length.
+    They are bound by rows and by bytes, for texts of any length. The settings stay with the
+    session, since a plan reads them when it runs.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    application = spark.sparkContext.applicationId
-    if application not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="package-")
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
-        _shipped.add(application)
+    shipping.ship(spark)
 
 
 def row_keys(id_column: str, text_column: str) -> dict[str, Column]:
@@ -42,17 +41,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _write(df: DataFrame, name: str) -> str:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shipping.shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return path
 
@@ -66,7 +56,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """As written(), for tables that nothing reads once an operator's result is written."""
     spark = df.sparkSession
     path = _write(df, name)
-    _staged.append(path)
+    _staged[_scope[-1]].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,18 +64,28 @@ def bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
     """As stage(), dealt into buckets of columns: joins on them move the other side only."""
     spark = df.sparkSession
     buckets, mark = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
-    path, table = f"{shared_dir(spark)}/{name}-{mark}", f"staged_{mark}"
+    path, table = f"{shipping.shared_dir(spark)}/{name}-{mark}", f"staged_{mark}"
     df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).option("path", path).option("compression", "zstd").saveAsTable(table)
-    _staged.append(path)
-    _tables.append(table)
+    _staged[_scope[-1]].append(path)
+    _tables[_scope[-1]].append(table)
     return spark.table(table)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete staged tables. Only for callers whose results no longer read them."""
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """What is staged inside belongs to a run of that name, and release() of another leaves it alone."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def release(spark: SparkSession, name: str = "") -> None:
+    """Delete what was staged in a scope. Only for callers whose results no longer read it."""
+    for table in _tables.pop(name, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    for staged in _staged.pop(name, []):
+        path = jvm.org.apache.hadoop.fs.Path(staged)
         path.getFileSystem(conf).delete(path, True)

@@ -29,3 +29,12 @@ def test_labels_are_bounded(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     sample, model = sampled(monkeypatch, docs, labels=3)
     assert len(model.languages) == 3 and "en" in model.languages and len(sample) == 7
+
+
+def test_bytes_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(op3_language, "SAMPLE_TOTAL", 20_000)
+    rows = [(i, f"word{i} " * 200, "en" if i % 2 else "cs") for i in range(200)] + [(1_000, "x y " * 20_000, "de")]
+    sample, model = sampled(monkeypatch, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    sizes = sample.assign(b=sample["text"].str.len()).groupby("label")["b"].sum()
+    assert sizes["en"] <= 20_000 // 3 and sizes["cs"] <= 20_000 // 3 and sizes["de"] == 80_000
+    assert model.languages == ["cs", "de", "en"]

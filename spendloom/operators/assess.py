@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
@@ -25,6 +25,35 @@ def populated(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return rows.select("column", "populated", "total", F.round(share, 1).alias("pct_populated"), (share < LEAST_POPULATED).alias("warn"))
 
 
+def analysis_scores(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Quality, consistency and usability of each column, from 0 to 100, and what they rest on.
+
+    Values are counted before they move, so one scan and one shuffle of distinct values give
+    all columns' fill, distinct values and share of numbers. `patterns` and `analyses` list what the
+    column shows and allows; `overall` is the mean fill of all the columns.
+    """
+    columns = [*(columns if columns is not None else df.columns)]
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), C.match_key(C.column(c)).alias("v"), C.non_blank(C.column(c)).alias("given"), C.looks_numeric(C.column(c)).alias("numeric")) for c in columns))
+    each = df.select(F.explode(cells).alias("x")).select("x.column", F.when(F.col("x.given"), F.col("x.v")).alias("v"), "x.numeric")
+    counted = each.groupBy("column", "v", "numeric").agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    given = F.col("v").isNotNull()
+    per = counted.groupBy("column").agg(F.sum("n").alias("rows"), total(given).alias("non_null"), F.count_distinct("v").alias("distinct_values"), total(given & F.col("numeric")).alias("_numbers"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    per = per.withColumns({"_fill": ratio("non_null", "rows"), "_unique": ratio("distinct_values", "non_null"), "_num": ratio("_numbers", "non_null")})
+    score = lambda x: F.bround(x).cast("int")
+    balance = F.lit(1.0) - F.abs(F.lit(0.5) - F.col("_num"))
+    per = per.withColumns({"quality": score((0.7 * F.col("_fill") + 0.3 * F.least(F.col("_unique"), F.lit(1.0))) * 100), "consistency": score((0.6 * F.col("_fill") + 0.4 * balance) * 100)})
+    kind = F.when(F.col("_num") >= 0.8, "mostly_numeric").when(F.col("_num") <= 0.2, "mostly_text").otherwise("mixed_numeric_text")
+    per = per.withColumns({
+        "usability": score(0.55 * F.col("quality") + 0.45 * F.col("consistency")), "inferred_type": F.when(F.col("_num") >= 0.8, "numeric").otherwise("text"),
+        "patterns": F.concat(kind, F.when(F.col("_fill") >= 0.95, ",high_fill").otherwise("")), "analyses": F.concat(F.lit("filter,group"), F.when(F.col("_num") >= 0.8, ",sum,avg").otherwise("")),
+    })
+    # One row a column from here on.
+    overall = F.bround(F.avg("_fill").over(Window.partitionBy()) * 100).cast("int")
+    return per.select("column", "rows", "non_null", "distinct_values", F.round("_fill", 4).alias("fill"), F.round("_num", 4).alias("numeric_ratio"), "quality", "consistency", "usability", "inferred_type", "patterns", "analyses", overall.alias("overall"))
+
+
 def spend_metrics(df: DataFrame, column: str) -> DataFrame:
     """Total of the numeric cells, and how many cells with a value are numeric or not."""
     is_number = C.number(column).isNotNull()

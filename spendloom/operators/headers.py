@@ -6,7 +6,8 @@ import difflib
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
 from spendloom.functions import fields
@@ -96,6 +97,23 @@ def match_all(headers: list[str], samples: dict[str, list[str]] | None = None, l
     return [m if m.field is None or best[m.field] == i else Match(m.header, None, "pending", m.score) for i, m in enumerate(found)]
 
 
+def match_table(df: DataFrame, values: int = 50, learned: dict[str, str] | None = None) -> DataFrame:
+    """(header, field, tier, score, filled): what the columns of a table mean, by their headers and the values they hold.
+
+    The hints come from each column's `values` commonest values, of equally common the least; filled
+    counts its rows with a value. What reaches the driver is columns times values.
+    """
+    cells = F.array(*(F.struct(F.lit(c).alias("header"), F.trim(C.text(C.column(c))).alias("v"), C.non_blank(C.column(c)).alias("given")) for c in df.columns))
+    counted = df.select(F.explode(cells).alias("x")).where("x.given").groupBy("x.header", "x.v").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("header").orderBy(F.desc("n"), "v")
+    filled = {r["header"]: r["n"] for r in counted.groupBy("header").agg(F.sum("n").alias("n")).collect()}
+    samples: dict[str, list[str]] = {}
+    for r in counted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= values).orderBy("header", "k").collect():
+        samples.setdefault(r["header"], []).append(r["v"])
+    rows = [(m.header, m.field, m.tier, m.score, filled.get(m.header, 0)) for m in match_all(df.columns, samples, learned)]
+    return df.sparkSession.createDataFrame(rows, "header string, field string, tier string, score double, filled long")
+
+
 def resolve(available: list[str], role: str) -> list[str]:
     """Columns for a role: its own name, known spellings, then likeness of 0.75 or more."""
     names = [plain(role), *FIELDS.get(role, [])]

@@ -6,7 +6,7 @@ import difflib
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spendloom.functions import columns as C
@@ -87,6 +87,24 @@ def append(tables: dict[str, DataFrame], mappings: dict[str, dict[str, str]], co
     return out
 
 
+def append_written(tables: dict[str, DataFrame], mappings: dict[str, dict[str, str]], columns: list[str], path: str) -> DataFrame:
+    """Write the union as Parquet; (table, rows, written, filled, intact): counted while the rows pass, without another scan.
+
+    rows are those read of a table, written those of it that reach the file, filled its cells
+    with a value in the canonical columns.
+    """
+    read = {name: Observation() for name in tables}
+    written = Observation()
+    union = append({name: df.observe(read[name], F.count(F.lit(1)).alias("rows")) for name, df in tables.items()}, mappings, columns)
+    cells = sum((C.non_blank(c).cast("int") for c in columns), F.lit(0))
+    of = lambda name, x: F.coalesce(F.sum(F.when(F.col("_source_table") == name, x)), F.lit(0)).cast("long")
+    counts = [x for i, name in enumerate(tables) for x in (of(name, 1).alias(f"n{i}"), of(name, cells).alias(f"c{i}"))]
+    union.observe(written, *counts).write.mode("overwrite").parquet(path)
+    found = written.get
+    rows = [(name, read[name].get["rows"], found[f"n{i}"], found[f"c{i}"], read[name].get["rows"] == found[f"n{i}"]) for i, name in enumerate(tables)]
+    return union.sparkSession.createDataFrame(rows, "table string, rows long, written long, filled long, intact boolean")
+
+
 def plan_append(schemas: dict[str, list[str]], least: float = 0.5) -> list[list[str]]:
     """Groups of tables whose headers overlap by Jaccard similarity; largest tables lead."""
     groups: list[list[str]] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,24 @@ def procurement_views(df: DataFrame, registry: dict[str, tuple[str, list[str]]]
     return df.sparkSession.createDataFrame(shown, "view string, title string, available boolean, missing array<string>")
 
 
+def usable_rows(df: DataFrame, registry: dict[str, list[str]]) -> DataFrame:
+    """(view, available, missing, rows): can each view be built, what it lacks, and how many rows hold a value in all its fields.
+
+    A field is there if its column holds a value in any row. One scan, one row of counts.
+    """
+    held = [f for f in dict.fromkeys(f for needs in registry.values() for f in needs) if f in df.columns]
+    cells = [F.coalesce(F.bool_or(C.non_blank(f)), F.lit(False)).alias(f"f{i}") for i, f in enumerate(held)]
+    full = [F.count(F.when(_all(needs, held), 1)).alias(f"v{i}") for i, needs in enumerate(registry.values())]
+    row = df.agg(F.count("*").alias("all"), *cells, *full).first()
+    there = {f for i, f in enumerate(held) if row[f"f{i}"]}
+    out = [(view, ready, lacks, row[f"v{i}"] if ready else 0) for i, (view, ready, lacks) in enumerate(feasibility(registry, there))]
+    return df.sparkSession.createDataFrame(out, "view string, available boolean, missing array<string>, rows long")
+
+
+def _all(needs: list[str], held: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (C.non_blank(f) for f in needs if f in held), F.lit(True))
+
+
 def compute_views(df: DataFrame, wanted: list[str]) -> dict[str, DataFrame | Exception]:
     """Views by name over a typed table; one that fails does not stop the others."""
     make = {

@@ -466,17 +466,14 @@ _add(
 )
 
 # Schema-level operators: a few strings on the driver -----------------------------------------
-_dims = lambda spark, sf: {*S.spend(spark, sf, "supplier").columns}
-_add(
-    "view_feasibility", lambda spark, sf: spark.createDataFrame(views.feasibility(views.VIEW_FIELDS, _dims(spark, sf)), "view string, available boolean, missing array<string>").select("view", "available", F.array_join("missing", ",").alias("missing")),
-    """SELECT * FROM (VALUES ('spend_over_time', true, ''), ('supplier_ranking', true, ''), ('pareto', true, ''), ('currency_spend', true, ''), ('country_spend', true, ''), ('l1_spend', false, 'l1'),
-  ('l1_vs_l2', false, 'l1,l2'), ('l2_vs_l3', false, 'l1,l2,l3'), ('category_drilldown', false, 'l1')) t("view", available, missing)""",
-)
+#: No cell of these tables is blank, so a view that can be built can be built on all rows.
+_ALL_HELD = " AND ".join(f"trim({c}::VARCHAR) <> ''" for c in ("total_spend", "local_spend", "invoice_date", "supplier", "vendor_country", "region", "currency", "l1", "l2", "l3", "description", "po_document_date"))
 _ENTRIES = ", ".join("(" + ", ".join(f"'{x}'" for x in (view, title, f, fields.FIELD_NAMES[f])) + f", {i})" for view, (title, needs) in (fields.DASHBOARDS | fields.LEVERS).items() for i, f in enumerate(needs))
 _add(
-    "procurement_views", lambda spark, sf: views.procurement_views(S.spend(spark, sf, "supplier", "part", "orders")).select("view", "title", "available", F.array_join("missing", ",").alias("missing")),
-    f"""WITH has AS (SELECT column_name FROM (DESCRIBE ({BASE} SELECT * FROM b))), e("view", title, field, shown, place) AS (VALUES {_ENTRIES})
-SELECT "view", title, bool_and(column_name IS NOT NULL) AS available, coalesce(string_agg(shown, ',' ORDER BY place) FILTER (WHERE column_name IS NULL), '') AS missing FROM e LEFT JOIN has ON column_name = field GROUP BY ALL""",
+    "procurement_views", lambda spark, sf: views.procurement_views(S.spend(spark, sf, "supplier", "part", "orders")).select("view", "title", "available", F.array_join("missing", ",").alias("missing")).join(views.usable_rows(S.spend(spark, sf, "supplier", "part", "orders"), {v: needs for v, (_, needs) in (fields.DASHBOARDS | fields.LEVERS).items()}).select("view", "rows"), "view"),
+    BASE + f""", has AS (SELECT column_name FROM (DESCRIBE ({BASE} SELECT * FROM b))), e("view", title, field, shown, place) AS (VALUES {_ENTRIES}), held AS (SELECT count(*) AS n FROM b WHERE {_ALL_HELD})
+SELECT "view", title, bool_and(column_name IS NOT NULL) AS available, coalesce(string_agg(shown, ',' ORDER BY place) FILTER (WHERE column_name IS NULL), '') AS missing, CASE WHEN bool_and(column_name IS NOT NULL) THEN any_value(n) ELSE 0 END AS rows
+FROM e LEFT JOIN has ON column_name = field, held GROUP BY "view", title""",
 )
 _tagged = lambda spark, sf: messy(spark, sf).select(
     "supplier", "ccy", "country", "key_text", F.year("d").alias("made"), F.when(F.col("id") % 2 == 0, "H").when(F.col("id") % 7 == 1, " s ").alias("side"),
@@ -506,10 +503,6 @@ _add(
     "decision_sheet_round_trip", lambda spark, sf: headers.apply_decisions(messy(spark, sf), headers.sheet_decisions(headers.decision_sheet(messy(spark, sf), _DECIDED)))[0].groupBy("supplier_name", "plant", "currency").agg(F.count("*").alias("rows")),
     MESSY + "SELECT supplier AS supplier_name, plant, ccy AS currency, count(*) AS rows FROM m GROUP BY ALL",
 )
-_HEADERS = ["Invoice Date", "VendorName", "inv amt", "WAERS", "Unnamed: 3", "Lieferant", "Plnt", "Payment Trms", "zzz"]
-_add("header_match_tiers", lambda spark, sf: spark.createDataFrame([(m.header, m.field, m.tier, m.score) for m in headers.match_all(_HEADERS)], "header string, field string, tier string, score double"))
-_add("feasibility_registry", lambda spark, sf: spark.createDataFrame(views.feasibility(views.VIEW_FIELDS, {"invoice_date", "total_spend", "supplier", "l1"}), "view string, available boolean, missing array<string>"))
-_add("header_jaccard", lambda spark, sf: spark.createDataFrame(matching.header_pairs(["Supplier Name", "Amount", "po_number"], ["supplier_name", "Amounts", "Plant"]), "base string, source string, score double"))
 
 # Intake --------------------------------------------------------------------------------------
 for _name, (_query, _sql) in intake.QUERIES.items():

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.operators import normalise, pairing, shipping
+from spendloom.operators import assess, headers, matching, normalise, pairing, shipping, typed, views
 from spendloom.plans.messy import MESSY, messy
-from spendloom.plans.spend import pick, table
+from spendloom.plans.spend import BASE, pick, spend, table
 from spendloom.sources import workbooks
 
 _TABLES = {
@@ -113,7 +113,82 @@ def fx_workbook_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 FX_SQL = "SELECT o_orderstatus AS currency, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, max(o_totalprice) AS rate FROM orders GROUP BY ALL"
 
+_SCORED = ["amount", "supplier", "country", "term", "key_text", "date_text"]
+
+
+def analysis_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return assess.analysis_scores(messy(spark, sf), _SCORED)
+
+
+SCORES_SQL = MESSY + f""", cells AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS v FROM m" for c in _SCORED)}),
+k AS (SELECT col, nullif(trim(v), '') AS v, regexp_matches(trim(v), '[0-9]') AND regexp_matches(trim(v), '^[0-9eE.+-]+$') AS num FROM cells),
+s AS (SELECT col, count(*) AS rows, count(v) AS non_null, count(DISTINCT CASE WHEN num THEN coalesce(try_cast(v AS DOUBLE)::VARCHAR, lower(v)) ELSE lower(v) END) AS d, count(*) FILTER (WHERE num AND v IS NOT NULL) AS nums FROM k GROUP BY col),
+r AS (SELECT *, non_null::DOUBLE / rows AS fill, d::DOUBLE / non_null AS u, nums::DOUBLE / non_null AS num FROM s),
+q AS (SELECT *, round_even((0.7::DOUBLE * fill + 0.3::DOUBLE * least(u, 1.0::DOUBLE)) * 100, 0)::INT AS quality, round_even((0.6::DOUBLE * fill + 0.4::DOUBLE * (1.0::DOUBLE - abs(0.5::DOUBLE - num))) * 100, 0)::INT AS consistency FROM r)
+SELECT col AS "column", rows, non_null, d AS distinct_values, round(fill, 4) AS fill, round(num, 4) AS numeric_ratio, quality, consistency, round_even(0.55::DOUBLE * quality + 0.45::DOUBLE * consistency, 0)::INT AS usability,
+  CASE WHEN num >= 0.8 THEN 'numeric' ELSE 'text' END AS inferred_type, CASE WHEN num >= 0.8 THEN 'mostly_numeric' WHEN num <= 0.2 THEN 'mostly_text' ELSE 'mixed_numeric_text' END || CASE WHEN fill >= 0.95 THEN ',high_fill' ELSE '' END AS patterns,
+  'filter,group' || CASE WHEN num >= 0.8 THEN ',sum,avg' ELSE '' END AS analyses, round_even((SELECT avg(fill) FROM q) * 100, 0)::INT AS overall FROM q"""
+
+
+def append_written(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {"customers": table(spark, sf, "customer"), "suppliers": table(spark, sf, "supplier"), "parts": table(spark, sf, "part")}
+    mappings = {"customers": {"c_name": "NAME", "c_mktsegment": "KIND"}, "suppliers": {"s_name": "NAME"}, "parts": {"p_name": "NAME", "p_type": "KIND"}}
+    return matching.append_written(tables, mappings, ["NAME", "KIND"], f"{shipping.shared_dir(spark)}/appended-{uuid.uuid4().hex}")
+
+
+APPEND_SQL = """SELECT 'customers' AS "table", count(*) AS rows, count(*) AS written, count(*) FILTER (WHERE trim(c_name) <> '') + count(*) FILTER (WHERE trim(c_mktsegment) <> '') AS filled, true AS intact FROM customer
+UNION ALL SELECT 'suppliers', count(*), count(*), count(*) FILTER (WHERE trim(s_name) <> ''), true FROM supplier
+UNION ALL SELECT 'parts', count(*), count(*), count(*) FILTER (WHERE trim(p_name) <> '') + count(*) FILTER (WHERE trim(p_type) <> ''), true FROM part"""
+
+#: Headers as uploads have them, over columns of messy().
+_UPLOADED = {"id": "EBELN", "d": "Inv Dt", "supplier": "VendorName", "country": "Land1", "term": "Payment Trms", "plant": "Plnt", "amount": "inv amt", "ccy": "WAERS", "date_text": "zzz", "key_text": "Unnamed: 3", "file": "File"}
+
+
+def header_match_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    return headers.match_table(messy(spark, sf).withColumnsRenamed(_UPLOADED))
+
+
+_FILLED = " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) FILTER (WHERE trim({c}::VARCHAR) <> '') AS filled FROM m" for c in _UPLOADED)
+TIERS_SQL = MESSY + f""", t(header, field, tier, score, col) AS (VALUES ('EBELN', 'po_number', 'alias', 1.0::DOUBLE, 'id'), ('Inv Dt', 'invoice_date', 'abbreviation', 1.0, 'd'), ('File', NULL, 'pending', 0.375, 'file'), ('VendorName', 'supplier', 'camel', 1.0, 'supplier'),
+  ('Land1', 'vendor_country', 'alias', 1.0, 'country'), ('Payment Trms', 'payment_terms', 'fuzzy', 0.72, 'term'), ('Plnt', 'plant', 'fuzzy', 0.6667, 'plant'), ('inv amt', 'total_spend', 'abbreviation', 1.0, 'amount'), ('WAERS', 'currency', 'alias', 1.0, 'ccy'),
+  ('zzz', NULL, 'pending', 0.1312, 'date_text'), ('Unnamed: 3', NULL, 'drop', 1.0, 'key_text'))
+SELECT header, field, tier, score, filled FROM t JOIN ({_FILLED}) USING (col)"""
+
+
+def view_feasibility(spark: SparkSession, sf: str) -> DataFrame:
+    return views.usable_rows(spend(spark, sf, "supplier"), views.VIEW_FIELDS).withColumn("missing", F.array_join("missing", ","))
+
+
+FEASIBLE_SQL = BASE + """, n AS (SELECT count(*) AS n FROM b WHERE total_spend IS NOT NULL AND local_spend IS NOT NULL AND invoice_date IS NOT NULL AND trim(supplier) <> '' AND trim(currency) <> '' AND trim(vendor_country) <> '')
+SELECT "view", available, missing, CASE WHEN available THEN n ELSE 0 END AS rows FROM n, (VALUES ('spend_over_time', true, ''), ('supplier_ranking', true, ''), ('pareto', true, ''), ('currency_spend', true, ''), ('country_spend', true, ''), ('l1_spend', false, 'l1'),
+  ('l1_vs_l2', false, 'l1,l2'), ('l2_vs_l3', false, 'l1,l2,l3'), ('category_drilldown', false, 'l1')) t("view", available, missing)"""
+
+
+def feasibility_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Views on an upload as it was cast: a row counts where all that a view needs could be read."""
+    cast = typed.build(messy(spark, sf), {"amount": "total_spend", "date_text": "invoice_date", "supplier": "supplier", "country": "vendor_country"})
+    return views.usable_rows(cast, views.VIEW_FIELDS).withColumn("missing", F.array_join("missing", ","))
+
+
+REGISTRY_SQL = MESSY + """, x AS (SELECT amount IN ('1,234.50', '$99', '1e3', '-7', '12 000', '00042') AS a, id % 7 <> 6 AS d, trim(country) <> '' AS c FROM m), n AS (SELECT count(*) FILTER (WHERE a AND d) AS ad, count(*) FILTER (WHERE a) AS s, count(*) FILTER (WHERE a AND c) AS ac FROM x)
+SELECT "view", available, missing, CASE k WHEN 1 THEN ad WHEN 2 THEN s WHEN 3 THEN ac ELSE 0 END AS rows FROM n, (VALUES ('spend_over_time', true, '', 1), ('supplier_ranking', true, '', 2), ('pareto', true, '', 2), ('currency_spend', false, 'currency,local_spend', 0), ('country_spend', true, '', 3),
+  ('l1_spend', false, 'l1', 0), ('l1_vs_l2', false, 'l1,l2', 0), ('l2_vs_l3', false, 'l1,l2,l3', 0), ('category_drilldown', false, 'l1', 0)) t("view", available, missing, k)"""
+
+
+def header_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Like headers of two tables, and in how many rows each holds a value."""
+    base, source = table(spark, sf, "customer"), table(spark, sf, "supplier").withColumnRenamed("s_name", "cname")
+    pairs = spark.createDataFrame(matching.header_pairs(base.columns, source.columns), "base string, source string, score double")
+    filled = lambda df, c, n: assess.populated(df, df.columns).select(F.col("column").alias(c), F.col("populated").alias(n))
+    return pairs.join(filled(base, "base", "base_filled"), "base").join(filled(source, "source", "source_filled"), "source")
+
+
+JACCARD_SQL = """SELECT base, source, score, n AS base_filled, k AS source_filled FROM (VALUES ('c_name', 'cname', 0.9091::DOUBLE), ('c_nationkey', 's_nationkey', 0.9091::DOUBLE), ('c_acctbal', 's_acctbal', 0.8889::DOUBLE)) t(base, source, score),
+(SELECT count(*) FILTER (WHERE trim(c_name) <> '' AND c_nationkey IS NOT NULL AND c_acctbal IS NOT NULL) AS n FROM customer), (SELECT count(*) FILTER (WHERE trim(s_name) <> '' AND s_nationkey IS NOT NULL AND s_acctbal IS NOT NULL) AS k FROM supplier)"""
+
 QUERIES = {
     "common_columns": (common_columns, COMMON_SQL), "match_keys_ranked": (ranked_keys, KEYS_SQL), "regions_inferred": (regions_inferred, REGIONS_SQL),
     "date_metrics_by_file": (date_metrics_by_file, DATES_SQL), "fx_workbook_rates": (fx_workbook_rates, FX_SQL),
+    "analysis_scores": (analysis_scores, SCORES_SQL), "append_written": (append_written, APPEND_SQL), "header_match_tiers": (header_match_tiers, TIERS_SQL), "view_feasibility": (view_feasibility, FEASIBLE_SQL),
+    "feasibility_registry": (feasibility_registry, REGISTRY_SQL), "header_jaccard": (header_jaccard, JACCARD_SQL),
 }

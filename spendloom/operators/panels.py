@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,11 @@ def pareto_thresholds(df: DataFrame, supplier: str, spend: str, description: str
     Rows are reduced to suppliers once; the cuts are then read off one running total.
     """
     rows = df.where(F.col(spend) > 0).groupBy(F.col(supplier).alias("supplier"), F.col(description).alias("d")).agg(F.sum(spend).alias("spend"), F.count("*").alias("n"))
+    return _pareto_of(rows, percents)
+
+
+def _pareto_of(rows: DataFrame, percents: tuple[int, ...]) -> DataFrame:
+    """pareto_thresholds of rows (supplier, d, spend, n), one a supplier and description."""
     per = rows.groupBy("supplier").agg(F.sum("spend").alias("spend"), F.sum("n").alias("n"), F.count("d").alias("pairs"))
     ranked = running(per, "spend", "supplier")
     part = ranked.cumulative.cast("double") - ranked.spend.cast("double")
@@ -129,7 +136,11 @@ def non_procurable(df: DataFrame, description: str, spend: str, currency: str, k
 
 def description_stats(df: DataFrame, column: str) -> DataFrame:
     """Words, lengths, proxies and digits of a description column; values are counted first."""
-    per = df.groupBy(F.trim(C.text(column)).alias("v")).agg(F.count("*").alias("n")).where(C.non_blank("v"))
+    return _description_of(df.groupBy(F.trim(C.text(column)).alias("v")).agg(F.count("*").alias("n")).where(C.non_blank("v")))
+
+
+def _description_of(per: DataFrame) -> DataFrame:
+    """description_stats of distinct values v with their rows n."""
     words, n = C.word_count("v"), F.col("n")
     on = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
     out = per.agg(F.sum("n").cast("long").alias("rows"), F.count("*").alias("unique_values"), on(words == 1).alias("one_word"), on(words > 1).alias("multi_word"), on(C.null_proxy("v", K.DESCRIPTION_PROXIES)).alias("proxies"), on(F.col("v").rlike("[A-Za-z]") & F.col("v").rlike("[0-9]")).alias("alphanumeric"), F.sum(F.length("v") * n).alias("chars"))
@@ -148,7 +159,11 @@ LARGE_ROWS = 400_000
 
 def categorization_effort(df: DataFrame, supplier: str, description: str) -> DataFrame:
     """Supplier-description pairs to categorise, their mean size, the cost and the method for the size."""
-    pairs = df.where(C.non_blank(description)).groupBy(F.trim(supplier).alias("s"), F.trim(description).alias("d")).agg(F.count("*").alias("n"))
+    return _effort_of(df.where(C.non_blank(description)).groupBy(F.trim(supplier).alias("s"), F.trim(description).alias("d")).agg(F.count("*").alias("n")))
+
+
+def _effort_of(pairs: DataFrame) -> DataFrame:
+    """categorization_effort of distinct pairs (s, d) with their rows n."""
     out = pairs.agg(F.sum("n").cast("long").alias("rows"), F.count("*").alias("pairs"), F.sum(F.length("d") * F.col("n")).alias("chars"), F.sum(C.word_count("d") * F.col("n")).alias("words"), F.sum(F.length("d")).alias("pair_chars"))
     cost = F.col("pair_chars") / CHARS_A_TOKEN * COST_IN / 1e6 + F.col("pairs") * TOKENS_OUT * COST_OUT / 1e6
     return out.select("rows", "pairs", F.round(F.col("chars") / F.col("rows"), 2).alias("avg_chars"), F.round(F.col("words") / F.col("rows"), 2).alias("avg_words"), F.round(cost, 4).alias("cost_usd"), F.when(F.col("rows") > LARGE_ROWS, "large").otherwise("small").alias("method"))
@@ -200,3 +215,56 @@ def executive_summary(df: DataFrame, date: str, spend: str, supplier: str) -> Da
     # Each side is one row.
     joined = period.join(F.broadcast(net)).join(F.broadcast(year)).join(F.broadcast(vendors))
     return joined.select("first_date", "last_date", "months", F.col("net").alias("total_spend"), "ltm_spend", "suppliers", "reach_80", "top10_pct")
+
+
+def summary_cube(df: DataFrame, date: str, spend: str, supplier: str, description: str) -> DataFrame:
+    """All that the executive panels need, from one scan: rows by month, by supplier and description, and of the whole.
+
+    `of` says which: month, pair, all. Rows are counted before they move, so a hot supplier moves
+    as one row a task.
+    """
+    s, columns = F.col(spend), df.columns
+    filled = F.struct(*(F.count(F.when(C.effective(c), 1)).alias(f"n{i}") for i, c in enumerate(columns)), *(F.sum(F.when(C.effective(c), s)).alias(f"s{i}") for i, c in enumerate(columns)))
+    keyed = df.select("*", F.year(date).alias("_y"), F.month(date).alias("_m"), F.col(supplier).alias("_s"), F.col(description).alias("_d"))
+    sets = keyed.groupingSets([["_y", "_m"], ["_s", "_d"], []], "_y", "_m", "_s", "_d")
+    out = sets.agg(
+        F.grouping_id("_y", "_m", "_s", "_d").alias("_id"), F.count("*").alias("rows"), F.sum(s).alias("spend"), F.sum(F.when(s > 0, s)).alias("positive"), F.sum(F.when(s < 0, s)).alias("negative"),
+        F.count(F.when(s > 0, 1)).alias("positive_rows"), F.min(date).alias("lo"), F.max(date).alias("hi"), filled.alias("filled"),
+    )
+    return out.select(F.when(F.col("_id") == 3, "month").when(F.col("_id") == 12, "pair").otherwise("all").alias("of"), F.col("_y").alias("year"), F.col("_m").alias("month"), F.col("_s").alias("supplier"), F.col("_d").alias("description"), "rows", "spend", "positive", "negative", "positive_rows", "lo", "hi", F.when(F.col("_id") == 15, F.col("filled")).alias("filled"))
+
+
+def executive_panels(df: DataFrame, date: str, spend: str, supplier: str, description: str) -> dict[str, DataFrame]:
+    """The nine panels of the executive summary by name, all read from one summary_cube: the table is scanned once."""
+    cube = settled(summary_cube(df, date, spend, supplier, description))
+    months = cube.where("of = 'month' AND year IS NOT NULL").select(F.make_date("year", "month", F.lit(1)).alias("day"), "spend", "lo", "hi")
+    pairs = cube.where("of = 'pair'").select("supplier", "description", "rows", "spend", "positive", "positive_rows")
+    whole = cube.where("of = 'all'")
+    days = months.select(F.explode(F.array("lo", "hi")).alias("day"))
+    years = fiscal_years(months, "day", "spend").select(F.concat(F.lit("fy "), F.col("fy")).alias("figure"), F.col("total_spend").alias("value"))
+    full = latest_full_year(months, "day", "spend").select(F.lit("latest full year").alias("figure"), F.col("total_spend").alias("value"))
+    breakdown = ltm(months, "day", "spend").select(F.lit("last twelve months").alias("figure"), F.col("ltm_spend").alias("value")).union(years).union(full)
+    named = pairs.where(C.non_blank("description"))
+    texts = named.groupBy(F.trim(C.text("description")).alias("v")).agg(F.sum("rows").alias("n"))
+    effort = named.groupBy(F.trim("supplier").alias("s"), F.trim("description").alias("d")).agg(F.sum("rows").alias("n"))
+    bought = pairs.where("positive_rows > 0").select("supplier", F.col("description").alias("d"), F.col("positive").alias("spend"), F.col("positive_rows").alias("n"))
+    zero = F.lit(0)
+    fills = whole.select("rows", "spend", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"filled.n{i}").alias("filled"), F.col(f"filled.s{i}").alias("covered")) for i, c in enumerate(df.columns)))).alias("x"))
+    two = lambda c: F.round(F.coalesce(F.col(c), zero).cast("double"), 2).alias(c)
+    return {
+        "date_period": date_period(days, "day"), "spend_breakdown": breakdown, "supplier_breakdown": supplier_breakdown(pairs, "supplier", "spend"), "categorization_effort": _effort_of(effort),
+        "column_fill_rate": fills.select("x.column", "x.filled", C.percent(F.col("x.filled"), F.col("rows")).alias("fill_pct"), C.percent(F.coalesce("x.covered", zero), F.col("spend")).alias("spend_pct")),
+        "date_pivot": date_pivot(months, "day", "spend"), "bifurcation": whole.select(two("positive"), two("negative"), two("spend").alias("net"), "rows"), "pareto": _pareto_of(bought, (80, 85, 90, 95)), "description_quality": _description_of(texts),
+    }
+
+
+def executive_figures(df: DataFrame, date: str, spend: str, supplier: str, description: str) -> DataFrame:
+    """(panel, figure, value): all figures of the nine panels as one table; dates as days since 1970."""
+    parts = []
+    for name, panel in executive_panels(df, date, spend, supplier, description).items():
+        keys = [c for c, kind in panel.dtypes if kind == "string" or c in ("year", "percent")]
+        label = lambda c, keys=tuple(keys): F.concat_ws(" ", *(F.col(k).cast("string") for k in keys), F.lit(None if c == "value" else c))
+        as_number = lambda c, kind: (F.unix_date(F.col(c)) if kind == "date" else F.col(c)).cast("double")
+        cells = F.array(*(F.struct(label(c).alias("figure"), as_number(c, kind).alias("value")) for c, kind in panel.dtypes if c not in keys))
+        parts.append(panel.select(F.lit(name).alias("panel"), F.explode(cells).alias("x")).select("panel", "x.figure", "x.value"))
+    return reduce(lambda a, b: a.union(b), parts)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.operators import assess, headers, matching, normalise, pairing, shipping, typed, views
+from spendloom.operators import assess, headers, matching, normalise, pairing, panels, shipping, typed, views
 from spendloom.plans.messy import MESSY, messy
 from spendloom.plans.spend import BASE, pick, spend, table
 from spendloom.sources import workbooks
@@ -186,9 +186,55 @@ def header_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 JACCARD_SQL = """SELECT base, source, score, n AS base_filled, k AS source_filled FROM (VALUES ('c_name', 'cname', 0.9091::DOUBLE), ('c_nationkey', 's_nationkey', 0.9091::DOUBLE), ('c_acctbal', 's_acctbal', 0.8889::DOUBLE)) t(base, source, score),
 (SELECT count(*) FILTER (WHERE trim(c_name) <> '' AND c_nationkey IS NOT NULL AND c_acctbal IS NOT NULL) AS n FROM customer), (SELECT count(*) FILTER (WHERE trim(s_name) <> '' AND s_nationkey IS NOT NULL AND s_acctbal IS NOT NULL) AS k FROM supplier)"""
 
+_SUMMED = ["invoice_date", "supplier", "description", "total_spend"]
+
+
+def executive_figures(spark: SparkSession, sf: str) -> DataFrame:
+    return panels.executive_figures(spend(spark, sf, "supplier", "part").select(*_SUMMED), "invoice_date", "total_spend", "supplier", "description")
+
+
+def _figures(panel: str, source: str, *figures: str, prefix: str = "") -> str:
+    """One row a figure: `name` or `name: expression` over a source."""
+    each = [f.partition(": ") for f in figures]
+    return " UNION ALL ".join(f"SELECT '{panel}' AS panel, {prefix}'{name}' AS figure, ({x or name})::DOUBLE AS value FROM {source}" for name, _, x in each)
+
+
+_CENTS = "round(coalesce({}, 0)::DOUBLE, 2)"
+FIGURES_SQL = BASE + f""", mo AS (SELECT year(invoice_date) AS y, month(invoice_date) AS m, sum(total_spend) AS s FROM b GROUP BY ALL), las AS (SELECT max(y * 12 + m) AS i FROM mo),
+sp AS (SELECT supplier, sum(total_spend) AS s FROM b GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY s DESC, supplier) AS k, sum(s) OVER (ORDER BY s DESC, supplier ROWS UNBOUNDED PRECEDING) AS cum, sum(s) OVER () AS t FROM sp),
+pr AS (SELECT supplier, description AS d, count(*) AS n, sum(total_spend) AS s FROM b GROUP BY ALL), tx AS (SELECT d AS v, sum(n) AS n FROM pr GROUP BY 1),
+ps AS (SELECT supplier, sum(s) AS s, sum(n) AS n, count(d) AS pairs FROM pr GROUP BY 1), pk AS (SELECT *, sum(s) OVER w - s AS before, sum(s) OVER () AS t FROM ps WINDOW w AS (ORDER BY s DESC, supplier ROWS UNBOUNDED PRECEDING)),
+pa AS (SELECT p, count(*) AS suppliers, {_CENTS.format('sum(s)')} AS total_spend, sum(n) AS transactions, sum(pairs) AS pairs FROM pk, (VALUES (80), (85), (90), (95)) c(p) WHERE before::DOUBLE < t::DOUBLE * (p / 100.0::DOUBLE) GROUP BY p),
+ef AS (SELECT sum(n) AS rows, count(*) AS pairs, sum(length(d) * n) AS chars, sum(len(string_split_regex(d, '\\s+')) * n) AS words, sum(length(d)) AS pc FROM pr)
+{_figures('date_period', '(SELECT min(invoice_date)::DATE AS lo, max(invoice_date)::DATE AS hi FROM b), (SELECT count(*) AS n FROM mo)', "first_date: date_diff('day', DATE '1970-01-01', lo)", "last_date: date_diff('day', DATE '1970-01-01', hi)", 'months: n')}
+UNION ALL SELECT 'spend_breakdown', 'last twelve months', {_CENTS.format('sum(s)')} FROM mo, las WHERE y * 12 + m BETWEEN i - 12 AND i - 1
+UNION ALL SELECT 'spend_breakdown', 'fy ' || y, {_CENTS.format('sum(s)')} FROM mo GROUP BY y
+UNION ALL (SELECT 'spend_breakdown', 'latest full year', {_CENTS.format('sum(s)')} FROM mo GROUP BY y HAVING count(*) = 12 ORDER BY y DESC LIMIT 1)
+UNION ALL {_figures('supplier_breakdown', '(SELECT count(*) AS n, min(k) FILTER (WHERE cum::DOUBLE >= t::DOUBLE * (80 / 100.0::DOUBLE)) AS r, round(sum(s) FILTER (WHERE k <= 10)::DOUBLE / sum(s)::DOUBLE * 100, 2) AS top FROM rk)', 'suppliers: n', 'reach_80: r', 'case_variants: 0', 'top10_pct: top')}
+UNION ALL {_figures('categorization_effort', 'ef', 'rows', 'pairs', 'avg_chars: round(chars::DOUBLE / rows, 2)', 'avg_words: round(words::DOUBLE / rows, 2)', 'cost_usd: round(pc / 4.0::DOUBLE * 2.5 / 1e6 + pairs * 20 * 10.0::DOUBLE / 1e6, 4)', prefix="CASE WHEN rows > 400000 THEN 'large ' ELSE 'small ' END || ")}
+UNION ALL {" UNION ALL ".join(_figures('column_fill_rate', f"(SELECT count(*) AS n, count(*) FILTER (WHERE trim({c}::VARCHAR) <> '') AS f, sum(total_spend) AS t, sum(total_spend) FILTER (WHERE trim({c}::VARCHAR) <> '') AS s FROM b)", f'{c} filled: f', f'{c} fill_pct: round(f::DOUBLE / n * 100, 2)', f'{c} spend_pct: round(s::DOUBLE / t::DOUBLE * 100, 2)') for c in _SUMMED)}
+UNION ALL SELECT 'date_pivot', y || ' m' || lpad(k::VARCHAR, 2, '0'), {_CENTS.format('sum(s) FILTER (WHERE m = k)')} FROM mo, range(1, 13) x(k) GROUP BY y, k
+UNION ALL {_figures('bifurcation', 'b', *(f"{n}: {_CENTS.format(f'sum(total_spend) FILTER (WHERE {w})')}" for n, w in (('positive', 'total_spend > 0'), ('negative', 'total_spend < 0'), ('net', 'true'))), 'rows: count(*)')}
+UNION ALL {_figures('pareto', 'pa', ' suppliers: suppliers', ' total_spend: total_spend', ' transactions: transactions', ' pairs: pairs', prefix='p || ')}
+UNION ALL {_figures('description_quality', 'tx', 'rows: sum(n)', 'unique_values: count(*)', "one_word: coalesce(sum(n) FILTER (WHERE v NOT LIKE '% %'), 0)", "multi_word: coalesce(sum(n) FILTER (WHERE v LIKE '% %'), 0)", 'proxies: 0 * count(*)', "alphanumeric: coalesce(sum(n) FILTER (WHERE regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')), 0)", 'avg_chars: round(sum(length(v) * n)::DOUBLE / sum(n), 2)')}"""
+
+
+def original_fill_rates(spark: SparkSession, sf: str) -> DataFrame:
+    bills = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("term"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amt"))
+    return typed.original_fill({"messy": (messy(spark, sf), {"amount": "total_spend"}), "bills": (bills, {"amt": "total_spend"})}, {"ccy": "Currency Code"})
+
+
+_MESSY = ["id", "d", "file", "supplier", "country", "term", "plant", "amount", "ccy", "date_text", "key_text"]
+ORIGINAL_SQL = MESSY + f""", a(raw, x) AS (VALUES ('1,234.50', 1234.5), ('$99', 99), ('1e3', 1000), ('-7', -7), ('12 000', 12000), ('00042', 42)), k AS (SELECT m.*, coalesce(x, 0)::DOUBLE AS s FROM m LEFT JOIN a ON raw = amount),
+e AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {i} AS place, count(*) FILTER (WHERE trim({c}::VARCHAR) <> '') AS f, sum(s) FILTER (WHERE trim({c}::VARCHAR) <> '') AS cov FROM k" for i, c in enumerate(_MESSY))}
+  UNION ALL SELECT 'term', 5, count(*), sum(o_totalprice) FROM orders UNION ALL SELECT 'amt', 11, count(*), sum(o_totalprice) FROM orders),
+w AS (SELECT (SELECT count(*) FROM m) + (SELECT count(*) FROM orders) AS n, (SELECT sum(s) FROM k) + (SELECT sum(o_totalprice) FROM orders) AS t)
+SELECT CASE col WHEN 'ccy' THEN 'Currency Code' ELSE col END AS column_name, col AS source_column, place::INT AS place, round(sum(f)::DOUBLE / any_value(n) * 100, 1) AS fill_rate, round(sum(cov) / any_value(t) * 100, 1) AS spend_coverage FROM e, w GROUP BY col, place"""
+
 QUERIES = {
     "common_columns": (common_columns, COMMON_SQL), "match_keys_ranked": (ranked_keys, KEYS_SQL), "regions_inferred": (regions_inferred, REGIONS_SQL),
     "date_metrics_by_file": (date_metrics_by_file, DATES_SQL), "fx_workbook_rates": (fx_workbook_rates, FX_SQL),
     "analysis_scores": (analysis_scores, SCORES_SQL), "append_written": (append_written, APPEND_SQL), "header_match_tiers": (header_match_tiers, TIERS_SQL), "view_feasibility": (view_feasibility, FEASIBLE_SQL),
+    "executive_figures": (executive_figures, FIGURES_SQL), "original_fill_rates": (original_fill_rates, ORIGINAL_SQL),
     "feasibility_registry": (feasibility_registry, REGISTRY_SQL), "header_jaccard": (header_jaccard, JACCARD_SQL),
 }

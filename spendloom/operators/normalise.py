@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendloom.functions import columns as C
 from spendloom.functions import constants as K
 from spendloom.functions import dates
-from spendloom.operators import clean, nearnames
+from spendloom.operators import clean, headers, nearnames
 
 
 def dmy_votes(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -146,6 +146,29 @@ def supplier_clusters(df: DataFrame, column: str, threshold: float = 0.9) -> Dat
     return named.join(nearnames.canonical(named, "cleaned", threshold), "cleaned").select("supplier", "cleaned", "canonical")
 
 
+def suppliers(df: DataFrame, column: str, threshold: float = 0.9, new: str | None = None) -> DataFrame:
+    """df with the standard name of each row's supplier behind its column.
+
+    Names are cleaned and clustered as distinct values and joined back; what has no name keeps its
+    text. A hot supplier is one row of the map, which Spark broadcasts where it is small.
+    """
+    known = supplier_clusters(df, column, threshold).select(F.col("supplier").alias("_name"), F.col("canonical").alias("_standard"))
+    joined = df.withColumn("_trimmed", F.trim(C.text(column))).join(known, F.col("_trimmed") == F.col("_name"), "left")
+    return clean.place_after(joined, column, new or f"{column}_norm", F.coalesce("_standard", C.text(column))).drop("_trimmed", "_name", "_standard")
+
+
+def all_dates(df: DataFrame, by: str, reference_year: int = 2024) -> DataFrame:
+    """df with every date column, told by its name, parsed into a column behind it.
+
+    Each column is read in the order of day and month that its file votes for. The columns are found by
+    `headers.date_columns`; a table without one is returned as it is.
+    """
+    for column in headers.date_columns([c for c in df.columns if c != by]):
+        parsed = dates_by_file(df, column, by, "_parsed", reference_year)
+        df = clean.place_after(parsed, column, f"{column}_norm", F.col("_parsed")).drop("_parsed")
+    return df
+
+
 def payment_terms(df: DataFrame, column: str) -> DataFrame:
     term = C.payment_term(column)
     return df.withColumns({"term_days": term["days"], "term_discount": term["discount"], "term_doubt": ~term["known"] & C.non_blank(column)})

@@ -128,6 +128,69 @@ def keyword_spend(df: DataFrame, columns: list[str], keyword: str, spend: str) -
     return hit.agg(F.count("*").alias("rows"), _sum(F.col(spend)).alias("total_spend"))
 
 
+#: Fields that a keyword is looked for in, by the search that offers them, in the order they are shown, with their names.
+SEARCHABLE = {
+    "not procurable": {
+        "description": "Description", "po_material_description": "PO Material Description", "l1": "Spend Classification L1", "l2": "Spend Classification L2", "l3": "Spend Classification L3",
+        "l4": "Spend Classification L4", "supplier": "Vendor Name", "business_unit": "Business Unit", "plant_name": "Plant Name",
+    },
+    "intercompany": {"supplier": "Vendor Name", "vendor_country": "Vendor Country"},
+}
+
+
+def searchable(df: DataFrame, search: str) -> DataFrame:
+    """(field, shown, place, filled): the fields of a table that a search offers, and how many rows have a value there."""
+    offered = [f for f in SEARCHABLE[search] if f in df.columns]
+    counts = df.agg(*(F.count(F.when(C.non_blank(f), 1)).alias(f"n{i}") for i, f in enumerate(offered)), F.lit(1).alias("one"))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(SEARCHABLE[search][f]).alias("shown"), F.lit(i + 1).alias("place"), F.col(f"n{i}").alias("filled")) for i, f in enumerate(offered)))
+    return counts.select(F.explode(each).alias("x")).select("x.*")
+
+
+def search_spend(df: DataFrame, search: str, columns: list[str], keywords: list[str], spend: str = "total_spend") -> DataFrame:
+    """(keyword, rows, total_spend) for each keyword found in any of the columns, without regard to case; one scan for all.
+
+    The keyword is taken as it is, whatever signs it holds. Blank keywords, no columns and columns
+    that the search does not offer are refused.
+    """
+    words = [k.strip() for k in keywords]
+    if not words or not all(words):
+        raise ValueError("a keyword must not be empty")
+    if not columns or (bad := [c for c in columns if c not in SEARCHABLE[search]]):
+        raise ValueError("no column is given" if not columns else f"columns that this search does not offer: {bad}")
+    hit = lambda k: C.contains(columns, k)
+    cells = [x for i, k in enumerate(words) for x in (F.count(F.when(hit(k), 1)).alias(f"n{i}"), F.sum(F.when(hit(k), F.col(spend))).alias(f"s{i}"))]
+    each = F.array(*(F.struct(F.lit(k).alias("keyword"), F.col(f"n{i}").alias("rows"), F.round(F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("double"), 0).alias("total_spend")) for i, k in enumerate(words)))
+    return df.agg(*cells).select(F.explode(each).alias("x")).select("x.*")
+
+
+def terms_by_currency(df: DataFrame, term: str, spend: str, currency: str) -> DataFrame:
+    """(term, currency, rows, spend, term_spend, spend_pct, rows_pct): payment terms with the spend of each currency.
+
+    A term's own shares are of the spend of all terms and of all rows, also those without a
+    term; rows without a currency count in the term alone, under a null currency.
+    """
+    code = F.when(C.non_blank(currency), F.upper(F.trim(C.text(currency))))
+    name = F.when(C.non_blank(term), F.trim(C.text(term)))
+    per = df.groupBy(name.alias("term"), code.alias("currency")).agg(F.count("*").alias("rows"), F.sum(spend).alias("spend"))
+    of_term, whole = Window.partitionBy("term"), Window.partitionBy()
+    # Terms times currencies, counted already.
+    per = per.withColumns({"_all": F.sum("rows").over(whole), "_spend": F.sum(F.when(F.col("term").isNotNull(), F.col("spend"))).over(whole), "_rows": F.sum("rows").over(of_term), "_term": F.sum("spend").over(of_term)})
+    two = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)).cast("double"), 2)
+    return per.where("term IS NOT NULL").select("term", "currency", "rows", two("spend").alias("spend"), two("_term").alias("term_spend"), C.percent(F.col("_term"), F.col("_spend")).alias("spend_pct"), C.percent(F.col("_rows"), F.col("_all")).alias("rows_pct"))
+
+
+def currency_calendar(df: DataFrame, date: str, spend: str, currency: str) -> DataFrame:
+    """(year, month, label, currency, spend): every month of the years that occur by every currency that occurs, 0 where nothing was spent."""
+    code = F.upper(F.trim(C.text(currency)))
+    per = df.where(F.col(date).isNotNull() & C.non_blank(currency)).groupBy(F.year(date).alias("year"), F.month(date).alias("month"), code.alias("currency")).agg(F.sum(spend).alias("spend"))
+    per = per.where(F.col("year").between(1900, 2100))
+    # One row of at most 201 years and as many currencies as there are.
+    frame = per.agg(F.collect_set("year").alias("years"), F.collect_set("currency").alias("codes"))
+    frame = frame.select(F.explode("years").alias("year"), "codes").select("year", F.explode("codes").alias("currency")).select("year", "currency", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    label = F.concat(F.get(F.array(*map(F.lit, K.MONTHS)), F.col("month") - 1), F.lit(" "), F.col("year").cast("string"))
+    return frame.join(per, ["year", "month", "currency"], "left").select("year", "month", label.alias("label"), "currency", F.round(F.coalesce(F.col("spend"), F.lit(0)).cast("double"), 0).alias("spend"))
+
+
 def non_procurable(df: DataFrame, description: str, spend: str, currency: str, keywords: list[str] = K.NON_PROCURABLE, k: int = 5) -> DataFrame:
     """Spend on rows whose description names taxes, duties and the like, by currency."""
     pattern = "(?i)(" + "|".join(keywords) + ")"

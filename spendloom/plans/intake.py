@@ -231,10 +231,61 @@ e AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {i} AS place, count(*) FILTER (
 w AS (SELECT (SELECT count(*) FROM m) + (SELECT count(*) FROM orders) AS n, (SELECT sum(s) FROM k) + (SELECT sum(o_totalprice) FROM orders) AS t)
 SELECT CASE col WHEN 'ccy' THEN 'Currency Code' ELSE col END AS column_name, col AS source_column, place::INT AS place, round(sum(f)::DOUBLE / any_value(n) * 100, 1) AS fill_rate, round(sum(cov) / any_value(t) * 100, 1) AS spend_coverage FROM e, w GROUP BY col, place"""
 
+def suppliers_joined(spark: SparkSession, sf: str) -> DataFrame:
+    return normalise.suppliers(messy(spark, sf), "supplier").groupBy("supplier", "supplier_norm").agg(F.count("*").alias("rows"))
+
+
+SUPPLIERS_SQL = MESSY + """, n(raw, cleaned) AS (VALUES ('Acme Tools Inc.', 'Acme Tools'), ('Globex Corporation', 'Globex'), ('Initech  Holdings, LLC', 'Initech'), ('umbrella.com', 'umbrella'), ('Stark Industries Group Ltd', 'Stark Industries'), ('Wayne Co.', 'Wayne'), ('Hooli', 'Hooli'))
+SELECT supplier, cleaned AS supplier_norm, count(*) AS rows FROM m JOIN n ON raw = supplier GROUP BY ALL"""
+
+
+def all_date_columns(spark: SparkSession, sf: str) -> DataFrame:
+    df = messy(spark, sf).select("id", "file", "date_text", F.date_format("d", "MM/dd/yyyy").alias("PO Date"), "plant")
+    return normalise.all_dates(df, "file")
+
+
+ALL_DATES_SQL = MESSY + """SELECT id, file, date_text, CASE WHEN id % 7 <> 6 THEN d END AS date_text_norm, strftime(d, '%m/%d/%Y') AS "PO Date", d AS "PO Date_norm", plant FROM m"""
+
+
+def searchable_fields(spark: SparkSession, sf: str) -> DataFrame:
+    df = spend(spark, sf, "supplier", "part")
+    return panels.searchable(df, "not procurable").withColumn("search", F.lit("not procurable")).union(panels.searchable(df, "intercompany").withColumn("search", F.lit("intercompany")))
+
+
+SEARCHABLE_SQL = BASE + """SELECT field, shown, place, n AS filled, "search" FROM (SELECT count(*) AS n FROM b), (VALUES ('description', 'Description', 1, 'not procurable'), ('l1', 'Spend Classification L1', 2, 'not procurable'), ('l2', 'Spend Classification L2', 3, 'not procurable'),
+  ('l3', 'Spend Classification L3', 4, 'not procurable'), ('supplier', 'Vendor Name', 5, 'not procurable'), ('supplier', 'Vendor Name', 1, 'intercompany'), ('vendor_country', 'Vendor Country', 2, 'intercompany')) t(field, shown, place, "search")"""
+
+
+def intercompany_search(spark: SparkSession, sf: str) -> DataFrame:
+    return panels.search_spend(spend(spark, sf, "supplier"), "intercompany", ["supplier", "vendor_country"], ["united", "Supplier#00000000", "%", " GERM "])
+
+
+INTERCOMPANY_SQL = BASE + """SELECT k AS keyword, count(*) FILTER (WHERE hit) AS rows, round(coalesce(sum(total_spend) FILTER (WHERE hit), 0)::DOUBLE, 0) AS total_spend
+FROM (SELECT k, total_spend, contains(lower(supplier), lower(k)) OR contains(lower(vendor_country), lower(k)) AS hit FROM b, (VALUES ('united'), ('Supplier#00000000'), ('%'), ('GERM')) w(k)) GROUP BY k"""
+
+
+def terms_by_currency(spark: SparkSession, sf: str) -> DataFrame:
+    return panels.terms_by_currency(spend(spark, sf, "supplier", "orders"), "term", "local_spend", "currency")
+
+
+TERMS_SQL = BASE + """, p AS (SELECT term, currency, count(*) AS rows, sum(local_spend) AS s FROM b GROUP BY ALL)
+SELECT term, currency, rows, round(s::DOUBLE, 2) AS spend, round((sum(s) OVER t)::DOUBLE, 2) AS term_spend, round((sum(s) OVER t)::DOUBLE / (sum(s) OVER ())::DOUBLE * 100, 2) AS spend_pct, round((sum(rows) OVER t)::DOUBLE / (sum(rows) OVER ())::DOUBLE * 100, 2) AS rows_pct FROM p WINDOW t AS (PARTITION BY term)"""
+
+
+def currency_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    return panels.currency_calendar(spend(spark, sf, "supplier"), "invoice_date", "local_spend", "currency")
+
+
+CALENDAR_SQL = BASE + """, p AS (SELECT year(invoice_date) AS y, month(invoice_date) AS m, currency, sum(local_spend) AS s FROM b GROUP BY ALL)
+SELECT f.y::INT AS year, f.k::INT AS month, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][f.k] || ' ' || f.y AS label, f.c AS currency, round(coalesce(s, 0)::DOUBLE, 0) AS spend
+FROM (SELECT y, k, c FROM (SELECT DISTINCT y FROM p), range(1, 13) r(k), (SELECT DISTINCT currency AS c FROM p)) f LEFT JOIN p ON p.y = f.y AND p.m = f.k AND p.currency = f.c"""
+
 QUERIES = {
     "common_columns": (common_columns, COMMON_SQL), "match_keys_ranked": (ranked_keys, KEYS_SQL), "regions_inferred": (regions_inferred, REGIONS_SQL),
     "date_metrics_by_file": (date_metrics_by_file, DATES_SQL), "fx_workbook_rates": (fx_workbook_rates, FX_SQL),
     "analysis_scores": (analysis_scores, SCORES_SQL), "append_written": (append_written, APPEND_SQL), "header_match_tiers": (header_match_tiers, TIERS_SQL), "view_feasibility": (view_feasibility, FEASIBLE_SQL),
+    "suppliers_joined": (suppliers_joined, SUPPLIERS_SQL), "all_date_columns": (all_date_columns, ALL_DATES_SQL), "searchable_fields": (searchable_fields, SEARCHABLE_SQL), "intercompany_search": (intercompany_search, INTERCOMPANY_SQL),
+    "terms_by_currency": (terms_by_currency, TERMS_SQL), "currency_calendar": (currency_calendar, CALENDAR_SQL),
     "executive_figures": (executive_figures, FIGURES_SQL), "original_fill_rates": (original_fill_rates, ORIGINAL_SQL),
     "feasibility_registry": (feasibility_registry, REGISTRY_SQL), "header_jaccard": (header_jaccard, JACCARD_SQL),
 }

@@ -8,10 +8,15 @@ themselves on language and term, and the differences are summed for each pair of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendloom.llm import tables
+from spendloom.llm.textblock import LOWER, tidy
 
 #: Documents of a language that must hold a term.
 LEAST_DOCS = 3
@@ -21,6 +26,10 @@ TOP_TERMS = 200
 UNIT = 1_000_000_000
 
 TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms: a text is split there, which finds the same terms.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Counts up to it are multiplied as whole numbers, larger ones as decimals.
+LARGE = 9_000_000_000
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 ORACLE_SQL = rf"""
@@ -53,20 +62,37 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 def _share(count: Column, size: Column, terms: Column) -> Column:
     """1 + floor(UNIT * (count + 1) / (size + terms)), exact for counts of any size."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return F.lit(1) + F.call_function("div", (wide(count) + 1) * F.lit(UNIT), wide(size) + wide(terms))
+    large = F.call_function("div", (wide(count) + 1) * F.lit(UNIT), wide(size) + wide(terms))
+    return F.lit(1) + F.when(count < LARGE, F.call_function("div", (count + 1) * F.lit(UNIT).cast("long"), size + terms)).otherwise(large)
 
 
 def _distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _lowered(docs: DataFrame) -> DataFrame:
+    """docs with A-Z of the text in lower case: one table look-up over the bytes of a batch, where `translate` takes each character apart."""
+    place = docs.columns.index("text")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(place)
+            valid, offsets, data = text.buffers()
+            lower = pa.py_buffer(LOWER[np.frombuffer(data, np.uint8)]) if data else data
+            text = pa.Array.from_buffers(text.type, len(text), [valid, offsets, lower], offset=text.offset)
+            yield pa.RecordBatch.from_arrays([text if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n occurrences, docs that hold it)."""
-    words = docs.select("lang", "source", F.sort_array(F.regexp_extract_all(F.translate("text", *_AZ), F.lit(TERMS), F.lit(0))).alias("words"))
+    words = _lowered(docs).select("lang", "source", F.sort_array(F.split("text", BETWEEN)).alias("words"))
     # In sorted order a document's first occurrence of a term stands behind another term.
     before = F.concat(F.array(F.lit(None).cast("string")), F.col("words"))
     marked = F.zip_with("words", before, lambda w, b: F.struct(w.alias("term"), F.when(w == b, 0).otherwise(1).alias("first")))
-    return words.select("lang", "source", F.explode(marked).alias("w")).where("w.term is not null").groupBy("lang", "source", "w.term").agg(F.count("*").alias("n"), F.sum("w.first").alias("docs"))
+    return words.select("lang", "source", F.explode(marked).alias("w")).where("w.term <> ''").groupBy("lang", "source", "w.term").agg(F.count("*").alias("n"), F.sum("w.first").alias("docs"))
 
 
 def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
@@ -96,10 +122,18 @@ def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lead = found.where("lead").select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(salts)).alias("salt"))
     crossed = lead.join(groups.select("lang", "source", "size", "terms", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")), ["lang", "salt"])
-    dense = crossed.join(found.select("lang", "term", "source", "n"), ["lang", "term", "source"], "left")
+    dense = crossed.join(found.select("lang", "term", "source", "n").hint("shuffle_hash"), ["lang", "term", "source"], "left")
     dense = dense.select("lang", "term", "source", _share(F.coalesce("n", F.lit(0)), F.col("size"), F.col("terms")).alias("p"))
+    # All of a term lies in one bucket already: neither the join nor the table moves a row.
+    with tables.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        dense = tables.bucketed(dense, "dense", "lang", "term", dealt=True)
+    # Two sources meet once and are measured both ways. A sum of distances stays under that of
+    # all squared shares, so under (UNIT + terms)^2, which a long holds.
     other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    sums = dense.join(other, ["lang", "term"]).where(F.col("source") != F.col("item")).groupBy("lang", "source", "item").agg(F.sum(_distance(F.col("p"), F.col("q")).cast("decimal(20,0)")).cast("long").alias("value"))
+    there, back = _distance(F.col("p"), F.col("q")), _distance(F.col("q"), F.col("p"))
+    sums = dense.join(other.hint("shuffle_hash"), ["lang", "term"]).where(F.col("source") < F.col("item")).groupBy("lang", "source", "item").agg(F.sum(there).alias("there"), F.sum(back).alias("back"))
+    turned = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    sums = sums.select("lang", F.explode(turned).alias("x")).select("lang", "x.source", "x.item", "x.value")
     # With no kept term in a language there is nothing to join, and its pairs are zero.
     bare = groups.where("terms = 0").select("lang", "source")
     bare = bare.join(bare.withColumnRenamed("source", "item"), "lang").where(F.col("source") != F.col("item")).select("lang", "source", "item", F.lit(0).cast("long").alias("value"))

@@ -60,12 +60,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    """As stage(), dealt into buckets of columns: joins on them move the other side only."""
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is computed inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def bucketed(df: DataFrame, name: str, *columns: str, dealt: bool = False) -> DataFrame:
+    """As stage(), dealt into buckets of columns: joins on them move the other side only.
+
+    dealt: df comes from a table in such buckets, and its rows need not move.
+    """
     spark = df.sparkSession
     buckets, mark = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
     path, table = f"{shipping.shared_dir(spark)}/{name}-{mark}", f"staged_{mark}"
-    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).option("path", path).option("compression", "zstd").saveAsTable(table)
+    (df if dealt else df.repartition(buckets, *columns)).write.bucketBy(buckets, *columns).option("path", path).option("compression", "zstd").saveAsTable(table)
     _staged[_scope[-1]].append(path)
     _tables[_scope[-1]].append(table)
     return spark.table(table)

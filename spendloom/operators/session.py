@@ -70,7 +70,7 @@ class Session:
         return self.spark.catalog.tableExists(self._full(name))
 
     def names(self) -> list[str]:
-        return sorted(t.description or t.name for t in self.spark.catalog.listTables(self.space))
+        return sorted(t.description or t.name for t in self.spark.catalog.listTables(self.space) if not t.isTemporary)
 
     def drop(self, *names: str) -> None:
         """All or nothing: an unknown name drops none."""

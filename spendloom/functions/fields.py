@@ -13,6 +13,33 @@ FIELD_NAMES = {
     "vendor_country": "Vendor Country", "supplier": "Vendor Name",
 }
 
+#: Other spellings of the standard fields, besides the names they are shown under.
+FIELD_ALIASES = {
+    "business_unit": ["BU", "Division", "Business Area"], "contract_end_date": ["Contract Expiry Date", "Contract Expiration"],
+    "contract_id": ["Contract Number", "Contract Ref", "Agreement ID"], "contract_indicator": ["Contract Flag", "Has Contract", "Contract Y/N"],
+    "contract_start_date": ["Contract Effective Date", "Contract Begin Date"], "contract_status": ["Contract State", "Agreement Status"],
+    "description": ["Invoice Description", "Material Description", "GL Account Description", "Item Description", "Line Description", "PO Material Description", "Product Description", "Service Description"],
+    "goods_receipt_date": ["GR Date", "Delivery Date", "Receipt Date"], "invoice_date": ["Inv Date", "Billing Date", "Transaction Date"], "invoice_due_date": ["Due Date", "Payment Due Date", "Inv Due Date"],
+    "invoice_number": ["Invoice No", "Invoice #", "Invoice ID", "Inv Number"], "invoice_po_number": ["PO Number", "PO #", "Purchase Order Number", "PO Ref"],
+    "payment_date": ["Pay Date", "Date Paid", "Clearing Date"], "payment_terms": ["Pay Terms", "Terms of Payment", "Payment Condition"],
+    "plant_code": ["Plant ID", "Plant No", "Facility Code", "Site Code"], "country": ["Country", "Company Country", "Plant Country"], "plant_name": ["Plant Description", "Facility Name", "Site Name"],
+    "po_document_date": ["PO Date", "Order Date", "Purchase Order Date"], "po_material_number": ["Material Number", "Material Code", "Item Number", "Material ID"],
+    "po_material_description": ["PO Description", "Purchase Order Description", "PO Line Description", "PO Text"], "price_per_uom": ["Unit Price", "Price per Unit", "PO Unit Price"],
+    "quantity": ["Invoice Line Number Quantity", "Invoice Quantity", "Line Qty", "Billed Quantity", "Order Quantity", "Qty"], "region": ["Geographic Region", "Sales Region", "Market Region"],
+    "l1": ["Category Level 1", "L1", "Category 1", "Segment"], "l2": ["Category Level 2", "L2", "Category 2", "Family", "Sub-category"], "l3": ["Category Level 3", "L3", "Category 3", "Class", "Commodity"],
+    "l4": ["Category Level 4", "L4", "Category 4", "Sub-class"], "local_spend": ["Local Spend Amount", "Local Spend", "Invoice Amount"],
+    "currency": ["Currency", "Invoice Currency", "Currency Code", "Local Currency"], "total_spend": ["Total Spend (USD)", "Total Spend", "Reporting Currency Amount"],
+    "uom": ["Invoice Line Number Quantity UOM", "UOM", "Invoice UOM", "Line UOM", "Quantity Unit", "Unit of Measure"], "vendor_country": ["Supplier Country", "Vendor Nation"], "supplier": ["Supplier Name", "Supplier", "Vendor"],
+}
+
+#: Abbreviations in headers and what they stand for.
+ABBREVIATIONS = {
+    "amt": "amount", "amts": "amounts", "dt": "date", "dte": "date", "dts": "dates", "no": "number", "num": "number", "nm": "name", "nme": "name", "desc": "description", "descr": "description",
+    "cd": "code", "ctr": "center", "ctry": "country", "ccy": "currency", "curr": "currency", "vend": "vendor", "supp": "supplier", "inv": "invoice", "purch": "purchase", "mat": "material", "matl": "material",
+    "grp": "group", "qty": "quantity", "uom": "unit of measure", "gr": "goods receipt", "gl": "gl account", "po": "purchase order", "cc": "cost center", "bu": "business unit", "fy": "fiscal year",
+    "rc": "reporting currency", "lc": "local currency", "pc": "profit center", "ref": "reference", "pay": "payment", "bal": "balance", "fx": "currency", "exch": "exchange",
+}
+
 #: Dashboards: title and the fields each needs.
 DASHBOARDS = {
     "contract_status": ("Contract Status", ["contract_end_date", "contract_id", "contract_start_date", "local_spend", "supplier", "total_spend"]),

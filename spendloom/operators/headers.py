@@ -28,7 +28,11 @@ FIELDS = {
     "l1": ["l1", "category l1", "category level 1", "category"], "l2": ["l2", "category l2", "category level 2"], "l3": ["l3", "category l3", "category level 3"],
     "po_number": ["po number", "purchase order", "ebeln", "po no"], "quantity": ["quantity", "qty", "menge"], "unit_price": ["unit price", "price", "netpr"],
 }
-ABBREVIATIONS = {"inv": "invoice", "amt": "amount", "qty": "quantity", "desc": "description", "curr": "currency", "supp": "supplier", "vend": "vendor", "cntry": "country", "pmt": "payment", "dt": "date", "no": "number", "nr": "number"}
+#: Standard fields that the list above lacks, under their names and spellings.
+FIELDS |= {f: [n.lower() for n in (fields.FIELD_NAMES[f], *names)] for f, names in fields.FIELD_ALIASES.items() if f not in FIELDS and f not in ("country", "plant_name", "invoice_po_number", "price_per_uom")}
+ABBREVIATIONS = fields.ABBREVIATIONS | {"cntry": "country", "pmt": "payment", "nr": "number"}
+#: Shorter spellings are found within almost any header, so they count whole alone.
+LEAST_PARTIAL = 4
 JUNK = re.compile(r"^(unnamed.*|column ?\d*|field ?\d*|)$")
 LEAST_FUZZY, LEAST_ROLE = 0.62, 0.75
 
@@ -53,16 +57,48 @@ def expanded(header: str) -> str:
     return " ".join(ABBREVIATIONS.get(w, w) for w in plain(split_camel(header)).split())
 
 
+def _ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def partial(a: str, b: str) -> float:
+    """Likeness of the shorter text to the stretch of the longer one that is most like it."""
+    short, long = sorted((a, b), key=len)
+    return max((_ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1)), default=0.0) if short else 0.0
+
+
 def fuzzy(header: str, names: list[str]) -> float:
-    """Likeness of a header to a field's spellings: characters, sorted words and shared words."""
+    """Likeness of a header to a field's name (the first) and its other spellings: characters, sorted words, shared words, and the best stretch."""
     best = 0.0
-    for name in names:
+    for i, name in enumerate(names):
         a, b = {*header.split()}, {*name.split()}
-        ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
-        best = max(best, 0.7 * ratio(header, name), 0.75 * ratio(" ".join(sorted(a)), " ".join(sorted(b))), 0.7 * len(a & b) / max(len(a | b), 1))
+        best = max(best, 0.7 * _ratio(header, name), 0.75 * _ratio(" ".join(sorted(a)), " ".join(sorted(b))), 0.7 * len(a & b) / max(len(a | b), 1))
+        if min(len(header), len(name)) >= LEAST_PARTIAL:
+            best = max(best, (0.85 if i else 0.8) * partial(header, name))
     return best * (0.7 if len(header) < 4 else 1.0)
 
 
+def standard_match(columns: list[str]) -> dict[str, str]:
+    """Standard field -> the first column whose header is its name or one of its spellings, in any case; of one spelling the first field counts."""
+    known: dict[str, str] = {}
+    for field, name in fields.FIELD_NAMES.items():
+        for spelling in (name, *fields.FIELD_ALIASES[field]):
+            known.setdefault(spelling.strip().lower(), field)
+    found: dict[str, str] = {}
+    for c in columns:
+        if field := known.get(c.strip().lower()):
+            found.setdefault(field, c)
+    return found
+
+
+def standard_table(df: DataFrame) -> DataFrame:
+    """(field, shown, column, filled): every standard field, the column that holds it or null, and its rows with a value."""
+    found = standard_match(df.columns)
+    counts = df.agg(*(F.count(F.when(C.non_blank(c), 1)).alias(f) for f, c in found.items()), F.lit(1).alias("_one")).first()
+    rows = [(f, shown, found.get(f), counts[f] if f in found else 0) for f, shown in fields.FIELD_NAMES.items()]
+    return df.sparkSession.createDataFrame(rows, "field string, shown string, column string, filled long")
+
+
 def hint(samples: list[str]) -> str | None:
     """A field that the values themselves give away."""
     values = [s.strip() for s in samples if s and s.strip()]

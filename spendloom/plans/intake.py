@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendloom.functions import fields
 from spendloom.operators import assess, headers, matching, normalise, pairing, panels, shipping, typed, views
 from spendloom.plans.messy import MESSY, messy
 from spendloom.plans.spend import BASE, pick, spend, table
@@ -149,8 +150,8 @@ def header_match_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FILLED = " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) FILTER (WHERE trim({c}::VARCHAR) <> '') AS filled FROM m" for c in _UPLOADED)
-TIERS_SQL = MESSY + f""", t(header, field, tier, score, col) AS (VALUES ('EBELN', 'po_number', 'alias', 1.0::DOUBLE, 'id'), ('Inv Dt', 'invoice_date', 'abbreviation', 1.0, 'd'), ('File', NULL, 'pending', 0.375, 'file'), ('VendorName', 'supplier', 'camel', 1.0, 'supplier'),
-  ('Land1', 'vendor_country', 'alias', 1.0, 'country'), ('Payment Trms', 'payment_terms', 'fuzzy', 0.72, 'term'), ('Plnt', 'plant', 'fuzzy', 0.6667, 'plant'), ('inv amt', 'total_spend', 'abbreviation', 1.0, 'amount'), ('WAERS', 'currency', 'alias', 1.0, 'ccy'),
+TIERS_SQL = MESSY + f""", t(header, field, tier, score, col) AS (VALUES ('EBELN', 'po_number', 'alias', 1.0::DOUBLE, 'id'), ('Inv Dt', 'invoice_date', 'abbreviation', 1.0, 'd'), ('File', NULL, 'pending', 0.425, 'file'), ('VendorName', 'supplier', 'camel', 1.0, 'supplier'),
+  ('Land1', 'vendor_country', 'alias', 1.0, 'country'), ('Payment Trms', 'payment_terms', 'fuzzy', 0.7792, 'term'), ('Plnt', 'plant', 'fuzzy', 0.6667, 'plant'), ('inv amt', 'total_spend', 'abbreviation', 1.0, 'amount'), ('WAERS', 'currency', 'alias', 1.0, 'ccy'),
   ('zzz', NULL, 'pending', 0.1312, 'date_text'), ('Unnamed: 3', NULL, 'drop', 1.0, 'key_text'))
 SELECT header, field, tier, score, filled FROM t JOIN ({_FILLED}) USING (col)"""
 
@@ -280,12 +281,25 @@ CALENDAR_SQL = BASE + """, p AS (SELECT year(invoice_date) AS y, month(invoice_d
 SELECT f.y::INT AS year, f.k::INT AS month, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][f.k] || ' ' || f.y AS label, f.c AS currency, round(coalesce(s, 0)::DOUBLE, 0) AS spend
 FROM (SELECT y, k, c FROM (SELECT DISTINCT y FROM p), range(1, 13) r(k), (SELECT DISTINCT currency AS c FROM p)) f LEFT JOIN p ON p.y = f.y AND p.m = f.k AND p.currency = f.c"""
 
+_STANDARD = {"id": "PO #", "d": "inv date", "supplier": "SUPPLIER NAME", "country": " vendor nation", "term": "Pay Terms", "plant": "Site Name", "amount": "Total Spend (USD)", "ccy": "Currency Code", "date_text": "Currency", "key_text": "Material Code"}
+
+
+def standard_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return headers.standard_table(messy(spark, sf).withColumnsRenamed(_STANDARD))
+
+
+_HELD = {"invoice_po_number": "id", "invoice_date": "d", "supplier": "supplier", "vendor_country": "country", "payment_terms": "term", "plant_name": "plant", "total_spend": "amount", "currency": "ccy", "po_material_number": "key_text"}
+STANDARD_SQL = MESSY + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, '{shown}' AS shown, '{_STANDARD[_HELD[f]]}' AS \"column\", count(*) FILTER (WHERE trim({_HELD[f]}::VARCHAR) <> '') AS filled FROM m" if f in _HELD else f"SELECT '{f}', '{shown}', NULL, 0" for f, shown in sorted(fields.FIELD_NAMES.items(), key=lambda x: x[0] not in _HELD)
+)
+
 QUERIES = {
     "common_columns": (common_columns, COMMON_SQL), "match_keys_ranked": (ranked_keys, KEYS_SQL), "regions_inferred": (regions_inferred, REGIONS_SQL),
     "date_metrics_by_file": (date_metrics_by_file, DATES_SQL), "fx_workbook_rates": (fx_workbook_rates, FX_SQL),
     "analysis_scores": (analysis_scores, SCORES_SQL), "append_written": (append_written, APPEND_SQL), "header_match_tiers": (header_match_tiers, TIERS_SQL), "view_feasibility": (view_feasibility, FEASIBLE_SQL),
     "suppliers_joined": (suppliers_joined, SUPPLIERS_SQL), "all_date_columns": (all_date_columns, ALL_DATES_SQL), "searchable_fields": (searchable_fields, SEARCHABLE_SQL), "intercompany_search": (intercompany_search, INTERCOMPANY_SQL),
     "terms_by_currency": (terms_by_currency, TERMS_SQL), "currency_calendar": (currency_calendar, CALENDAR_SQL),
+    "standard_fields": (standard_fields, STANDARD_SQL),
     "executive_figures": (executive_figures, FIGURES_SQL), "original_fill_rates": (original_fill_rates, ORIGINAL_SQL),
     "feasibility_registry": (feasibility_registry, REGISTRY_SQL), "header_jaccard": (header_jaccard, JACCARD_SQL),
 }

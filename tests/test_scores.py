@@ -31,3 +31,11 @@ def test_headers_by_the_values_of_a_table(spark):
     df = spark.createDataFrame([("EUR", "2024-01-05", "n"), ("USD", "2024-02-05", None)] * 20, "c1 string, c2 string, `Vendor Name` string")
     got = {r.header: (r.field, r.tier, r.filled) for r in headers.match_table(df).collect()}
     assert got == {"c1": ("currency", "values", 40), "c2": ("invoice_date", "values", 40), "Vendor Name": ("supplier", "alias", 20)}
+
+
+def test_standard_fields_and_likeness():
+    assert headers.standard_match(["x", "VENDOR", "supplier name", "Inv Due Date", "gl account description", " UOM "]) == {"supplier": "VENDOR", "invoice_due_date": "Inv Due Date", "description": "gl account description", "uom": " UOM "}
+    assert headers.partial("terms", "payment terms of") == 1 and headers.partial("", "x") == 0
+    found = {m.header: (m.field, m.tier) for m in headers.match_all(["the payment date is", "Vend Nm", "contract state", "GR Date", "vol1"])}
+    assert found["the payment date is"] == ("payment_date", "fuzzy") and found["contract state"] == ("contract_status", "alias") and found["GR Date"] == ("goods_receipt_date", "alias")
+    assert found["Vend Nm"] == ("supplier", "abbreviation") and found["vol1"][0] is None

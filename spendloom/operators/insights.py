@@ -12,6 +12,7 @@ from spendloom.functions import constants as K
 from spendloom.functions import dates
 from spendloom.functions import fields
 from spendloom.operators import profile
+from spendloom.operators.panels import seeded
 from spendloom.operators.running import leading
 
 
@@ -129,4 +130,4 @@ def merge_priorities(overlaps: DataFrame, fact: str) -> DataFrame:
 def sample_of_leaders(df: DataFrame, description: str, spend: str, n: int = 100, percent: float = 80, seed: int = 7) -> DataFrame:
     """n of the descriptions that together reach percent of spend, in a seeded random order; a sampling operator."""
     per = df.where(C.non_blank(description)).groupBy(F.trim(C.text(description)).alias("description")).agg(F.sum(spend).alias("spend"))
-    return leading(per, "spend", "description", percent).orderBy(F.xxhash64("description", F.lit(seed)), "description").limit(n).select("description")
+    return leading(per, "spend", "description", percent).orderBy(seeded("description", seed), "description").limit(n).select("description")

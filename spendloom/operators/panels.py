@@ -232,10 +232,15 @@ def _effort_of(pairs: DataFrame) -> DataFrame:
     return out.select("rows", "pairs", F.round(F.col("chars") / F.col("rows"), 2).alias("avg_chars"), F.round(F.col("words") / F.col("rows"), 2).alias("avg_words"), F.round(cost, 4).alias("cost_usd"), F.when(F.col("rows") > LARGE_ROWS, "large").otherwise("small").alias("method"))
 
 
+def seeded(c: str, seed: int) -> Column:
+    """What puts values in a seeded random order, the same for any partitioning."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(c)))
+
+
 def sample_descriptions(df: DataFrame, description: str, n: int, seed: int = 7) -> DataFrame:
     """n distinct descriptions in a seeded random order that does not hang on partitions; a sampling operator."""
     distinct = df.where(C.non_blank(description)).select(F.trim(description).alias("description")).distinct()
-    return distinct.orderBy(F.xxhash64("description", F.lit(seed)), "description").limit(n)
+    return distinct.orderBy(seeded("description", seed), "description").limit(n)
 
 
 def cohort_descriptions(df: DataFrame, supplier: str, description: str, spend: str, n: int = 1000, percent: float = 80, seed: int = 7) -> DataFrame:
@@ -247,7 +252,7 @@ def cohort_descriptions(df: DataFrame, supplier: str, description: str, spend: s
     leaders = cohort(df, supplier, spend, percent).select(F.col("supplier").alias("_leader"))
     told = df.where(C.non_blank(description)).select(F.trim(C.text(supplier)).alias("_supplier"), F.trim(C.text(description)).alias("description"))
     mine = told.join(leaders, F.col("_supplier") == F.col("_leader"), "left_semi").select("description").distinct()
-    return mine.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "description")), "description").limit(n)
+    return mine.orderBy(seeded("description", seed), "description").limit(n)
 
 
 def diverse_samples(df: DataFrame, column: str, per_shape: int = 2) -> DataFrame:

@@ -135,7 +135,7 @@ SELECT sum(n)::BIGINT AS rows, count(*) AS pairs, round(sum(length(v) * n) / sum
   round(sum(length(v)) / 4 * 2.5 / 1e6 + count(*) * 20 * 10.0 / 1e6, 4) AS cost_usd, CASE WHEN sum(n) > 400000 THEN 'large' ELSE 'small' END AS method FROM p""",
 )
 _add("cohort_descriptions", _on_spend("supplier", "part")(lambda b: panels.cohort_descriptions(b, "supplier", "description", "total_spend")), BASE + _RANKED + f"SELECT description FROM (SELECT DISTINCT trim(description) AS description FROM b WHERE supplier IN (SELECT supplier FROM r {_CUT.format(80)})) ORDER BY md5('7:' || description), description LIMIT 1000")
-_add("sample_descriptions", _on_spend("part")(lambda b: panels.sample_descriptions(b, "description", 20)))
+_add("sample_descriptions", _on_spend("part")(lambda b: panels.sample_descriptions(b, "description", 20)), BASE + "SELECT description FROM (SELECT DISTINCT trim(description) AS description FROM b) ORDER BY md5('7:' || description), description LIMIT 20")
 _add("diverse_date_samples", lambda spark, sf: panels.diverse_samples(messy(spark, sf), "date_text"), MESSY + """, s AS (SELECT DISTINCT regexp_replace(regexp_replace(trim(date_text), '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g') AS shape, trim(date_text) AS value FROM m)
 SELECT shape, value FROM s QUALIFY row_number() OVER (PARTITION BY shape ORDER BY value) <= 2""")
 
@@ -408,6 +408,7 @@ _add(
 )
 _add(
     "sample_of_leaders", lambda spark, sf: insights.sample_of_leaders(S.spend(spark, sf, "part"), "description", "total_spend"),
+    BASE + _RANKED.replace("supplier", "description") + f"SELECT description FROM r {_CUT.format(80)} ORDER BY md5('7:' || description), description LIMIT 100",
 )
 _add("derived_column_placed", lambda spark, sf: clean.place_after(messy(spark, sf), "supplier", "supplier_norm", C.supplier_name("supplier")).select("id", "supplier_norm").groupBy("supplier_norm").agg(F.count("*").alias("rows")), MESSY + """, n(raw, cleaned) AS (VALUES ('Acme Tools Inc.', 'Acme Tools'), ('Globex Corporation', 'Globex'), ('Initech  Holdings, LLC', 'Initech'), ('umbrella.com', 'umbrella'), ('Stark Industries Group Ltd', 'Stark Industries'), ('Wayne Co.', 'Wayne'), ('Hooli', 'Hooli'))
 SELECT cleaned AS supplier_norm, count(*) AS rows FROM m JOIN n ON raw = supplier GROUP BY ALL""")

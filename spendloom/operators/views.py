@@ -137,3 +137,20 @@ def compute_views(df: DataFrame, wanted: list[str]) -> dict[str, DataFrame | Exc
         except Exception as failed:  # noqa: BLE001
             out[name] = failed
     return out
+
+
+def write_views(df: DataFrame, wanted: list[str], path: str) -> dict[str, str | Exception]:
+    """Write each view as Parquet in a folder of its name: where it lies, or why it failed.
+
+    A view that cannot be planned or that fails as it runs leaves the others alone.
+    """
+    out: dict[str, str | Exception] = {}
+    for name, view in compute_views(df, wanted).items():
+        try:
+            if isinstance(view, Exception):
+                raise view
+            view.write.mode("overwrite").parquet(f"{path}/{name}")
+            out[name] = f"{path}/{name}"
+        except Exception as failed:  # noqa: BLE001
+            out[name] = failed
+    return out

@@ -39,3 +39,10 @@ def test_standard_fields_and_likeness():
     found = {m.header: (m.field, m.tier) for m in headers.match_all(["the payment date is", "Vend Nm", "contract state", "GR Date", "vol1"])}
     assert found["the payment date is"] == ("payment_date", "fuzzy") and found["contract state"] == ("contract_status", "alias") and found["GR Date"] == ("goods_receipt_date", "alias")
     assert found["Vend Nm"] == ("supplier", "abbreviation") and found["vol1"][0] is None
+
+
+def test_a_view_that_fails_as_it_runs_leaves_the_others(spark, tmp_path):
+    df = spark.sql("SELECT DATE'2024-01-05' AS invoice_date, 2 AS total_spend, if(id = 1, raise_error('bad row'), 'x') AS supplier, 'DE' AS vendor_country FROM range(3)")
+    found = views.write_views(df, ["spend_over_time", "supplier_ranking", "country_spend", "l1_spend"], str(tmp_path))
+    assert isinstance(found["supplier_ranking"], Exception) and "bad row" in str(found["supplier_ranking"]) and isinstance(found["l1_spend"], Exception)
+    assert spark.read.parquet(found["spend_over_time"]).count() == 1 and spark.read.parquet(found["country_spend"]).count() == 1

@@ -19,6 +19,8 @@ import tiktoken
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, PreTokenizer
 
+from spendloom.llm.textblock import emptied
+
 #: Distinct merged pre-tokens that a worker remembers beside the proven ones.
 REMEMBERED = 400_000
 
@@ -159,3 +161,6 @@ class Bpe:
 @lru_cache(4)
 def load(path: str) -> Bpe:
     return Bpe(path)
+
+
+emptied.append(load.cache_clear)

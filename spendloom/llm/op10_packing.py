@@ -30,7 +30,7 @@ RANKED = 1 << 18
 def pieces(docs: DataFrame, path: str, size: int, id_column: str, text_column: str) -> DataFrame:
     """Token pieces of at most `size`: whole documents, or cuts of longer ones; `spread` counts a task's pieces."""
 
-    @tidy
+    @tidy(keeps=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end, done = bpe.load(path), np.array([END_ID], "<u4").tobytes(), 0
         for batch in batches:

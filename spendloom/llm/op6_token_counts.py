@@ -28,7 +28,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_column: str
     handled as the library's default does.
     """
 
-    @tidy
+    @tidy(keeps=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(path)
         for batch in batches:

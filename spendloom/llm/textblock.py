@@ -31,6 +31,9 @@ LOWER[0x41:0x5B] += 32
 
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
+#: What empties the large tables a worker keeps from task to task.
+emptied: list[Callable[[], None]] = []
+
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2^64."""
@@ -69,18 +72,34 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return span_hashes(values, at, at + k)
 
 
+def let_go() -> None:
+    """Empty the large tables of this worker."""
+    for empty in emptied:
+        empty()
+
+
 def hand_back() -> None:
-    """Give memory that is free but held by the allocators back to the machine."""
+    """Give memory that is free but held by the allocators back to the machine, with the powers of very long texts."""
+    if len(_powers[0]) > BLOCK_BYTES + 1:
+        _powers[:] = [np.ones(1, _U), np.ones(1, _U)]
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
-def tidy(run: Callable) -> Callable:
-    """A function over batches that hands its free memory back when a task ends: Spark keeps its workers."""
+def tidy(run: Callable | None = None, *, keeps: bool = False) -> Callable:
+    """A function over batches that hands its free memory back when a task ends: Spark keeps its workers.
+
+    keeps: it uses the large tables of its worker; any other function empties them first.
+    What is wrapped is sent to the workers by value, so it calls functions of this module alone.
+    """
+    if run is None:
+        return functools.partial(tidy, keeps=keeps)
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        if not keeps:
+            let_go()
         try:
             yield from run(batches)
         finally:

@@ -49,3 +49,15 @@ def test_the_registered_names(spark, sf_dir):
     assert {r["cleaned"]: r["canonical"] for r in got} == want and len(want) > 20
     assert sorted(r["supplier"] for r in got) == sorted({r[0] for r in names.select(F.trim("supplier")).collect()})
     assert normalise.supplier_clusters(names.limit(0), "supplier").count() == 0
+
+
+def test_numbered_names_meet_only_where_they_are_near(spark):
+    names = sorted({f"supplier#{i * 37:09d}" for i in range(600)} | {f"spuplier#{i * 37:09d}" for i in range(0, 600, 3)} | {"supplie#000000037", "stark industries"})
+    table = spark.createDataFrame(list(enumerate(names)), "id long, low string")
+    sizes = tuple(sorted({len(n) for n in names}))
+    near = {(a, b) for b in range(len(names)) for a in range(b) if nearnames.common(names[a], names[b]) >= nearnames.least(len(names[a]), len(names[b]), 0.9)}
+    met = [tuple(r) for r in nearnames._met_by_remains(table, sizes, 0.9).collect()]
+    # by two-letter grams nearly all of them met
+    assert len(met) == len(near) and {*met} == near and 100 < len(near) < len(names) ** 2 / 20
+    assert {tuple(r) for r in nearnames.pairs(table, 0.9).collect()} == {(a, b) for a, b in near if nearnames.near(names[a], names[b], 0.9)}
+    assert {r["leader"] for r in nearnames.leaders(table.select("low"), 0.9, 50).collect()} == {v.lower() for v in walk(names, 0.9).values()}

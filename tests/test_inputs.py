@@ -126,3 +126,14 @@ def test_other_spellings_of_countries(spark):
     df = spark.createDataFrame([(s.title() if i % 2 else s,) for i, s in enumerate(constants.COUNTRY_ALIASES)], "c string")
     got = {r.c.upper(): r.country for r in normalise.countries(df, "c").collect()}
     assert got == constants.COUNTRY_ALIASES
+
+
+def test_repeated_dates_are_parsed_once(spark):
+    from datetime import date
+
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", "03/04/2020" if i % 3 else "25/12/2021") for i in range(12)] + [(12, None, "03/04/2020"), (13, "c", "04/25/2020"), (14, "c", "03/04/2020"), (15, "a", None), (16, "a", "none")], "i int, f string, x string")
+    got = normalise.dates_by_file(df.withColumn("p", F.lit("old")), "x", "f", "p")
+    # the rows themselves are only joined: no part of a date is cut out of each
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString().partition("Join")[0] and got.columns == ["i", "f", "x", "p"]
+    want = {i: date(2020, 4, 3) if i % 3 else date(2021, 12, 25) for i in range(12)} | {12: None, 13: date(2020, 4, 25), 14: date(2020, 3, 4), 15: None, 16: None}
+    assert {r["i"]: r["p"] for r in got.collect()} == want and got.count() == 17

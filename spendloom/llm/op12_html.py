@@ -213,10 +213,10 @@ class Page:
 
 
 def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's article, else of its main part, else of all branches but the low ones."""
+    """The blocks of the page's article, else of its main part, else of all branches; the low ones leave each."""
     blocks = Page(html).blocks
     kept = max((what for _, what, _ in blocks), default=OPEN)
-    return "\n\n".join(text for node, what, text in blocks if what == kept and (kept != OPEN or node not in low))
+    return "\n\n".join(text for node, what, text in blocks if what == kept and node not in low)
 
 
 def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -76,3 +76,10 @@ def test_edges(spark):
     got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in op.extract(docs).collect())
     assert got == sorted([("None", "None", "", 0), ("1", "None", "a", 1), ("1", "no host", "b", 1), ("2", "http://h.example/", "", 0), ("2", "http://h.example/", "", 0), ("3", "http://h.example/", "c", 1), ("3", "http://h.example/", "c", 1)])
     assert op.extract(docs.limit(0)).collect() == []
+
+
+def test_entropy_cuts_inside_an_article_too(spark):
+    page = "<article><h1>Title {0}</h1><p>Text of page {0}.</p><div class=\"legal\">All rights reserved.</div></article>"
+    pages = spark.createDataFrame([(i, f"http://one.example/{i}", page.format(i)) for i in range(6)] + [(9, "http://two.example/", page.format(9))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in op.extract(pages).collect()}
+    assert got == {i: f"Title {i}\n\nText of page {i}." for i in range(6)} | {9: "Title 9\n\nText of page 9.\n\nAll rights reserved."}

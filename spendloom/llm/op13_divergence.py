@@ -1,7 +1,7 @@
 """Source divergence audit: how far each source's use of words lies from others of its language.
 
-Plain relational. Terms are exploded, counted per (lang, source, term), and kept where enough
-documents of the language have them. Groups crossed with the kept terms of their language give
+Plain relational. Terms are counted per (lang, source, term), in blocks of texts first, and kept
+where enough documents of the language have them. Groups crossed with the kept terms of their language give
 every group a share for every term, also for those it lacks; these dense shares join with
 themselves on language and term, and the differences are summed for each pair of sources.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendloom.llm import tables
-from spendloom.llm.textblock import LOWER, tidy
+from spendloom.llm.textblock import blocks, tidy
 
 #: Documents of a language that must hold a term.
 LEAST_DOCS = 3
@@ -26,8 +26,11 @@ TOP_TERMS = 200
 UNIT = 1_000_000_000
 
 TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: What stands between terms: a text is split there, which finds the same terms.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same on UTF-8 bytes after A-Z became a-z.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Bytes of text that are counted together; a longer one is counted alone.
+BLOCK = 1 << 22
 #: Counts up to it are multiplied as whole numbers, larger ones as decimals.
 LARGE = 9_000_000_000
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,29 +73,40 @@ def _distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    """docs with A-Z of the text in lower case: one table look-up over the bytes of a batch, where `translate` takes each character apart."""
-    place = docs.columns.index("text")
+def _counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n occurrences, docs that hold it) of docs (lang, source, text).
+
+    Each block of documents is counted by itself before its rows meet those of other blocks: a
+    term of a group leaves it as one row.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(place)
-            valid, offsets, data = text.buffers()
-            lower = pa.py_buffer(LOWER[np.frombuffer(data, np.uint8)]) if data else data
-            text = pa.Array.from_buffers(text.type, len(text), [valid, offsets, lower], offset=text.offset)
-            yield pa.RecordBatch.from_arrays([text if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n occurrences, docs that hold it)."""
-    words = _lowered(docs).select("lang", "source", F.sort_array(F.split("text", BETWEEN)).alias("words"))
-    # In sorted order a document's first occurrence of a term stands behind another term.
-    before = F.concat(F.array(F.lit(None).cast("string")), F.col("words"))
-    marked = F.zip_with("words", before, lambda w, b: F.struct(w.alias("term"), F.when(w == b, 0).otherwise(1).alias("first")))
-    return words.select("lang", "source", F.explode(marked).alias("w")).where("w.term <> ''").groupBy("lang", "source", "w.term").agg(F.count("*").alias("n"), F.sum("w.first").alias("docs"))
+            langs, sources = (batch.column(i).dictionary_encode() for i in (0, 1))
+            group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+            for block in blocks(batch.column(2), BLOCK):
+                words = block.words(LETTERS, lower=True)
+                if not len(words.starts):
+                    continue
+                ends = np.cumsum(words.ends - words.starts, dtype=np.int32)
+                letters = pa.py_buffer(words.data[LETTERS[words.data]])
+                terms = pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.r_[np.int32(0), ends]), letters).dictionary_encode()
+                # Occurrences in the order of group, term and document, which are one number.
+                bits, many = block.n.bit_length(), len(terms.dictionary)
+                owner, doc = np.unique(group[block.lo : block.lo + block.n], return_inverse=True)[0], words.docs()
+                key = np.searchsorted(owner, group[block.lo + doc]) * many + terms.indices.to_numpy()
+                key = np.sort((key << bits) | doc)
+                first = np.r_[True, key[1:] != key[:-1]]
+                key >>= bits
+                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                of, term = owner[key[start] // many], pa.array(key[start] % many)
+                columns = [langs.dictionary.take(pa.array(of // len(sources.dictionary))), sources.dictionary.take(pa.array(of % len(sources.dictionary))), terms.dictionary.take(term)]
+                columns += [pa.array(np.diff(np.r_[start, len(key)])), pa.array(np.add.reduceat(first, start, dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+    counted = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:

@@ -66,3 +66,18 @@ def test_counts_beyond_long_products(spark):
     big, size = 10**13 + 7, 3 * 10**13 + 1
     (row,) = spark.createDataFrame([(big, size, 5)], "n long, size long, terms long").select(op._share(F.col("n"), F.col("size"), F.col("terms"))).collect()
     assert row[0] == 1 + 10**9 * (big + 1) // (size + 5)
+
+
+def test_terms_are_counted_before_they_are_rows(spark):
+    """No row an occurrence: blocks of texts are counted, a text over a block alone, and equal terms of two documents stay apart as documents."""
+    rows = [("xx", "s", "Äb b " * (op.BLOCK // 5)), ("xx", "s", "b" * 9), ("", "t", "B1b_É,b"), ("xx", "s", "b\x00C"), ("xx", "t", "c"), ("", "t", " 1 "), ("xx", "s", "")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    counts = op._counts(docs)
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    n, held = Counter(), Counter()
+    for lang, source, text in rows:
+        words = TERM.findall(text.translate(LOWER))
+        n.update((lang, source, w) for w in words)
+        held.update((lang, source, w) for w in {*words})
+    assert {(r.lang, r.source, r.term): (r.n, r.docs) for r in counts.collect()} == {k: (v, held[k]) for k, v in n.items()}
+    assert n["xx", "s", "Äb"] == op.BLOCK // 5

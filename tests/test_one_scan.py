@@ -51,3 +51,13 @@ def test_fill_of_uploads_as_they_were(spark):
     both = {r.source_column: tuple(r)[2:] for r in typed.original_fill({"a": (df, mapping), "b": (other, {"COST": "total_spend"})}).collect()}
     assert both["DESCRIPTION"] == (3, 85.7, 100.0) and both["COST"] == (5, 14.3, 0.4) and both["OPTIONAL FIELD"] == (4, 14.3, 8.8)
     assert typed.original_fill({"a": (df.limit(0), mapping)}).collect() == []
+
+
+def test_pairs_meet_before_they_are_counted(spark, facts, tmp_path):
+    """Tasks that count pairs hold the pairs of their own rows alone: rows are dealt out by pair before the first count, a hot pair to several tasks."""
+    cube = panels.summary_cube(facts, "invoice_date", "total_spend", "supplier", "description")
+    plan = cube._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Expand") < plan.index("RebalancePartitions [_s"), plan
+    odd = spark.createDataFrame([("nan", float("nan"), 1.0, "A", " "), (None, 2.0, 2.0, "tbd", "x"), (" ", None, None, None, "x")], "w string, d double, v double, s string, t string").withColumn("day", F.lit("2024-02-29").cast("date"))
+    fills = panels.executive_panels(odd, "day", "v", "s", "t")["column_fill_rate"]
+    assert rows(fills) == rows(profile.fill_rates(odd, odd.columns, F.col("v")))

@@ -1,8 +1,13 @@
 """Dashboards and levers, tags of values, header sheets, groups of a session."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from spendloom.functions import fields
 from spendloom.operators import headers, insights, normalise, views
 from spendloom.operators.session import Session
+from spendloom.plans import spend
 
 
 def test_registries(spark):
@@ -59,3 +64,29 @@ def test_groups_of_a_session(spark):
         assert [(g["group"], g["rows"], g["preview"]) for g in found] == [("hn__b", 5, "id, other"), ("appended__a", 3, "id")]
     finally:
         session.close()
+
+
+def test_fields_are_told_before_sides_meet(spark, sf_dir, tmp_path):
+    """Joins for counts of usable rows move keys and bits, and blank names and missing dates count as before."""
+    for name in ("lineitem", "orders", "part", "supplier", "nation", "region"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "supplier":
+            df = df.withColumn("s_name", F.when(F.col("s_suppkey") % 3 == 0, F.lit("  ")).otherwise(F.col("s_name")))
+        if name == "orders":
+            df = df.withColumn("o_orderdate", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")))
+        if name == "lineitem":
+            df = df.withColumns({"l_discount": F.when(F.col("l_linenumber") != 2, F.col("l_discount")), "l_partkey": F.when(F.col("l_linenumber") != 4, F.col("l_partkey"))})
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    dims, registry = ("supplier", "part", "orders"), {v: needs for v, (_, needs) in (fields.DASHBOARDS | fields.LEVERS).items()} | {"tied": ["supplier", "po_document_date"], "terms": ["term", "l_linenumber"]}
+    count = lambda df: sorted(tuple(r) for r in views.usable_rows(df, registry).collect())
+    full, told = spend.spend(spark, str(tmp_path), *dims), spend.filled(spark, str(tmp_path), *dims)
+    assert told.columns == full.columns and count(told) == count(full)
+    assert len({r[3] for r in count(told)}) > 4
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(spend.filled(spark, str(tmp_path), *dims)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert len(moved) > 5 and not re.search("l_extendedprice|l_shipdate|p_name|o_orderdate", " ".join(moved))

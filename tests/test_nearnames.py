@@ -61,3 +61,36 @@ def test_numbered_names_meet_only_where_they_are_near(spark):
     assert len(met) == len(near) and {*met} == near and 100 < len(near) < len(names) ** 2 / 20
     assert {tuple(r) for r in nearnames.pairs(table, 0.9).collect()} == {(a, b) for a, b in near if nearnames.near(names[a], names[b], 0.9)}
     assert {r["leader"] for r in nearnames.leaders(table.select("low"), 0.9, 50).collect()} == {v.lower() for v in walk(names, 0.9).values()}
+
+
+def test_what_names_are_cut_into_is_not_broadcast(spark):
+    # hundreds of rows a name, of which Spark knows no more than the size of the names
+    for like, met in (("supplier#%09d", nearnames._met_by_remains), ("the northern and southern trading company of %09d", nearnames._met_by_grams)):
+        table = nearnames.settled(spark.range(60).select("id", F.format_string(like, F.col("id") * 37).alias("low")))
+        found = met(table, (len(like % 0),), 0.9)
+        plan = found._jdf.queryExecution().executedPlan()
+        assert "SortMergeJoin" in plan.toString() and "Broadcast" not in plan.toString()
+        assert found.count() > 0
+
+
+@pytest.mark.parametrize("local", [0, 40, 1000])
+def test_members_where_what_meets_need_not_be_near(spark, local):
+    rng = random.Random(3)
+    met = sorted({tuple(sorted(rng.sample(range(150), 2))) for _ in range(700)})
+    near = {pair for pair in met if rng.random() < 0.4}
+    asked = []
+
+    def left(edges):
+        got = edges.collect()
+        asked.extend((r["a"], r["b"]) for r in got)
+        return spark.createDataFrame([(r["a"], r["b"]) for r in got if (r["a"], r["b"]) in near], "a long, b long")
+
+    want = set()
+    for b in range(150):
+        if any((a, b) in near and a not in want for a in range(b)):
+            want.add(b)
+    found = nearnames.members(spark.createDataFrame(met, "a long, b long"), left, local)
+    assert sorted(r["node"] for r in found.collect()) == sorted(want)
+    if local == 40:
+        # edges from nodes known to be members are not compared
+        assert len({*asked}) < len(met)
